@@ -227,7 +227,8 @@ def expression_proportion(
     rank = F.when(order > 0, order).otherwise(len(severity) + 1)
     best = F.min_by(
         F.struct("gene", "csq", "lof_flag", "mean_proportion", "by_tissue"),
-        F.struct(rank, -F.coalesce(F.col("mean_proportion"), F.lit(-1.0)), "gene", "lof_flag"),
+        # rounded, so that summation order cannot decide between equal means
+        F.struct(rank, -F.round(F.coalesce(F.col("mean_proportion"), F.lit(-1.0)), 9), "gene", "lof_flag"),
     )
     return per_csq.groupBy(*variant).agg(best.alias("_worst")).select(*variant, "_worst.*")
 

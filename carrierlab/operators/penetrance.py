@@ -21,19 +21,20 @@ from carrierlab.operators.carriers import (
 )
 
 
-def _carrier_of(trait: str, vus: str, by_gene: bool) -> list[Column]:
-    status = status_of(trait)
-    label = carrier_label(status["is_carrier"], status["has_vus"], vus)
+def _with_label(exploded: DataFrame, vus: str, by_gene: bool) -> DataFrame:
+    """Carrier label (and gene) of an exploded row, from its trait's status."""
+    status = status_of(F.col("trait"))
+    looked_up = exploded.withColumn("_s", status).drop("_status")
+    label = carrier_label(F.col("_s.is_carrier"), F.col("_s.has_vus"), vus)
     if vus == "stratify":
         label = F.when(
-            label == VUS, F.concat_ws(" ", F.lit(VUS), frequency_band(status["af"], status["ac"]))
+            label == VUS, F.concat_ws(" ", F.lit(VUS), frequency_band("_s.af", "_s.ac"))
         ).otherwise(label)
-    fields = [label.alias("carrier")]
+    out = looked_up.withColumn("carrier", label)
     if by_gene:
-        fields.append(
-            F.when(label == NON_CARRIER, F.lit(NON_CARRIER)).otherwise(status["gene"]).alias("gene")
-        )
-    return fields
+        out = out.withColumn(
+            "gene", F.when(F.col("carrier") == NON_CARRIER, NON_CARRIER).otherwise(F.col("_s.gene")))
+    return out.drop("_s")
 
 
 def _unmedicated(no_meds: bool, value: Column) -> Column:
@@ -42,7 +43,8 @@ def _unmedicated(no_meds: bool, value: Column) -> Column:
 
 
 def _exploded(frame: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    return frame.select("cohort", F.inline(F.array(*structs)))
+    """One row per setting; only the trait's status is looked up afterwards."""
+    return frame.select("cohort", "_status", F.inline(F.array(*structs)))
 
 
 def penetrance_counts(
@@ -64,15 +66,15 @@ def penetrance_counts(
     )
     structs = [
         F.struct(
-            F.lit(i).alias("setting"), *_carrier_of(s.trait, vus, by_gene),
+            F.lit(i).alias("setting"), F.lit(s.trait).alias("trait"),
             _unmedicated(s.no_meds, compare(s.phenotype, s.rule, s.threshold)).alias("outcome"),
         )
         for i, s in enumerate(settings)
     ]
     group = ["setting", "cohort", "carrier"] + (["gene"] if by_gene else [])
     counted = (
-        _exploded(frame, structs)
-        .where(F.col("outcome").isNotNull() & F.col("carrier").isNotNull())
+        _with_label(_exploded(frame, structs).where(F.col("outcome").isNotNull()), vus, by_gene)
+        .where(F.col("carrier").isNotNull())
         .groupBy(*group)
         .agg(F.count(F.when(F.col("outcome"), 1)).alias("count"), F.count("outcome").alias("total"))
     )
@@ -159,7 +161,7 @@ def carrier_means(
     extra = [F.col(subset).alias("subset")] if subset else []
     structs = [
         F.struct(
-            F.lit(i).alias("setting"), *_carrier_of(s.trait, "ignore", by_gene), *extra,
+            F.lit(i).alias("setting"), F.lit(s.trait).alias("trait"), *extra,
             _unmedicated(s.no_meds, F.col(s.phenotype).cast("double")).alias("value"),
         )
         for i, s in enumerate(settings)
@@ -172,7 +174,8 @@ def carrier_means(
         )
         for s in settings
     ]), F.col("setting") + 1)
-    means = mean_summary(_exploded(frame, structs), group, "value", conf)
+    rows = _with_label(_exploded(frame, structs), "ignore", by_gene)
+    means = mean_summary(rows, group, "value", conf)
     return means.select(
         "setting", names["condition"].alias("condition"), names["trait"].alias("trait"),
         names["phenotype"].alias("phenotype"), names["lipidmeds"].alias("lipidmeds"),
