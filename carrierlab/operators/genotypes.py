@@ -60,17 +60,22 @@ def _shared(ref: Column, alt: Column, side) -> Column:
     return F.when(room > 0, F.size(same)).otherwise(F.lit(0))
 
 
-def minimal_alleles(pos: Column, ref: Column, alt: Column) -> tuple[Column, Column, Column]:
-    """Shortest spelling of a variant: shared trailing, then leading bases go."""
-    tail = _shared(ref, alt, lambda s, k: F.right(s, k))
-    ref1 = F.left(ref, F.length(ref) - tail)
-    alt1 = F.left(alt, F.length(alt) - tail)
-    head = _shared(ref1, alt1, lambda s, k: F.left(s, k))
-    return (
-        pos + head,
-        F.substring(ref1, head + 1, F.length(ref1)),
-        F.substring(alt1, head + 1, F.length(alt1)),
-    )
+def with_minimal_alleles(df: DataFrame, pos: str, ref: str, alt: str) -> DataFrame:
+    """Shortest spelling of a variant: shared trailing, then leading bases go.
+
+    Done in named steps, so that each count is evaluated once per row.
+    """
+    tail = _shared(F.col(ref), F.col(alt), lambda s, k: F.right(s, k))
+    cut = df.withColumn("_tail", tail).withColumns({
+        ref: F.left(ref, F.length(ref) - F.col("_tail")),
+        alt: F.left(alt, F.length(alt) - F.col("_tail")),
+    })
+    head = _shared(F.col(ref), F.col(alt), lambda s, k: F.left(s, k))
+    return cut.withColumn("_head", head).withColumns({
+        pos: F.col(pos) + F.col("_head"),
+        ref: F.substring(F.col(ref), F.col("_head") + 1, F.length(ref)),
+        alt: F.substring(F.col(alt), F.col("_head") + 1, F.length(alt)),
+    }).drop("_tail", "_head")
 
 
 def split_multiallelic(genotypes: DataFrame, minimise: bool = True) -> DataFrame:
@@ -94,15 +99,15 @@ def split_multiallelic(genotypes: DataFrame, minimise: bool = True) -> DataFrame
         F.col("ad").isNotNull(),
         F.array(F.aggregate("ad", F.lit(0), lambda x, y: x + y) - mine, mine),
     )
-    ref = F.element_at("alleles", 1)
-    pos, short_ref, short_alt = F.col("pos"), ref, F.col("_alt")
+    out = rows.select(
+        *[c for c in genotypes.columns if c not in ("alleles", "gt", "ad")],
+        F.element_at("alleles", 1).alias("_ref"), "_alt", gt.alias("gt"), ad.alias("ad"),
+        this.alias("a_index"), (F.size("alleles") > 2).alias("was_split"),
+    )
     if minimise:
-        pos, short_ref, short_alt = minimal_alleles(pos, ref, F.col("_alt"))
-    new = {
-        "pos": pos, "alleles": F.array(short_ref, short_alt), "gt": gt, "ad": ad,
-    }
-    kept = [new.get(c, F.col(c)).alias(c) for c in genotypes.columns]
-    return rows.select(*kept, this.alias("a_index"), (F.size("alleles") > 2).alias("was_split"))
+        out = with_minimal_alleles(out, "pos", "_ref", "_alt")
+    return out.withColumn("alleles", F.array("_ref", "_alt")).select(
+        *genotypes.columns, "a_index", "was_split")
 
 
 # --- genotype mask ---------------------------------------------------------

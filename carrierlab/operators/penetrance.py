@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carrierlab import settings as S
-from carrierlab.functions.columns import compare, frequency_band, level_rank
+from carrierlab.functions.columns import frequency_band, level_rank
 from carrierlab.functions.stats import exact_interval, t_half_width
 from carrierlab.operators.carriers import (
     CARRIER, NON_CARRIER, VUS, carrier_label, status_of, with_status_by_trait,
@@ -37,14 +37,35 @@ def _with_label(exploded: DataFrame, vus: str, by_gene: bool) -> DataFrame:
     return out.drop("_s")
 
 
-def _unmedicated(no_meds: bool, value: Column) -> Column:
+def _literal(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+
+def _record(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _unmedicated(no_meds: bool, value: str) -> str:
     """Restricting to unmedicated drops unknown medication as well."""
-    return F.when(F.col("lipidmeds") == 0, value) if no_meds else value
+    return f"CASE WHEN lipidmeds = 0 THEN {value} END" if no_meds else value
 
 
-def _exploded(frame: DataFrame, structs: Sequence[Column]) -> DataFrame:
+def _exploded(frame: DataFrame, records: Sequence[dict[str, str]]) -> DataFrame:
     """One row per setting; only the trait's status is looked up afterwards."""
-    return frame.select("cohort", "_status", F.inline(F.array(*structs)))
+    array = "array(" + ", ".join(_record(r) for r in records) + ")"
+    return frame.select("cohort", "_status", F.expr(f"inline({array})"))
+
+
+def _described(table: DataFrame, descriptions: Sequence[dict[str, object]]) -> DataFrame:
+    """Replace the setting number's meaning by its descriptive columns."""
+    array = "array(" + ", ".join(
+        _record({k: _literal(v) for k, v in d.items()}) for d in descriptions) + ")"
+    return table.withColumn("_d", F.expr(f"element_at({array}, setting + 1)")).select(
+        "setting", "_d.*", *[c for c in table.columns if c != "setting"])
 
 
 def penetrance_counts(
@@ -64,33 +85,25 @@ def penetrance_counts(
         pheno.select("subject", "cohort", *measures), carriers, gene_traits, traits, levels,
         by_gene or vus == "stratify",
     )
-    structs = [
-        F.struct(
-            F.lit(i).alias("setting"), F.lit(s.trait).alias("trait"),
-            _unmedicated(s.no_meds, compare(s.phenotype, s.rule, s.threshold)).alias("outcome"),
-        )
+    records = [
+        {
+            "setting": str(i), "trait": _literal(s.trait),
+            "outcome": _unmedicated(s.no_meds, f"`{s.phenotype}` {s.rule} {_literal(float(s.threshold))}"),
+        }
         for i, s in enumerate(settings)
     ]
     group = ["setting", "cohort", "carrier"] + (["gene"] if by_gene else [])
     counted = (
-        _with_label(_exploded(frame, structs).where(F.col("outcome").isNotNull()), vus, by_gene)
+        _with_label(_exploded(frame, records).where(F.col("outcome").isNotNull()), vus, by_gene)
         .where(F.col("carrier").isNotNull())
         .groupBy(*group)
         .agg(F.count(F.when(F.col("outcome"), 1)).alias("count"), F.count("outcome").alias("total"))
     )
-    names = F.element_at(F.array(*[
-        F.struct(
-            F.lit(s.condition).alias("condition"), F.lit(s.condition_simple).alias("condition_simple"),
-            F.lit(s.phenotype).alias("phenotype"), F.lit(s.no_meds).alias("lipidmeds"),
-        )
+    return _described(counted, [
+        {"condition": s.condition, "condition_simple": s.condition_simple,
+         "phenotype": s.phenotype, "lipidmeds": s.no_meds}
         for s in settings
-    ]), F.col("setting") + 1)
-    return counted.select(
-        "setting", names["condition"].alias("condition"),
-        names["condition_simple"].alias("condition_simple"), names["phenotype"].alias("phenotype"),
-        names["lipidmeds"].alias("lipidmeds"), *group[1:], "count", "total",
-        (F.col("count") / F.col("total")).alias("prop"),
-    )
+    ]).withColumn("prop", F.col("count") / F.col("total"))
 
 
 def penetrance_table(pheno, carriers, gene_traits, conf: float = 0.95, **options) -> DataFrame:
@@ -158,29 +171,20 @@ def carrier_means(
     frame = with_status_by_trait(
         pheno.select("subject", "cohort", *measures), carriers, gene_traits, traits, levels, by_gene
     )
-    extra = [F.col(subset).alias("subset")] if subset else []
-    structs = [
-        F.struct(
-            F.lit(i).alias("setting"), F.lit(s.trait).alias("trait"), *extra,
-            _unmedicated(s.no_meds, F.col(s.phenotype).cast("double")).alias("value"),
-        )
+    records = [
+        {
+            "setting": str(i), "trait": _literal(s.trait), **({"subset": f"`{subset}`"} if subset else {}),
+            "value": _unmedicated(s.no_meds, f"CAST(`{s.phenotype}` AS DOUBLE)"),
+        }
         for i, s in enumerate(settings)
     ]
     group = ["setting", "cohort", "carrier"] + (["gene"] if by_gene else []) + (["subset"] if subset else [])
-    names = F.element_at(F.array(*[
-        F.struct(
-            F.lit(s.label).alias("condition"), F.lit(s.trait).alias("trait"),
-            F.lit(s.association_trait).alias("phenotype"), F.lit(s.no_meds).alias("lipidmeds"),
-        )
-        for s in settings
-    ]), F.col("setting") + 1)
-    rows = _with_label(_exploded(frame, structs), "ignore", by_gene)
+    rows = _with_label(_exploded(frame, records), "ignore", by_gene)
     means = mean_summary(rows, group, "value", conf)
-    return means.select(
-        "setting", names["condition"].alias("condition"), names["trait"].alias("trait"),
-        names["phenotype"].alias("phenotype"), names["lipidmeds"].alias("lipidmeds"),
-        *[c for c in means.columns if c != "setting"],
-    )
+    return _described(means, [
+        {"condition": s.label, "trait": s.trait, "phenotype": s.association_trait, "lipidmeds": s.no_meds}
+        for s in settings
+    ])
 
 
 # --- reshaping -------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 GENE_NAMES = {
     "Brand#1": "GCK", "Brand#2": "HNF1A", "Brand#3": "HNF1B", "Brand#4": "PDX1", "Brand#5": "HNF4A",
@@ -20,8 +21,15 @@ TRAIT_NAMES = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table; its schema is read from the file footer only once."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _names(col: str, names: dict[str, str]) -> Column:
