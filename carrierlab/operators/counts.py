@@ -75,7 +75,7 @@ def carrier_count_by_condition(
 
 
 def in_trait_order(table: DataFrame, traits: Sequence[str] = S.TRAIT_ORDER) -> DataFrame:
-    return table.orderBy(level_rank("trait", traits), "cohort")
+    return table.orderBy(level_rank("trait", traits), *[c for c in table.columns if c == "cohort"])
 
 
 def cohorts_side_by_side(table: DataFrame, cohorts: Sequence[str]) -> DataFrame:

@@ -242,7 +242,8 @@ def tissue_text(by_tissue: str | Column) -> Column:
     """``tissue:value`` list of a map, values in scientific notation."""
     return F.concat_ws(",", F.transform(
         F.map_entries(as_col(by_tissue)),
-        lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(F.format_string("%.5e", e["value"]), F.lit("NA"))),
+        lambda e: F.concat(e["key"], F.lit(":"), F.when(
+            e["value"].isNotNull(), F.format_string("%.5e", e["value"])).otherwise("NA")),
     ))
 
 
