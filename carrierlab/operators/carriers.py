@@ -134,15 +134,18 @@ def annotate_every_variant(
     levels: Iterable[str] = S.PATH_LEVELS, vus: str = "ignore",
 ) -> DataFrame:
     """As :func:`annotate_carriers`, but every carrier row is kept (no collapse)."""
-    rows = _relevant(carriers, gene_traits, [trait])
+    rows = _relevant(carriers, gene_traits, [trait]).drop("trait")
     status = carrier_status(carriers, gene_traits, [trait], levels, by_gene=False).drop("trait")
-    return (
+    labelled = (
         pheno.join(status, list(SUBJECT), "left")
         .withColumn("carrier", carrier_label(F.col("is_carrier"), F.col("has_vus"), vus))
-        .drop("is_carrier", "has_vus")
-        .join(rows.drop("trait"), list(SUBJECT), "left")
-        .withColumn("trait", F.lit(trait))
     )
+    # Subjects with and without rows apart: an inner join can be split on
+    # either side when one subject holds very many rows, a left join cannot.
+    seen = F.col("is_carrier").isNotNull()
+    with_rows = labelled.where(seen).drop("is_carrier", "has_vus").join(rows, list(SUBJECT))
+    without = labelled.where(~seen).drop("is_carrier", "has_vus")
+    return with_rows.unionByName(without, allowMissingColumns=True).withColumn("trait", F.lit(trait))
 
 
 def with_status_by_trait(

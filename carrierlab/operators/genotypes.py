@@ -52,12 +52,19 @@ def filter_to_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
 
 # --- multi-allelic split ---------------------------------------------------
 
-def _shared(ref: Column, alt: Column, side) -> Column:
-    """Number of bases ref and alt share at one side, leaving one base each."""
+def _shared(ref: Column, alt: Column, at_end: bool) -> Column:
+    """Number of bases ref and alt share at one side, leaving one base each.
+
+    A back-reference finds the longest common start in one pass; single-base
+    variants, by far the most, never reach it.
+    """
     room = F.least(F.length(ref), F.length(alt)) - 1
-    same = F.filter(F.sequence(F.lit(1), F.greatest(room, F.lit(1))),
-                    lambda k: side(ref, k) == side(alt, k))
-    return F.when(room > 0, F.size(same)).otherwise(F.lit(0))
+    if at_end:
+        parts = [F.reverse(F.right(ref, room)), F.reverse(F.right(alt, room))]
+    else:
+        parts = [F.left(ref, room), F.left(alt, room)]
+    common = F.regexp_extract(F.concat_ws("|", *parts), r"^([^|]*)[^|]*\|\1", 1)
+    return F.when(room > 0, F.length(common)).otherwise(F.lit(0))
 
 
 def with_minimal_alleles(df: DataFrame, pos: str, ref: str, alt: str) -> DataFrame:
@@ -65,12 +72,12 @@ def with_minimal_alleles(df: DataFrame, pos: str, ref: str, alt: str) -> DataFra
 
     Done in named steps, so that each count is evaluated once per row.
     """
-    tail = _shared(F.col(ref), F.col(alt), lambda s, k: F.right(s, k))
+    tail = _shared(F.col(ref), F.col(alt), True)
     cut = df.withColumn("_tail", tail).withColumns({
         ref: F.left(ref, F.length(ref) - F.col("_tail")),
         alt: F.left(alt, F.length(alt) - F.col("_tail")),
     })
-    head = _shared(F.col(ref), F.col(alt), lambda s, k: F.left(s, k))
+    head = _shared(F.col(ref), F.col(alt), False)
     return cut.withColumn("_head", head).withColumns({
         pos: F.col(pos) + F.col("_head"),
         ref: F.substring(F.col(ref), F.col("_head") + 1, F.length(ref)),
@@ -92,7 +99,7 @@ def split_multiallelic(genotypes: DataFrame, minimise: bool = True) -> DataFrame
     this = F.col("_i") + 1
     gt = F.when(
         F.col("gt").isNotNull(),
-        F.array_sort(F.transform("gt", lambda a: F.when(a == this, 1).otherwise(0))),
+        F.sort_array(F.transform("gt", lambda a: F.when(a == this, 1).otherwise(0))),
     )
     mine = F.try_element_at("ad", this + 1)
     ad = F.when(
@@ -276,5 +283,5 @@ def quality_filter(
     carriers: DataFrame, quality: DataFrame, keys: Sequence[str] = ("variant", "subject"),
     flag: str = "failed",
 ) -> DataFrame:
-    """Carrier rows whose looked-up quality flag is false."""
-    return carriers.join(quality, list(keys), "left").where(F.col(flag) == F.lit(False))
+    """Carrier rows whose looked-up quality flag is false (an unlisted row has none)."""
+    return carriers.join(quality.where(F.col(flag) == F.lit(False)), list(keys))

@@ -17,7 +17,7 @@ from carrierlab import settings as S
 from carrierlab.functions.columns import frequency_band, level_rank
 from carrierlab.functions.stats import exact_interval, t_half_width
 from carrierlab.operators.carriers import (
-    CARRIER, NON_CARRIER, VUS, carrier_label, status_of, with_status_by_trait,
+    CARRIER, NON_CARRIER, VUS, annotate_carriers, carrier_label, status_of, with_status_by_trait,
 )
 
 
@@ -187,6 +187,32 @@ def carrier_means(
     ])
 
 
+def condition_points(
+    pheno: DataFrame, carriers: DataFrame, gene_traits: DataFrame | None, trait: str, phenotype: str,
+    no_meds: bool = False, vus: str = "ignore", results: DataFrame | None = None,
+    levels: Iterable[str] = S.PATH_LEVELS,
+) -> DataFrame:
+    """One row per subject for one condition: value, arm and evidence.
+
+    ``arm`` is NC or C (other labels as they are); non-carriers show no
+    evidence type. ``results`` (cohort, p_value) is looked up by cohort. With
+    ``vus="stratify"`` only arms and novel uncertain variants remain.
+    """
+    columns = dict.fromkeys(["subject", "cohort", phenotype, "age", "lipidmeds"])
+    frame = annotate_carriers(pheno.select(*columns), carriers, gene_traits, trait, levels, vus=vus)
+    if no_meds:
+        frame = frame.where(F.col("lipidmeds") == 0)
+    frame = frame.where(F.col("carrier").isNotNull())
+    if vus == "stratify":
+        frame = frame.where(F.col("carrier").isin(CARRIER, NON_CARRIER, f"{VUS} Novel"))
+    frame = frame.withColumns({
+        "evidence": F.when(F.col("carrier") == NON_CARRIER, NON_CARRIER).otherwise(F.col("evidence")),
+        "arm": F.when(F.col("carrier") == NON_CARRIER, "NC").when(F.col("carrier") == CARRIER, "C")
+        .otherwise(F.col("carrier")),
+    })
+    return frame if results is None else frame.join(results.select("cohort", "p_value"), "cohort", "left")
+
+
 # --- reshaping -------------------------------------------------------------
 
 def spread(

@@ -339,6 +339,41 @@ def pivot_mean(spark, d):
                        "n_Non Carrier", rounded(F.col("`mean_Non Carrier`"), 4, "mean_Non Carrier"))
 
 
+@query(_means_sql().replace("p.cohort, CASE", "p.cohort, y.ancestry AS subset, CASE").replace(
+    "WHERE NOT s.no_meds", "JOIN pheno0 y ON y.subject = p.subject WHERE NOT s.no_meds"))
+def mean_by_subset(spark, d):
+    out = P.carrier_means(*_study(spark, d), conf=None, subset="ancestry").where(F.col("n") > 0)
+    return out.select(*_MEAN_COLUMNS, "subset", "n", rounded("mean", 4), rounded("sd", 4), rounded("se", 4))
+
+
+@query("""
+    SELECT p.cohort, CASE WHEN t.is_carrier THEN 'C' ELSE 'NC' END AS arm,
+      CASE WHEN t.is_carrier THEN m.evidence ELSE 'Non Carrier' END AS evidence, count(*) AS n,
+      round(avg(p.tg_mgdl), 4) AS mean, any_value(r.p_value) AS p_value
+    FROM pheno p LEFT JOIN (FROM status WHERE trait = 'High triglycerides') t ON t.subject = p.subject AND t.cohort = p.cohort
+    LEFT JOIN (FROM lowest WHERE trait = 'High triglycerides') w ON w.subject = p.subject AND w.cohort = p.cohort
+    LEFT JOIN merged_evidence m ON m.subject = w.subject AND m.cohort = w.cohort AND m.trait = w.trait AND m.variant = w.variant
+    LEFT JOIN (SELECT c_mktsegment AS cohort, count(*)::DOUBLE AS p_value FROM customer GROUP BY 1) r ON r.cohort = p.cohort
+    WHERE p.lipidmeds = 0 GROUP BY ALL""")
+def condition_points(spark, d):
+    pheno, carriers, genes = _study(spark, d)
+    results = V.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("cohort")).agg(
+        F.count(F.lit(1)).cast("double").alias("p_value"))
+    points = P.condition_points(pheno, carriers, genes, "High triglycerides", "tg_mgdl", True, results=results)
+    return points.groupBy("cohort", "arm", "evidence").agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("tg_mgdl"), 4, "mean"), F.max("p_value").alias("p_value"))
+
+
+@query(f"""
+    WITH x AS (SELECT p.cohort, p.bmi, CASE WHEN t.is_carrier THEN 'C' WHEN t.has_vus THEN 'VUS ' || {_BAND} ELSE 'NC' END AS arm
+      FROM pheno p LEFT JOIN (FROM status WHERE trait = 'Obesity') t ON t.subject = p.subject AND t.cohort = p.cohort
+      LEFT JOIN (FROM lowest WHERE trait = 'Obesity') w ON w.subject = p.subject AND w.cohort = p.cohort)
+    SELECT cohort, arm, count(*) AS n, round(avg(bmi), 4) AS mean FROM x WHERE arm IN ('C', 'NC', 'VUS Novel') GROUP BY ALL""")
+def condition_points_with_novel_vus(spark, d):
+    points = P.condition_points(*_study(spark, d), "Obesity", "bmi", vus="stratify")
+    return points.groupBy("cohort", "arm").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("bmi"), 4, "mean"))
+
+
 @query()
 def mean_t_ci(spark, d):
     """Means with Student-t intervals (inverse t has no SQL form)."""

@@ -84,6 +84,15 @@ def score_percentile_means(spark, d):
     return out.select("percentile", "color", "n", rounded("mean", 4), rounded("sd", 4), rounded("se", 4))
 
 
+@query(f"""WITH {_HIGH_FRAME}
+    SELECT CAST(decile AS VARCHAR) AS decile, 'gePS percentile' AS color, {_SUMMARY} FROM tiled GROUP BY decile
+    UNION ALL SELECT gene, 'Carrier', {_SUMMARY} FROM tiled x JOIN (FROM lowest WHERE trait = 'High LDL') w
+      ON w.subject = x.subject AND w.cohort = x.cohort WHERE carrier = 'Carrier' GROUP BY gene""")
+def score_means_by_carried_gene(spark, d):
+    out = R.percentile_means(_frame(spark, d, _HIGH_LDL, by_gene=True), tile="decile", by_gene=True, conf=None)
+    return out.select("decile", "color", "n", rounded("mean", 4), rounded("sd", 4), rounded("se", 4))
+
+
 @query(f"""WITH {_MODY_FRAME}
     SELECT CAST(forty AS VARCHAR) AS forty, count(*) AS n, count(*) FILTER (WHERE phenotype_value = 1) AS x,
       round(avg(phenotype_value), 4) AS mean FROM tiled GROUP BY forty
