@@ -207,12 +207,8 @@ def variant_list(carriers: DataFrame) -> DataFrame:
     """
     keys = [c for c in ("cohort", "evidence", "variant", "gene", "trait", "level", "af", "ac")
             if c in carriers.columns]
-    per_b37 = (
-        carriers.select("subject", "variant_b37", *keys).distinct()
-        .groupBy(*keys, "variant_b37").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    totals = per_b37.groupBy(*keys).agg(
-        F.sum("_n").alias("carrier_count"),
+    totals = carriers.select("subject", "variant_b37", *keys).distinct().groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("carrier_count"),
         # bounded: spellings of one variant on the other build
         F.collect_set(F.coalesce("variant_b37", F.lit("NA"))).alias("_b37"),
     )

@@ -52,8 +52,8 @@ SELECT subject, c_mktsegment AS cohort, r_name AS ancestry,
   CASE WHEN n_f = 0 THEN NULL WHEN n_f >= 5 THEN 1 ELSE 0 END AS t2d_base,
   CASE WHEN urgent > 480000 THEN 'LDL_High' WHEN urgent_min < 20000 THEN 'LDL_Low'
        WHEN other > 490000 THEN 'BMI_High' WHEN n_o = 0 THEN NULL ELSE 'none' END AS esp_phenotype,
-  CASE WHEN n_f >= 5 THEN CAST(floor(low_min / 5000) AS INTEGER) END AS aod,
-  CASE WHEN n_f >= 5 THEN CAST(floor(high_min / 5000) AS INTEGER) END AS diagnosed_0,
+  CASE WHEN n_f >= 5 THEN CAST(floor(low_min / 4999) AS INTEGER) END AS aod,
+  CASE WHEN n_f >= 5 THEN CAST(floor(high_min / 4999) AS INTEGER) END AS diagnosed_0,
   score
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 JOIN order_facts ON subject = c_custkey"""

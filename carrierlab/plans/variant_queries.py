@@ -12,6 +12,7 @@ from carrierlab.operators import ranges as R
 from carrierlab.operators import submissions as B
 from carrierlab.plans import views as V
 from carrierlab.plans.registry import query, rounded
+from carrierlab.sources.readers import spread_unsplit
 
 _QC = """count(copies) AS n_called, count(*) - count(copies) AS n_not_called,
   count(*) FILTER (WHERE copies = 1) AS n_het, count(*) FILTER (WHERE copies = 2) AS n_hom"""
@@ -92,7 +93,8 @@ def split_multi(spark, d):
         F.array(F.concat("p_type", F.lit("X")), F.col("p_type"), F.concat("p_type", F.lit("YX")), F.lit("Z")).alias("alleles"))
     pair = F.when(F.col("l_quantity") == 25, None).when(F.col("l_returnflag") == "R", F.array(F.lit(0), F.lit(1))).when(
         F.col("l_returnflag") == "A", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2), F.lit(3)))
-    calls = V.table(spark, d, "lineitem").select(
+    calls = spread_unsplit(V.table(spark, d, "lineitem").select(
+        "l_partkey", "l_quantity", "l_returnflag", "l_tax", "l_discount", "l_linenumber")).select(
         "l_partkey", pair.alias("gt"),
         F.array(F.round(F.col("l_tax") * 100).cast("int"), F.round(F.col("l_discount") * 100).cast("int"),
                 F.col("l_linenumber"), F.lit(1)).alias("ad"))
