@@ -8,16 +8,23 @@ rows per analysis: the counting and averaging happens before, in Spark.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carrierlab.functions.columns import as_col
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+# Executors get the functions themselves and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _lgamma(values):
+    return np.vectorize(math.lgamma, otypes=[float])(values)
 
 
 def beta_cdf(x, a, b):

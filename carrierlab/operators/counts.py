@@ -11,7 +11,7 @@ from carrierlab import settings as S
 from carrierlab.functions.columns import (
     distinct_sorted_text, level_in, level_rank, member, recode,
 )
-from carrierlab.operators.penetrance import spread
+from carrierlab.operators.penetrance import spread, transpose
 
 REVIEWED = "ClinVar and Reviews"
 
@@ -198,13 +198,5 @@ def participant_characteristics(
         cells[f"{m}_sd"] = F.stddev_samp(m)
     for a in ancestries:
         cells[a] = F.nullif(F.count(F.when(F.col("_ancestry") == a, 1)), F.lit(0))
-    wide = base.groupBy("_group").agg(
-        *[c.cast("double").alias(name) for name, c in cells.items()]
-    ).withColumn("_group", F.coalesce("_group", F.lit("NA")))
-    long = wide.select("_group", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("row"), F.lit(name).alias("rowname"), F.col(f"`{name}`").alias("value"))
-        for i, name in enumerate(cells)
-    ])))
-    return long.groupBy("row", "rowname").agg(*[
-        F.max(F.when(F.col("_group") == g, F.col("value"))).alias(g) for g in groups
-    ])
+    wide = base.groupBy("_group").agg(*[c.alias(name) for name, c in cells.items()])
+    return transpose(wide, "_group", groups, list(cells))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrierlab import settings as S
@@ -237,17 +237,13 @@ def spread(
 
 
 def transpose(df: DataFrame, key: str, key_values: Sequence[str], rows: Sequence[str]) -> DataFrame:
-    """Columns of a small result become rows, one column per key value."""
+    """Columns of a small result become rows (numbered, named), one column per key value."""
     long = df.select(
         key, F.inline(F.array(*[
-            F.struct(F.lit(r).alias("rowname"), F.col(r).cast("double").alias("value")) for r in rows
+            F.struct(F.lit(i).alias("row"), F.lit(r).alias("rowname"), F.col(f"`{r}`").cast("double").alias("value"))
+            for i, r in enumerate(rows)
         ]))
     )
-    return long.groupBy("rowname").agg(*[
+    return long.groupBy("row", "rowname").agg(*[
         F.max(F.when(F.col(key) == v, F.col("value"))).alias(v) for v in key_values
     ])
-
-
-def arms_side_by_side(means: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Carrier and non-carrier rows of a mean table as columns."""
-    return spread(means, keys, "carrier", [CARRIER, NON_CARRIER], ["n", "mean", "low", "high"])

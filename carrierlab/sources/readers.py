@@ -69,10 +69,6 @@ def read_named_columns(
     return _spread(raw.select(*picked), partitions)
 
 
-def read_csv(spark: SparkSession, path, schema: str, **options) -> DataFrame:
-    return read_delimited(spark, path, schema, sep=",", **options)
-
-
 def read_gene_traits(spark: SparkSession, path, line_sep: str = "\r") -> DataFrame:
     raw = read_delimited(spark, path, schemas.GENE_TRAIT, line_sep=line_sep)
     return raw.select(
@@ -194,7 +190,3 @@ def read_frequencies(spark: SparkSession, path, ac: str = "gnomad_exomes_AC") ->
     from carrierlab.operators.cohort import frequency_table
 
     return frequency_table(read_named_columns(spark, path, schemas.FREQUENCIES_COLUMNS, quote=""), ac)
-
-
-def read_checkpoint(spark: SparkSession, path) -> DataFrame:
-    return spark.read.parquet(path)

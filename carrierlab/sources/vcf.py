@@ -16,8 +16,11 @@ FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
 def sample_names(spark: SparkSession, path) -> DataFrame:
     """(sample_idx, sample) from the ``#CHROM`` line; files share one header."""
-    header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).distinct()
-    names = F.slice(F.split("value", "\t"), len(FIXED) + 1, 2147483647 - len(FIXED) - 1)
+    header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).agg(
+        F.min("value").alias("first"), F.max("value").alias("last"))
+    line = F.when(F.col("first") == F.col("last"), F.col("first")).otherwise(
+        F.raise_error(F.lit("call files have different sample headers")))
+    names = F.slice(F.split(line, "\t"), len(FIXED) + 1, 2147483647 - len(FIXED) - 1)
     return header.select(F.posexplode(names).alias("sample_idx", "sample"))
 
 

@@ -32,6 +32,9 @@ def test_beta_distribution_symmetry(a, b, x):
 def test_penetrance_table_is_consistent(spark, folder):
     rows = P.penetrance_table(V.prepared_phenotypes(spark, folder), V.carriers(spark, folder), V.gene_traits(spark, folder)).collect()
     assert rows
+    shown = P.ordered_by_setting(spark.createDataFrame(rows)).collect()
+    assert [r["setting"] for r in shown] == sorted(r["setting"] for r in rows)
+    assert [r["carrier"] for r in shown][:2] == ["Non Carrier", "Carrier"]
     for r in rows:
         assert 0 <= r["count"] <= r["total"] and r["low"] <= r["prop"] <= r["high"]
     # arms of one setting and cohort cover the same subjects whatever the levels

@@ -31,6 +31,12 @@ def test_curated_columns_by_name(spark, tmp_path):
     assert got == [("v1", "v1", "LOF", "a\tb"), ("v2", "v2", None, None)]
 
 
+def test_gene_phenotypes(spark, tmp_path):
+    text = "Gene_name\tDisease\tphenotype\tStratify\tTransform\rLPL\tHigh TG\ttg_mgdl\tNA\tln\r"
+    got = collect(R.read_gene_phenotypes(spark, put(tmp_path / "m.txt", text)))
+    assert got == [("LPL", "High TG", "tg_mgdl", None, "ln")]
+
+
 def test_byte_order_mark(spark, tmp_path):
     path = put(tmp_path / "b.csv", "﻿VariationID,AF\n7,\"[0.9,0.1]\"\n")
     assert collect(R.read_named_columns(spark, path, {"VariationID": "int", "AF": "string"}, sep=",")) == [(7, "[0.9,0.1]")]
@@ -112,6 +118,15 @@ def test_call_text_ingest(genotypes):
     assert rows[300, "s1"]["dp"] == 9 and rows[300, "s1"]["gq"] is None and rows[300, "s3"]["dp"] is None
 
 
+def test_differing_sample_headers_are_refused(spark, tmp_path):
+    a = put(tmp_path / "a.vcf", VCF)
+    b = put(tmp_path / "b.vcf", VCF.replace("s1\ts2\ts3", "s2\ts1\ts3"))
+    with pytest.raises(Exception, match="different sample headers"):
+        vcf.read_genotypes(spark, [a, b]).collect()
+    same = put(tmp_path / "c.vcf", VCF.replace("chr1", "chr4").replace("chr2", "chr5"))
+    assert vcf.read_genotypes(spark, [a, same]).count() == 18
+
+
 def test_split_codes_against_each_allele(genotypes):
     rows = {(r["pos"], tuple(r["alleles"]), r["sample"]): r for r in G.split_multiallelic(genotypes).collect()}
     first, second = rows[200, ("AT", "A"), "s1"], rows[200, ("A", "G"), "s1"]
