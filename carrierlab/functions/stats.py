@@ -49,7 +49,8 @@ def beta_cdf(x, a, b):
     c = np.ones_like(z)
     d = 1 / guard(1 - (p + q) * z / (p + 1))
     frac = d.copy()
-    for m in range(1, 1000):
+    # the fraction needs on the order of sqrt(max(a, b)) terms
+    for m in range(1, 200 + int(8 * np.sqrt(max(p.max(), q.max())))):
         even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
         d, c = 1 / guard(1 + even * d), guard(1 + even / c)
         frac = frac * d * c
@@ -65,14 +66,24 @@ def beta_cdf(x, a, b):
 
 
 def beta_quantile(prob, a, b):
-    """Inverse of :func:`beta_cdf` by bisection."""
+    """Inverse of :func:`beta_cdf` by Newton steps inside a shrinking bracket."""
     prob, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (prob, a, b)))
     low, high = np.zeros(prob.shape), np.ones(prob.shape)
-    for _ in range(80):
-        mid = (low + high) / 2
-        below = beta_cdf(mid, a, b) < prob
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
+    x = a / (a + b)
+    log_beta = _lgamma(a) + _lgamma(b) - _lgamma(a + b)
+    for _ in range(200):
+        error = beta_cdf(x, a, b) - prob
+        low, high = np.where(error < 0, x, low), np.where(error < 0, high, x)
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - log_beta)
+            step = x - error / density
+        inside = (step > low) & (step < high)
+        following = np.where(inside, step, (low + high) / 2)
+        done = np.abs(following - x) <= 1e-14 * following
+        x = following
+        if np.all(done | (error == 0)):
+            break
+    return x
 
 
 def t_two_sided_p(t, df):
@@ -81,11 +92,11 @@ def t_two_sided_p(t, df):
 
 
 def t_quantile(prob, df):
-    """Upper Student-t quantile for ``prob`` in (0.5, 1)."""
+    """Upper Student-t quantile for ``prob`` in (0.5, 1); unknown for df <= 0."""
     prob, df = np.broadcast_arrays(np.asarray(prob, dtype=float), np.asarray(df, dtype=float))
-    x = beta_quantile(2 * (1 - prob), df / 2, 0.5)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(df > 0, np.sqrt(df * (1 - x) / x), np.nan)
+    used = np.where(df > 0, df, 1.0)
+    y = beta_quantile(2 * prob - 1, 0.5, used / 2)
+    return np.where(df > 0, np.sqrt(used * y / (1 - y)), np.nan)
 
 
 _INTERVAL = T.StructType(

@@ -55,6 +55,14 @@ def test_quantiles_invert_the_distribution():
     assert t_two_sided_p(t_quantile(0.975, 7.0), 7.0) == pytest.approx(0.05, abs=1e-9)
 
 
+def test_intervals_of_very_large_counts():
+    k, n = 30_000_000, 1_000_000_000
+    half = 1.959964 * np.sqrt(k / n * (1 - k / n) / n)
+    assert beta_quantile(0.025, k, n - k + 1) == pytest.approx(k / n - half, abs=3e-9)
+    assert beta_quantile(0.975, k + 1, n - k) == pytest.approx(k / n + half, abs=3e-9)
+    assert t_quantile(0.975, 1e9) == pytest.approx(1.959964, abs=1e-6)
+
+
 def test_percent_carriers(spark):
     # 126 carriers of 38,618 and 90 of 38,566 subjects
     pheno = spark.range(38618).select(F.lit("AMP").alias("cohort")).unionAll(

@@ -217,3 +217,21 @@ def test_submission_study(spark, tmp_path):
     assert out[3]["high_confidence_any"] is None and out[3]["flag_hc_lab_unspecified_phenotype"] is False
     written = SS.write_all(inputs, "GRCh37", str(tmp_path / "out"))
     assert R.read_named_columns(spark, written["gene_summary"], {"gene": "string", "variants_all": "int"}, sep=",").count() == 2
+
+
+def test_sample_study(spark, tmp_path):
+    from carrierlab.plans import sample_study
+    from carrierlab.sources import schemas
+
+    pheno = write(tmp_path / "p.csv", ["combined_id", "id_55k", "COHORT", "other"], [
+        ("A::1", "i1", "C1", "x"), ("A::2", "i2", "SEARCH", "x"), ("A::3", "i3", "C1", "x"),
+        ("A::4", "i4", None, 5), ("A::5", None, "C1", "x"), ("A::6", "i6", "C1", "x")], sep=",")
+    banned = write(tmp_path / "f.txt", ["Individual.ID"], [("i3",)])
+    exome = write(tmp_path / "e.txt", ["s"], [(f"A::{i}",) for i in (1, 2, 3, 4, 5)] + [("B::9::z",)])
+    out = sample_study.prepare(spark, pheno, banned, exome, str(tmp_path / "out"))
+    # unknown cohort and unknown id are kept
+    assert collect(out["phenotypes"].select("combined_id", "other"), "combined_id") == [("A::1", "x"), ("A::4", "5"), ("A::5", "x")]
+    flags = collect(R.read_delimited(spark, str(tmp_path / "out/samples_to_keep"), schemas.SAMPLE_FLAGS), "s")
+    assert flags == [("A::1", "A", "1", False), ("A::2", "A", "2", True), ("A::3", "A", "3", True),
+                     ("A::4", "A", "4", False), ("A::5", "A", "5", False), ("B::9::z", "B", "9", True)]
+    assert collect(out["overlap_before"]) == [(6, 6, 5)] and collect(out["overlap_after"]) == [(4, 6, 3)]
