@@ -216,3 +216,14 @@ def test_export_fills_missing_calls(spark, tmp_path):
     assert data[1].split("\t")[9:] == ["./.:.:.:.", "./.:.:.:.", "0/0:9,0:9:50", "./.:.:.:."]
     back = vcf.read_genotypes(spark, [str(tmp_path / "v/header"), str(tmp_path / "v/data")])
     assert back.count() == 8 and back.where("gt is not null").count() == 3
+
+
+def test_command_line(spark, tmp_path):
+    from carrierlab.__main__ import main
+
+    calls = put(tmp_path / "in.vcf", VCF)
+    flags = put(tmp_path / "s.txt", "s\tproject\tsample\tis_forbidden\ns1\tp\ta\tfalse\ns2\tp\tb\tfalse\ns3\tp\tc\ttrue\n")
+    main(["genotypes", "--calls", calls, "--samples", flags, "--output", str(tmp_path / "out"), "--overwrite"])
+    rows = spark.read.parquet(str(tmp_path / "out/variants"))
+    assert collect(rows.where("pos = 100").select("ac", "an")) == [(1, 4)]
+    assert {r[0] for r in spark.read.parquet(str(tmp_path / "out/work/genotypes")).select("sample").distinct().collect()} == {"s1", "s2"}
