@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carrierlab.llm import byte_bpe, packing
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 from carrierlab.llm.tables import ORACLES, QUERIES, query, table
 
 
+@query("op1_packing", packing.ORACLE)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_by_length(table(spark, folder, "documents"))
+
+
 @query("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, folder, "documents"))
 
 
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), ranks, pattern)
+    return byte_bpe.digests(byte_bpe.decode(encoded, ranks, pattern))
+
+
 __all__ = ["ORACLES", "QUERIES"]
