@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrierlab.llm import byte_bpe, packing
+from carrierlab.llm import byte_bpe, fingerprints, packing
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 from carrierlab.llm.tables import ORACLES, QUERIES, query, table
 
@@ -19,6 +19,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, folder, "documents"))
 
 
+@query("op5_fingerprints")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_report(table(spark, folder, "documents"))
+
+
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
