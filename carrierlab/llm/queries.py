@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierlab.llm import byte_bpe, chat, fingerprints, packing
+from carrierlab.llm import byte_bpe, chat, embeddings, fingerprints, packing
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 from carrierlab.llm.tables import ORACLES, QUERIES, query, table
 
@@ -34,6 +34,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks, pattern))
 
 
+@query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 # A conversation whose texts hold the template's own control strings.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
