@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierlab.llm import byte_bpe, chat, embeddings, fingerprints, packing
+from carrierlab.llm import backoff, byte_bpe, chat, embeddings, fingerprints, language, packing, quality
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 from carrierlab.llm.tables import ORACLES, QUERIES, query, table
 
@@ -20,6 +20,17 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, folder, "documents"))
 
 
+@query("op3_lm_scoring", backoff.ORACLE)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, folder, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.classify(docs, quality.train(docs, quality.graded(table(spark, folder, "labels"))))
+
+
 @query("op5_fingerprints")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_report(table(spark, folder, "documents"))
@@ -39,6 +50,16 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return language.documents_language(table(spark, folder, "documents"))
+
+
+@query("language_id_of_pages")
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.pages_language(table(spark, folder, "pages"))
+
+
 # A conversation whose texts hold the template's own control strings.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 

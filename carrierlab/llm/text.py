@@ -20,8 +20,8 @@ CHUNK = 1 << 20
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 BUCKETS = 1 << 17
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -48,7 +48,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         size *= 2
     if size not in _TABLES:
         _TABLES.clear()
-        _TABLES[size] = (_powers(_ODD, size + 1), _powers(_INVERSE, size + 1))
+        _TABLES[size] = (_powers(ODD, size + 1), _powers(_INVERSE, size + 1))
     return _TABLES[size]
 
 
@@ -124,10 +124,10 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
     for k in range(n):
         m = whole if not len(short) else len(begin)
         if m == whole:
-            out = mix(out * _ODD + hashes[begin + k])
+            out = mix(out * ODD + hashes[begin + k])
         else:
             take = k < length
-            out[take] = mix(out[take] * _ODD + hashes[begin[take] + k])
+            out[take] = mix(out[take] * ODD + hashes[begin[take] + k])
     return owner, out
 
 
