@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from carrierlab.llm import text as tx
 
-DIMENSIONS = 1 << 18
-SAMPLE, EPOCHS, RATE, DECAY, BATCH = 8192, 12, 0.3, 1e-5, 128
-KEEP_TAIL = 0.5
+DIMENSIONS, FORMS = 1 << 18, 64
+SAMPLE, EPOCHS, RATE, DECAY, BATCH = 16384, 12, 0.3, 1e-5, 128
+MIN_DOCS = 8
+KEEP_TAIL = 0.4
 
 
 @dataclass
@@ -49,18 +50,26 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends = bounds[:-1], bounds[1:]
     word = kind[starts] != 0
     starts, ends = starts[word], ends[word]
-    hashes = tx.span_hashes(low, starts, ends) % np.uint64(DIMENSIONS)
+    hashes = tx.span_hashes(low, starts, ends) % np.uint64(DIMENSIONS - FORMS)
     owner = np.searchsorted(offsets, starts, side="right") - 1
-    return tx.distinct_sorted(owner, hashes)
+    # Forms: how often a token follows itself, by powers of two.
+    same = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    repeats = np.bincount(owner[1:][same], minlength=len(offsets) - 1)
+    form = np.uint64(DIMENSIONS - FORMS) + np.floor(np.log2(repeats + 1)).astype(np.uint64) % np.uint64(FORMS)
+    some = np.flatnonzero(np.bincount(owner, minlength=len(offsets) - 1))
+    return tx.distinct_sorted(np.concatenate([owner, some]), np.concatenate([hashes, form[some]]))
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = EPOCHS, rate: float = RATE,
         decay: float = DECAY, seed: int = 5) -> Model:
     """Adaptive gradient descent on the cumulative-link likelihood.
 
-    Thresholds are a first value and positive steps, so they stay in order.
+    Tokens of fewer than MIN_DOCS sampled documents keep the weight 0, so that
+    single documents are not learned by heart. Thresholds are a first value and positive steps, so they stay in order.
     No rows give weights of zero and thresholds at even odds.
     """
+    seen = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=DIMENSIONS)
+    rows = [r[seen[r] >= MIN_DOCS] for r in rows]
     weights, squares = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8)
     if len(rows):
         below = np.clip([(grades <= j).mean() for j in range(levels - 1)], 0.01, 0.99)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierlab.llm import backoff, byte_bpe, chat, embeddings, fingerprints, language, packing, quality
+from carrierlab.llm import backoff, byte_bpe, chat, embeddings, fingerprints, language, line_dedup, packing, quality
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 from carrierlab.llm.tables import ORACLES, QUERIES, query, table
 
@@ -36,6 +36,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_report(table(spark, folder, "documents"))
 
 
+@query("op6_line_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

@@ -132,9 +132,10 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 def distinct_sorted(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (owner, value), sorted; owner is below 65,536."""
+    """Distinct (owner, value), sorted."""
     order = np.argsort(values)
-    order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+    small = np.uint16 if not len(owner) or owner.max() < 1 << 16 else np.int64
+    order = order[np.argsort(owner[order].astype(small), kind="stable")]
     owner, values = owner[order], values[order]
     keep = np.ones(len(owner), dtype=bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
