@@ -4,8 +4,8 @@ DataFrame functions only. A text's distinct five-word shingles are hashed once;
 the top bits of a hash name one of 256 bins, and a bin keeps its least hash. An
 empty bin borrows from the first non-empty bin of its own fixed probe order,
 which is the same for every text (optimal densification: a random start and an
-odd stride, so that each probe order visits every bin). The low four bits of
-each bin are packed, 16 bins to a 64-bit integer. Two unlike bins agree by
+odd stride, so that each probe order visits every bin). Four low
+bits for each bin are packed, 16 bins to a 64-bit integer. Two unlike bins agree by
 chance once in 16, which the likeness takes out.
 
 Everything of a text stays in its row; nothing is exploded or shuffled.
@@ -59,26 +59,29 @@ def packed(hashes: Column) -> Column:
     ends = F.lit([((b + 1) << SHIFT) - 1 for b in range(BINS)]).cast("array<bigint>")
     least = _let(F.sort_array(F.concat(hashes, ends)), lambda h: F.filter(h, lambda x, i: (i == 0) | (
         F.shiftright(x, SHIFT) != F.shiftright(F.get(h, i - 1), SHIFT))))
-    low = F.lit((1 << LOW_BITS) - 1).cast("long")
-    bins = _let(least, lambda v: F.transform(v, lambda x, b: F.when(x != F.get(ends, b), x.bitwiseAND(low))))
+    bins = _let(least, lambda v: F.transform(v, lambda x, b: F.when(x != F.get(ends, b), x)))
 
     def filled(v: Column) -> Column:
-        known = F.filter(F.transform(v, lambda x, b: x + b * (1 << LOW_BITS)), lambda x: x.isNotNull())
-        return _let(known, lambda pairs: F.transform(v, lambda x, b: F.coalesce(
-            x, *[F.get(v, F.get(F.lit(order), b)) for order in FIRST_PROBES], far(b, pairs))))
+        return _let(F.filter(v, lambda x: x.isNotNull()), lambda known: F.transform(v, lambda x, b: _low(F.coalesce(
+            x, *[F.get(v, F.get(F.lit(order), b)) for order in FIRST_PROBES], far(b, known)), b)))
 
-    def far(b: Column, pairs: Column) -> Column:
+    def far(b: Column, known: Column) -> Column:
         # The probe at which another bin is met is (bin - start) / stride modulo the bins.
         start, inverse = F.get(F.lit(STARTS), b), F.get(F.lit(INVERSES), b)
-        return F.array_min(F.transform(pairs, lambda p: (
-            (F.shiftright(p, LOW_BITS) - start) * inverse).bitwiseAND(F.lit(BINS - 1).cast("long")) * (1 << LOW_BITS)
-            + p.bitwiseAND(low))).bitwiseAND(low)
+        nearest = F.array_min(F.transform(known, lambda x, i: (
+            (F.shiftright(x, SHIFT).cast("int") - start) * inverse).bitwiseAND(F.lit(BINS - 1)) * BINS + i))
+        return F.get(known, nearest.bitwiseAND(F.lit(BINS - 1)))
 
     none = F.array_repeat(F.lit(0).cast("long"), LONGS)
     return F.when(F.size(hashes) == 0, none).otherwise(
         _let(_let(bins, filled), lambda v: F.array(*[_pack(v, k) for k in range(LONGS)])))
 
 
+def _low(value: Column, b: Column) -> Column:
+    """Low bits for bin b. Hashed with b, so that bins with one value do not all agree by one chance."""
+    return F.xxhash64(value, b).bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("long"))
+
+
 def _pack(values: Column, k: int) -> Column:
     per = 64 // LOW_BITS
     out: Column = F.lit(0).cast("long")
