@@ -56,9 +56,9 @@ def main(argv=None) -> None:
     )
     result.variants.write.mode("overwrite" if args.overwrite else "errorifexists").parquet(f"{args.output}/variants")
     if result.filtered is not None:
-        study.export_filtered(result.filtered, f"{args.output}/filtered_variants")
+        study.export_filtered(result.filtered, f"{args.output}/filtered_variants", args.overwrite)
     if result.lof is not None:
-        study.export_lof_vcf(result, f"{args.output}/lof_vcf")
+        study.export_lof_vcf(result, f"{args.output}/lof_vcf", overwrite=args.overwrite)
 
 
 if __name__ == "__main__":

@@ -229,10 +229,14 @@ def expression_proportion(
         .withColumn("proportion",
                     F.when(F.col("max_value") > 0, F.col("expressed") / F.col("max_value")))
     )
+    tissue_place = F.coalesce(F.nullif(
+        F.array_position(F.array(*[F.lit(t) for t in S.TISSUES]), F.col("tissue")), F.lit(0)), F.lit(len(S.TISSUES) + 1))
     per_csq = per_tissue.groupBy(*group).agg(
         F.avg("proportion").alias("mean_proportion"),
-        # bounded: one entry per tissue
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("tissue", "proportion"))))
+        # bounded: one entry per tissue, in the fixed order, others behind
+        F.map_from_entries(F.transform(
+            F.sort_array(F.collect_list(F.struct(tissue_place.alias("place"), "tissue", "proportion"))),
+            lambda x: F.struct(x["tissue"], x["proportion"])))
         .alias("by_tissue"),
     )
     order = F.array_position(F.array(*[F.lit(s) for s in severity]), F.col("csq"))

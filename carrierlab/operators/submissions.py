@@ -262,7 +262,6 @@ def annotated_pathogenic(
         .withColumn("variant", key)
         .withColumn("clinvar_link", F.concat(
             F.lit("https://www.ncbi.nlm.nih.gov/clinvar/variation/"), F.col("variation_id").cast("string")))
-        .withColumn("gnomad_link", F.concat(F.lit("http://gnomad.broadinstitute.org/variant/"), key))
         .join(observed.select(F.col("variant").alias("variant_str")).distinct(), "variant_str", "left_semi")
     )
 

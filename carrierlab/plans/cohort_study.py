@@ -174,7 +174,7 @@ def score_tables(
         frame = score_frame(pheno, scores[setting.phenotype], study.carriers, genes, setting, age_cutoff, by_gene=True)
         if setting.in_percentile_table:
             add("score_percentiles", percentile_means(frame).withColumn("condition", F.lit(setting.trait)))
-        models = score_models(frame, setting)
+        models = score_models(frame, setting, models=("top_vs_carrier", "interquartile_vs_top", "carriers"))
         add("score_in_carriers", models["carriers"])
         add("score_contrasts", score_contrasts(models))
         for gene in genes_alone.get(setting.trait, ()):

@@ -111,7 +111,7 @@ def run(
     return result
 
 
-def export_filtered(filtered: DataFrame, path: str) -> None:
+def export_filtered(filtered: DataFrame, path: str, overwrite: bool = False) -> None:
     """Gzip table of variants with a consequence on a gene of interest."""
     table = filtered.select(
         F.concat_ws(":", "contig", F.col("pos").cast("string")).alias("locus"),
@@ -122,7 +122,7 @@ def export_filtered(filtered: DataFrame, path: str) -> None:
         F.array(1 - F.col("af"), F.col("af")).alias("AF"),
         "n_non_ref", "n_het",
     )
-    write_tsv(table, path, compression="gzip")
+    write_tsv(table, path, compression="gzip", overwrite=overwrite)
 
 
 def lof_info(variants: DataFrame) -> dict[str, Column]:
@@ -136,7 +136,8 @@ def lof_info(variants: DataFrame) -> dict[str, Column]:
     return {k: F.col(c) for k, c in wanted.items() if c in variants.columns}
 
 
-def export_lof_vcf(result: GenotypeResult, path: str, csq_description: str = "Consequence annotations") -> None:
+def export_lof_vcf(result: GenotypeResult, path: str, csq_description: str = "Consequence annotations",
+                   overwrite: bool = False) -> None:
     calls = result.genotypes.join(result.lof.select(*G.VARIANT), list(G.VARIANT), "left_semi")
     write_vcf(calls, result.lof, path, lof_info(result.lof),
-              {"CSQ": (".", "String", csq_description)})
+              {"CSQ": (".", "String", csq_description)}, overwrite)

@@ -20,16 +20,6 @@ def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
     return df.repartition(partitions) if partitions else df
 
 
-def spread_unsplit(df: DataFrame) -> DataFrame:
-    """Spread rows when a scan has fewer files than there are cores.
-
-    Meant for heavy per-row work over one compressed file or one big row
-    group. A table of many files is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def read_delimited(
     spark: SparkSession, path, schema: str, sep: str = "\t", header: bool = True,
     line_sep: str | None = None, comment: str | None = None, quote: str = '"',

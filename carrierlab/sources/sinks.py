@@ -31,9 +31,10 @@ def flat_columns(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_tsv(df: DataFrame, path: str, compression: str | None = None, header: bool = True) -> None:
+def write_tsv(df: DataFrame, path: str, compression: str | None = None, header: bool = True,
+              overwrite: bool = False) -> None:
     """Tab-separated, unquoted, ``NA`` for null."""
-    flat_columns(df).write.mode("overwrite").options(
+    flat_columns(df).write.mode("overwrite" if overwrite else "errorifexists").options(
         sep="\t", header=str(header).lower(), nullValue="NA", emptyValue="", quote="",
         compression=compression or "none",
     ).csv(path)

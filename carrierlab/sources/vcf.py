@@ -99,7 +99,7 @@ def _without_gaps(calls: Column, n_samples: Column) -> Column:
 
 def write_vcf(
     genotypes: DataFrame, variants: DataFrame, path: str, info: Mapping[str, Column],
-    descriptions: Mapping[str, tuple[str, str, str]] | None = None,
+    descriptions: Mapping[str, tuple[str, str, str]] | None = None, overwrite: bool = False,
 ) -> None:
     """Write biallelic genotypes with an INFO column as text part files.
 
@@ -142,5 +142,6 @@ def write_vcf(
     header = header_names.select(F.concat(
         F.lit("\n".join(meta) + "\n#" + "\t".join(FIXED) + "\t"), F.array_join("_names", "\t")
     ).alias("value"))
-    header.coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    lines.write.mode("overwrite").text(f"{path}/data")
+    mode = "overwrite" if overwrite else "errorifexists"
+    header.coalesce(1).write.mode(mode).text(f"{path}/header")
+    lines.write.mode(mode).text(f"{path}/data")
