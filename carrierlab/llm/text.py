@@ -160,28 +160,6 @@ def parity(owner: np.ndarray, values: np.ndarray, n: int, longs: int) -> list[np
     return list(np.packbits(odd, axis=1).view(np.int64).T)
 
 
-def long_parity(owner: np.ndarray, values: np.ndarray, n: int, above: int) -> list[bytes | None]:
-    """As many parity bits as the set has values, up to a power of two; None up to ``above`` values."""
-    out: list[bytes | None] = [None] * n
-    bounds = np.searchsorted(owner, np.arange(n + 1))
-    for i in np.flatnonzero(np.diff(bounds) > above).tolist():
-        own = values[bounds[i]: bounds[i + 1]]
-        bits = 1 << (len(own) - 1).bit_length()
-        slot = (mix(own, 3) % np.uint64(bits)).astype(np.int64)
-        out[i] = np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-    return out
-
-
-def differing_bits(x, y) -> int:
-    """Bits in which two parity strings differ; the longer is folded onto the shorter."""
-    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2:]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2:]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def bucket(values: np.ndarray) -> np.ndarray:
     """Slot of each value in the table of corpus frequencies."""
     return (mix(values, 5) % np.uint64(BUCKETS)).astype(np.int64)
