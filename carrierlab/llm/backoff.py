@@ -30,7 +30,8 @@ from carrierlab.llm import text as tx
 from carrierlab.llm.tables import checkpointed
 
 ORDER, MIN_COUNT, ALPHA = 3, 2, 0.4
-BLOCK_WORDS, PART_GRAMS = 3 << 20, 1 << 20
+BLOCK_WORDS, PART_GRAMS = 5 << 20, 1 << 20
+RANGE_BITS = 4
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -48,15 +49,23 @@ def unpack(raw, kind) -> np.ndarray:
 def gram_hashes(words: np.ndarray, bounds: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length k: positions of the last words, and hashes, of the k-grams inside texts."""
     begin = np.repeat(bounds[:-1], np.diff(bounds))
-    out, h = [(np.arange(len(words)), tx.mix(words, 11))], words
+    out, h = [(np.arange(len(words), dtype=np.int32), tx.mix(words, 11))], words
     for k in range(2, order + 1):
-        at = np.arange(k - 1, len(words))
+        at = np.arange(k - 1, len(words), dtype=np.int32)
         h = tx.mix(h[: len(at)] * tx.ODD + words[k - 1:])
         inside = at - (k - 1) >= begin[k - 1:]
         out.append((at[inside], tx.mix(h[inside], 11 + k)))
     return out
 
 
+def by_range(hashes: list[np.ndarray], bits: int) -> Iterator[list[np.ndarray]]:
+    """For each range of the top bits of a hash: where each list has it. Ranges hold whole parts, in order."""
+    bits = min(bits, RANGE_BITS)
+    tops = [(h >> np.uint64(64 - bits)).astype(np.uint8) if bits else np.zeros(len(h), dtype=np.uint8) for h in hashes]
+    for r in range(1 << bits):
+        yield [np.flatnonzero(t == r) for t in tops]
+
+
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
                    min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_longest, n_shortest, log_score, mean_log_score.
@@ -116,16 +125,19 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                grams, _ = grams_of(batch, i)
-                known, seen = np.unique(np.concatenate([h for _, h in grams]), return_counts=True)
-                part = (known >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(known), dtype=np.int64)
-                starts = np.flatnonzero(np.diff(part, prepend=-1))
-                ends = np.append(starts[1:], len(part))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(part[starts]), pa.array(np.full(len(starts), batch.column("block")[i].as_py())),
-                    pa.array([pack(np.diff(known[s:e], prepend=np.uint64(0))) for s, e in zip(starts, ends)], type=pa.binary()),
-                    pa.array([pack(seen[s:e].astype(np.uint32)) for s, e in zip(starts, ends)], type=pa.binary()),
-                ], names=["part", "block", "grams", "seen"])
+                hashes = [h for _, h in grams_of(batch, i)[0]]
+                for takes in by_range(hashes, bits):
+                    known, seen = np.unique(
+                        np.concatenate([h[t] for h, t in zip(hashes, takes)]), return_counts=True)
+                    part = (known >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(known), np.int64)
+                    starts = np.flatnonzero(np.diff(part, prepend=-1))
+                    ends = np.append(starts[1:], len(part))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(part[starts]), pa.array(np.full(len(starts), batch.column("block")[i].as_py())),
+                        pa.array([pack(np.diff(known[s:e], prepend=np.uint64(0))) for s, e in zip(starts, ends)],
+                                 type=pa.binary()),
+                        pa.array([pack(seen[s:e].astype(np.uint32)) for s, e in zip(starts, ends)], type=pa.binary()),
+                    ], names=["part", "block", "grams", "seen"])
 
     def count(table):
         lists = [np.cumsum(unpack(g.as_buffer(), np.uint64), dtype=np.uint64) for g in table.column("grams")]
@@ -147,18 +159,25 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for i in range(block.num_rows):
             grams, bounds = grams_of(block, i)
             n = int(bounds[-1])
-            _, at = np.unique(np.concatenate([h for _, h in grams]), return_inverse=True)
-            own, split = per[at], np.cumsum([len(h) for _, h in grams])[:-1]
-            counts = np.zeros((order + 1, n), dtype=np.int64)
-            for k, ((where, _), c) in enumerate(zip(grams, np.split(own, split)), 1):
-                counts[k, where] = c
+            hashes, low = [h for _, h in grams], 0
+            counts = [np.zeros(len(h), dtype=np.int64) for h in hashes]
+            for takes in by_range(hashes, bits):
+                known, at = np.unique(np.concatenate([h[t] for h, t in zip(hashes, takes)]), return_inverse=True)
+                own = per[low: low + len(known)][at]
+                low += len(known)
+                for c, t, x in zip(counts, takes, np.split(own, np.cumsum([len(t) for t in takes])[:-1])):
+                    c[t] = x
             room = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
             used = np.ones(n, dtype=np.int64)
-            value = np.log(counts[1] / max(total, 1)) if n else np.zeros(0)
+            shorter = counts[0]
+            value = np.log(shorter / max(total, 1)) if n else np.zeros(0)
             for k in range(2, order + 1):
-                take = counts[k] >= min_count
-                value[take] = np.log(counts[k][take] / counts[k - 1][np.flatnonzero(take) - 1])
+                longer = np.zeros(n, dtype=np.int64)
+                longer[grams[k - 1][0]] = counts[k - 1]
+                take = np.flatnonzero(longer >= min_count)
+                value[take] = np.log(longer[take] / shorter[take - 1])
                 used[take] = k
+                shorter = longer
             value = value + np.log(alpha) * (np.minimum(room, order - 1) + 1 - used)
             owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             m = len(bounds) - 1
