@@ -160,26 +160,31 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             grams, bounds = grams_of(block, i)
             n = int(bounds[-1])
             hashes, low = [h for _, h in grams], 0
-            counts = [np.zeros(len(h), dtype=np.int64) for h in hashes]
             for takes in by_range(hashes, bits):
                 known, at = np.unique(np.concatenate([h[t] for h, t in zip(hashes, takes)]), return_inverse=True)
                 own = per[low: low + len(known)][at]
                 low += len(known)
-                for c, t, x in zip(counts, takes, np.split(own, np.cumsum([len(t) for t in takes])[:-1])):
-                    c[t] = x
-            room = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-            used = np.ones(n, dtype=np.int64)
+                # The counts take the place of the hashes, which are not looked at again.
+                for h, t, x in zip(hashes, takes, np.split(own, np.cumsum([len(t) for t in takes])[:-1])):
+                    h[t] = x
+            counts = [h.view(np.int64) for h in hashes]
+            used = np.ones(n, dtype=np.int8)
             shorter = counts[0]
             value = np.log(shorter / max(total, 1)) if n else np.zeros(0)
             for k in range(2, order + 1):
                 longer = np.zeros(n, dtype=np.int64)
                 longer[grams[k - 1][0]] = counts[k - 1]
+                counts[k - 1] = grams[k - 1] = hashes[k - 1] = None
                 take = np.flatnonzero(longer >= min_count)
                 value[take] = np.log(longer[take] / shorter[take - 1])
                 used[take] = k
                 shorter = longer
-            value = value + np.log(alpha) * (np.minimum(room, order - 1) + 1 - used)
-            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            most = np.full(n, order, dtype=np.int8)
+            for k in range(order - 1, 0, -1):  # the first words of a text have shorter contexts
+                first = bounds[:-1][np.diff(bounds) >= k] + k - 1
+                most[first] = k
+            value += np.log(alpha) * (most - used)
+            owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
             m = len(bounds) - 1
             ids += block.column("ids")[i].as_py()
             sums.append(np.bincount(owner, weights=value, minlength=m))
