@@ -2,7 +2,8 @@
 
 Genotypes are kept in long form, one row per (variant, sample):
 ``contig, pos, alleles, sample, gt, ad, dp, gq`` with ``gt`` an array of two
-allele indexes (null for a missing call) and ``ad`` the read depth per allele.
+allele indexes (null for a missing call) and ``ad`` the read depth per allele;
+``pl``, where a source has it, is the scaled likelihood per unordered genotype.
 Everything per genotype is a map-side expression; the only shuffle is the
 per-variant aggregation, which combines partially before it moves rows.
 """
@@ -36,12 +37,30 @@ def drop_flagged_samples(
     return genotypes.join(allowed, sample, "left_semi")
 
 
+def genes_without_interval(intervals: DataFrame, genes: Iterable[str]) -> list[str]:
+    """The listed genes that have no readable interval, sorted."""
+    genes = list(genes)
+    known = F.col("gene").isin(genes)
+    for part in parse_interval("interval"):
+        known = known & part.isNotNull()
+    found = {r["gene"] for r in intervals.where(known).select("gene").distinct().collect()}  # listed genes at most
+    return sorted(set(genes) - found)
+
+
 def gene_intervals(
     intervals: DataFrame, genes: Iterable[str] = S.GENE_SET, buffer: int = S.INTERVAL_BUFFER
 ) -> DataFrame:
-    """(gene, interval text) to contig/start/end rows with a buffer."""
+    """(gene, interval text) to contig/start/end rows with a buffer.
+
+    A listed gene without an interval is an error. The check runs a Spark job
+    while the plan is built.
+    """
+    genes = list(genes)
+    missing = genes_without_interval(intervals, genes)
+    if missing:
+        raise ValueError(f"no interval for genes: {missing}")
     contig, start, end = parse_interval("interval", buffer)
-    return intervals.where(F.col("gene").isin(list(genes))).select(
+    return intervals.where(F.col("gene").isin(genes)).select(
         "gene", contig.alias("contig"), start.alias("start"), end.alias("end")
     )
 
@@ -85,12 +104,40 @@ def with_minimal_alleles(df: DataFrame, pos: str, ref: str, alt: str) -> DataFra
     }).drop("_tail", "_head")
 
 
+def _downcoded(likelihoods: str, this: Column) -> Column:
+    """Least likelihood with 0, 1 and 2 copies of allele ``this``; null where they can't be told.
+
+    Genotype j/k (j <= k) has the place k(k+1)/2 + j, so a list has n(n+1)/2
+    values for n alleles. A list of another length is no diploid one.
+    """
+    n = F.size("alleles")
+    copies = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.transform(
+        F.sequence(F.lit(0), k), lambda j: (j == this).cast("int") + (k == this).cast("int"))))
+    pl = F.col(likelihoods)
+
+    def least_of(i: int) -> Column:
+        return F.array_min(F.zip_with(pl, copies, lambda x, c: F.when(c == i, x)))
+
+    least = F.array(*[least_of(i) for i in range(3)])
+    whole = (F.size(pl) * 2 == n * (n + 1)) & ~F.exists(pl, lambda x: x.isNull())
+    return F.when(whole, F.when(n == 2, pl).otherwise(least))
+
+
+def quality_of_likelihoods(pl: Column) -> Column:
+    """Second least likelihood less the least, both at most 99."""
+    ordered = F.sort_array(F.concat(pl, F.array(F.lit(99), F.lit(99))))
+    return F.get(ordered, 1) - F.get(ordered, 0)
+
+
 def split_multiallelic(genotypes: DataFrame, minimise: bool = True) -> DataFrame:
     """One row per alternate allele, genotypes and depths coded against it.
 
     Other alternates count as reference: ``gt`` becomes 0/1 per haplotype and
-    ``ad`` becomes [all other reads, reads of this allele]. Spanning-deletion
-    alleles (``*``) give no row.
+    ``ad`` becomes [all other reads, reads of this allele]. If there is a
+    column ``pl``, it becomes the least likelihood with 0, 1 and 2 copies of
+    this allele, and ``gq``, if there, is taken from it, at sites of one
+    alternate too; without likelihoods the reported ``gq`` stays.
+    Spanning-deletion alleles (``*``) give no row.
     """
     alts = F.slice(F.col("alleles"), 2, F.greatest(F.size("alleles") - 1, F.lit(0)))
     rows = genotypes.select(
@@ -106,6 +153,10 @@ def split_multiallelic(genotypes: DataFrame, minimise: bool = True) -> DataFrame
         F.col("ad").isNotNull(),
         F.array(F.aggregate("ad", F.lit(0), lambda x, y: x + y) - mine, mine),
     )
+    if "pl" in genotypes.columns:
+        rows = rows.withColumn("pl", _downcoded("pl", this))
+        if "gq" in genotypes.columns:
+            rows = rows.withColumn("gq", F.coalesce(quality_of_likelihoods(F.col("pl")), F.col("gq")))
     out = rows.select(
         *[c for c in genotypes.columns if c not in ("alleles", "gt", "ad")],
         F.element_at("alleles", 1).alias("_ref"), "_alt", gt.alias("gt"), ad.alias("ad"),

@@ -8,6 +8,7 @@ writing out, and ``folder`` turns that on.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -46,13 +47,16 @@ class GenotypeResult:
 
 
 def run(
-    inputs: GenotypeInputs, skip: Iterable[str] = (), genes: Sequence[str] = S.GENE_SET,
+    inputs: GenotypeInputs, skip: Iterable[str] = (), genes: Sequence[str] | None = None,
     lof_genes: Sequence[str] = S.LOF_GENE_SET, severity: Sequence[str] = (),
     dropped_tissues: Sequence[str] = (), folder: str | None = None, overwrite: bool = True,
 ) -> GenotypeResult:
     """Run the steps. Steps without their input count as skipped.
 
-    Sources without quality fields must skip ``genotype_filter``.
+    Sources without quality fields must skip ``genotype_filter``. A gene listed
+    in ``genes`` must have an interval, if intervals are given. Without a list
+    the study's genes are taken, and those without an interval are named in a
+    warning.
     """
     skipped = set(skip)
     unknown = skipped - set(STEPS)
@@ -70,7 +74,14 @@ def run(
     if "filter_samples" not in skipped:
         data = G.drop_flagged_samples(data, inputs.sample_flags)
     if "filter_intervals" not in skipped:
-        data = G.filter_to_intervals(data, G.gene_intervals(inputs.intervals, genes))
+        placed = genes
+        if genes is None:
+            missing = G.genes_without_interval(inputs.intervals, S.GENE_SET)
+            if missing:
+                warnings.warn(f"no interval for genes, their variants are left out: {missing}", stacklevel=2)
+            placed = [g for g in S.GENE_SET if g not in missing]
+        data = G.filter_to_intervals(data, G.gene_intervals(inputs.intervals, placed))
+    genes = S.GENE_SET if genes is None else genes
     if "split" not in skipped:
         data = G.split_multiallelic(data)
     if "genotype_filter" not in skipped:

@@ -31,9 +31,10 @@ def _field(call: Column, keys: Column, name: str) -> Column:
 
 
 def read_genotypes(spark: SparkSession, path, partitions: int | None = None) -> DataFrame:
-    """Long genotypes: contig, pos, alleles, sample, gt, ad, dp, gq.
+    """Long genotypes: contig, pos, alleles, sample, gt, ad, dp, gq, pl.
 
-    A call with any missing allele is null; phasing is not kept. Pass
+    A call with any missing allele is null; phasing is not kept. A list of
+    depths or likelihoods with any missing value is null. Pass
     ``partitions`` for inputs that cannot be split by the scan.
     """
     lines = spark.read.text(path).where(~F.col("value").startswith("#"))
@@ -50,8 +51,11 @@ def read_genotypes(spark: SparkSession, path, partitions: int | None = None) ->
     ).withColumn("_call", F.split("_text", ":"))
     gt_text = F.split(_field(F.col("_call"), F.col("_keys"), "GT"), r"[/|]")
     gt = F.transform(gt_text, lambda a: a.try_cast("int"))
-    ad = F.transform(
-        F.split(_field(F.col("_call"), F.col("_keys"), "AD"), ","), lambda a: a.try_cast("int"))
+
+    def numbers(name: str) -> Column:
+        found = F.transform(
+            F.split(_field(F.col("_call"), F.col("_keys"), name), ","), lambda a: a.try_cast("int"))
+        return F.when(~F.exists(found, lambda a: a.isNull()), found)
 
     def number(name: str) -> Column:
         return _field(F.col("_call"), F.col("_keys"), name).try_cast("int")
@@ -59,11 +63,10 @@ def read_genotypes(spark: SparkSession, path, partitions: int | None = None) ->
     calls = site.select(
         "contig", "pos", "alleles", "sample_idx",
         F.when(~F.exists(gt, lambda a: a.isNull()), gt).alias("gt"),
-        F.when(~F.exists(ad, lambda a: a.isNull()), ad).alias("ad"),
-        number("DP").alias("dp"), number("GQ").alias("gq"),
+        numbers("AD").alias("ad"), number("DP").alias("dp"), number("GQ").alias("gq"), numbers("PL").alias("pl"),
     )
     return calls.join(sample_names(spark, path), "sample_idx").drop("sample_idx").select(
-        "contig", "pos", "alleles", "sample", "gt", "ad", "dp", "gq")
+        "contig", "pos", "alleles", "sample", "gt", "ad", "dp", "gq", "pl")
 
 
 def info_text(fields: Mapping[str, Column]) -> Column:

@@ -204,6 +204,42 @@ def test_skipped_steps(spark, genotypes):
         study.run(study.GenotypeInputs(genotypes), skip=["nothing"])
 
 
+def test_split_takes_quality_from_likelihoods(spark, tmp_path):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\ts4\n"
+    lines = ("1\t10\t.\tA\tC,G\t.\t.\t.\tGT:AD:DP:GQ:PL\t1/2:0,15,15:30:99:90,80,70,60,0,12\t"
+             "0/1:15,15,0:30:5:50,0,200,180,150,300\t0/2:15,0,15:30:40:.\t0/1:15,15,0:30:.:9,0,20\n"
+             "1\t20\t.\tA\tC\t.\t.\t.\tGT:AD:DP:GQ:PL\t0/1:15,15:30:99:10,0,300\t0/0:30,0:30:10:0,200,300\t"
+             "0/0:30,0:30:33:0,.,9\t0/0:30,0:30:44\n")
+    calls = vcf.read_genotypes(spark, put(tmp_path / "pl.vcf", head + lines))
+    rows = {(r["pos"], r["alleles"][1], r["sample"]): r for r in G.split_multiallelic(calls).collect()}
+    pl = (90, 80, 70, 60, 0, 12)  # of 0/0, 0/1, 1/1, 0/2, 1/2, 2/2
+    for allele in (1, 2):
+        least = [min(pl[k * (k + 1) // 2 + j] for k in range(3) for j in range(k + 1) if (j == allele) + (k == allele) == c)
+                 for c in range(3)]
+        got = rows[10, "-CG"[allele], "s1"]
+        assert got["pl"] == least and got["gq"] == sorted(least)[1] - min(least)
+    assert rows[10, "C", "s1"]["gq"] == 12 and rows[10, "G", "s1"]["gq"] == 12
+    assert rows[10, "C", "s2"]["pl"] == [50, 0, 200] and rows[10, "C", "s2"]["gq"] == 50
+    assert rows[10, "G", "s2"]["pl"] == [0, 150, 300] and rows[10, "G", "s2"]["gq"] == 99
+    assert rows[10, "C", "s3"]["gq"] == 40 and rows[10, "C", "s3"]["pl"] is None
+    assert rows[10, "C", "s4"]["gq"] is None and rows[10, "C", "s4"]["pl"] is None
+    assert [rows[20, "C", f"s{i}"]["gq"] for i in (1, 2, 3, 4)] == [10, 99, 33, 44]
+    masked = {(r["pos"], r["alleles"][1], r["sample"]): r["gt"] for r in G.mask_genotypes(G.split_multiallelic(calls)).collect()}
+    assert masked[10, "C", "s1"] is None and masked[10, "C", "s2"] == [0, 1] and masked[20, "C", "s1"] is None
+
+
+def test_gene_without_interval_is_refused(spark, genotypes):
+    spans = spark.createDataFrame([("LDLR", "chr1:50-250"), ("GCK", None)], "gene string, interval string")
+    with pytest.raises(ValueError, match="GCK.*PCSK9"):
+        G.gene_intervals(spans, ["LDLR", "PCSK9", "GCK"])
+    inputs = study.GenotypeInputs(genotypes, intervals=spans)
+    with pytest.raises(ValueError, match="PCSK9"):
+        study.run(inputs, genes=["LDLR", "PCSK9"])
+    assert study.run(inputs, genes=["LDLR"]).variants.count() == 3
+    with pytest.warns(UserWarning, match="PCSK9"):
+        assert study.run(inputs).variants.count() == 3
+
+
 def test_export_fills_missing_calls(spark, tmp_path):
     calls = spark.createDataFrame(
         [("1", 5, ["A", "C"], "b", [0, 1], [1, 2], 3, 40), ("1", 5, ["A", "C"], "d", [1, 1], None, None, None),
