@@ -6,7 +6,7 @@ runs of other signs); the weights are shared by all grades, and ordered
 thresholds cut the score: P(grade <= j) = sigmoid(threshold_j - score).
 
 The model is fitted on a bounded sample: the ``sample`` rated documents with the
-least hash of their id. Every document is scored where it is read; the model
+least hash of their id, one text for each. Every document is scored where it is read; the model
 (a vector of fixed length) goes to the tasks.
 """
 
@@ -118,7 +118,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = SAMPLE) -> Model:
-    """Model fitted on at most ``sample`` rated documents, chosen by the hash of their id."""
+    """Model fitted on at most ``sample`` rated documents, chosen by the hash of their id.
+
+    Of rows that share an id the text of least hash is taken, before anything goes to the driver.
+    """
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +132,12 @@ def train(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = SAM
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), lists],
                                              names=["doc_id", "grade", "slots"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(
-        extract, "doc_id long, grade int, slots array<int>").toArrow().sort_by("doc_id")
-    slots = [np.asarray(x.values) for x in rows.column("slots")][: 2 * sample]
-    return fit(slots, rows.column("grade").to_numpy().astype(np.int64)[: 2 * sample], levels)
+    least = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text"))
+    single = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(
+        least.alias("least")).select("doc_id", "grade", "least.text")
+    rows = single.mapInArrow(extract, "doc_id long, grade int, slots array<int>").toArrow().sort_by("doc_id")
+    slots = [np.asarray(x.values) for x in rows.column("slots")]
+    return fit(slots, rows.column("grade").to_numpy().astype(np.int64), levels)
 
 
 def classify(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFrame:

@@ -249,6 +249,19 @@ def test_quality_edges(spark, docs):
     assert len(got) == len(corpus()) and all(r.kept for r in got)
 
 
+def test_quality_trains_on_each_sampled_id_once(spark, monkeypatch):
+    rows = [(0, f"crowd {k}") for k in range(400)] + [(0, None)] + [(i, f"text of {i}") for i in range(1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 3) for i in range(6)], "doc_id long, grade int")
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda slots, grades, levels: fitted.append((slots, grades.tolist())))
+    quality.train(docs, grades, sample=6)
+    quality.train(docs.repartition(5), grades, sample=6)
+    (slots, order), (again, _) = fitted
+    assert order == [0, 1, 2, 0, 1, 2] and [len(x) for x in slots] == [3] + [4] * 5
+    assert all((a == b).all() for a, b in zip(slots, again))
+
+
 def test_language(spark, folder, docs):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.documents_language(frame).toPandas()
