@@ -1,9 +1,9 @@
 """Language identification by Bayesian fusion of evidence.
 
 Text: byte trigrams in hashed slots, with a multinomial model for each language
-counted over all texts by the language they declare. Declared markup language
-and address suffix: how often a declaration or suffix goes with a text whose
-own words say a language, from the same counts. Host: a prior by grouped
+counted over all texts by the language they declare. Declared markup language,
+country domain and language part of the path: how often each goes with a text
+whose own words say a language, from the same counts. Host: a prior by grouped
 aggregation, smoothed towards the parent domain, which is smoothed towards the
 whole corpus. Texts stay where they are read; only small rows are shuffled, and
 host counts are pre-aggregated before they are joined.
@@ -22,6 +22,10 @@ from carrierlab.llm import text as tx
 from carrierlab.llm.tables import checkpointed
 
 LANGUAGES = ("de", "en", "es", "fr")
+# Country domains with one main language.
+DOMAINS = {
+    "de": "de", "at": "de", "li": "de", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "es": "es", "mx": "es",
+    "ar": "es", "cl": "es", "pe": "es", "uy": "es", "ve": "es", "fr": "fr", "mc": "fr"}
 SLOTS = 1 << 14
 HOST_WEIGHT, PARENT_WEIGHT = 20.0, 50.0
 MIN_POSTERIOR, LEAST_FIT = 0.5, -2.0
@@ -41,14 +45,16 @@ def trigram_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def identify(rows: DataFrame, id_cols: list[str], text_col: str, declared: Column, suffix: Column, host: Column,
-             parent: Column, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+             parent: Column, languages: tuple[str, ...] = LANGUAGES, path: Column | None = None) -> DataFrame:
     """``id_cols`` with predicted, posterior, text_language, fit, declared and kept.
 
     A row is kept when the best language has a posterior of at least
     ``MIN_POSTERIOR`` and the text has words of it: the mean log likelihood
     ratio of its trigrams against an even model is not below ``LEAST_FIT``.
     Null and empty texts, and texts without letters, have no text evidence and
-    are rejected. Null or unknown declarations, suffixes and hosts add nothing.
+    are rejected. ``suffix`` is the language of the host's country domain,
+    ``path`` that of the address's path. Null or unknown declarations,
+    suffixes, paths and hosts add nothing.
     Ids may repeat or be null; an empty table gives an empty result. Starts
     Spark jobs while the plan is built.
     """
@@ -56,7 +62,9 @@ def identify(rows: DataFrame, id_cols: list[str], text_col: str, declared: Colum
     k = len(languages)
     rows = rows.select(
         *id_cols, F.col(text_col).alias("text"), number[F.lower(F.substring(declared, 1, 2))].alias("declared"),
-        number[F.lower(suffix)].alias("suffix"), host.alias("host"), parent.alias("parent"))
+        number[F.lower(suffix)].alias("suffix"), host.alias("host"), parent.alias("parent"),
+        *([] if path is None else [number[F.lower(path)].alias("path")]))
+    evidence = ["declared", "suffix", *([] if path is None else ["path"])]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((k, SLOTS), dtype=np.int64)
@@ -75,7 +83,7 @@ def identify(rows: DataFrame, id_cols: list[str], text_col: str, declared: Colum
     counts = counts.reshape(k, SLOTS) + 0.5
     model = np.log(counts / counts.sum(axis=1, keepdims=True)) + np.log(SLOTS)
 
-    names = [*id_cols, "declared", "suffix", "host", "parent"]
+    names = [*id_cols, *evidence, "host", "parent"]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +103,7 @@ def identify(rows: DataFrame, id_cols: list[str], text_col: str, declared: Colum
     best = F.when(F.col("n") > 0, _argmax([F.col(f"t{i}") for i in range(k)]))
     weighed = weighed.withColumn("said", best)
     tables = {}
-    for column in ("declared", "suffix"):
+    for column in evidence:
         seen = np.ones((k, k))
         for r in weighed.where(f"said IS NOT NULL AND {column} IS NOT NULL").groupBy("said", column).count().collect():
             seen[r["said"], r[column]] += r["count"]
@@ -119,7 +127,7 @@ def identify(rows: DataFrame, id_cols: list[str], text_col: str, declared: Colum
     def seen_log(column: str, i: int) -> Column:
         return F.coalesce(F.get(F.lit([float(x) for x in tables[column][i]]), F.col(column)), F.lit(0.0))
 
-    logs = [text[i] + seen_log("declared", i) + seen_log("suffix", i)
+    logs = [text[i] + sum((seen_log(column, i) for column in evidence), F.lit(0.0))
             + F.coalesce(F.col(f"h{i}"), F.lit(float(np.log(prior[i])))) for i in range(k)]
     scored = scored.select(*id_cols, "n", "said", "declared", *[F.col(f"t{i}") for i in range(k)],
                            *[x.alias(f"l{i}") for i, x in enumerate(logs)])
@@ -149,13 +157,23 @@ def documents_language(docs: DataFrame) -> DataFrame:
                     F.lit(None).cast("string"))
 
 
+def path_language(url: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
+    """Language that the first part of the path names, else its last part; a region may follow."""
+    address, name = "(?i)^[a-z]+://[^/?#]+/", "([a-z]{2})(?:[-_][a-z]{2})?"
+    parts = [F.lower(F.regexp_extract(url, address + between + name + end, 1)) for between, end in (
+        ("", "(?:[/?#]|$)"), ("(?:[^?#]*/)?", "/?(?:[?#]|$)"))]
+    return F.coalesce(*[F.when(x.isin(list(languages)), x) for x in parts])
+
+
 def pages_language(pages: DataFrame) -> DataFrame:
-    """Pages: markup language, language part of the address, host and its parent domain."""
+    """Pages: markup language, country domain, language part of the path, host and its parent domain."""
     url = F.col("url")
     host = F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/:?#]+)", 1))
     host = F.when(host != "", host)
+    domain = F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair])
     pages = pages.withColumn("bare", F.regexp_replace(F.regexp_replace(
         "html", "(?is)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]*>", " "))
     return identify(
         pages, ["page_id"], "bare", F.regexp_extract("html", "(?i)<html[^>]*\\blang=[\"']?([a-zA-Z]{2})", 1),
-        F.regexp_extract(url, "^[a-zA-Z]+://[^/]+/([a-z]{2})/", 1), host, F.regexp_extract(host, "([^.]+\\.[^.]+)$", 1))
+        domain[F.regexp_extract(host, "\\.([a-z]{2})$", 1)], host, F.regexp_extract(host, "([^.]+\\.[^.]+)$", 1),
+        path=path_language(url))

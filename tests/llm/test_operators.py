@@ -270,6 +270,31 @@ def test_language(spark, folder, docs):
     assert len(edge) == len(corpus()) and not [r for r in edge if r.kept and r.doc_id in (72 + 15, 88, 89)]
 
 
+def test_pages_follow_their_address(spark):
+    # The four languages are one text in four alphabets, so only other evidence can tell a mixed text.
+    rng = random.Random(4)
+    bases = ["".join(rng.choice("abcde    ") for _ in range(400)) for _ in range(61)]
+    said = lambda i, k: bases[i].translate({97 + j: 97 + 5 * k + j for j in range(5)})
+    domain = lambda name: {"en": "uk"}.get(name, name)
+    rows = [(100 * k + i, f"http://w{i}.site{k}{i}.{domain(name) if i % 2 else 'com/' + name}{'/p' if i % 4 else '?q=1'}",
+             f"<html lang='{name}'><style>p</style><p>{said(i, k)}</p></html>")
+            for k, name in enumerate(language.LANGUAGES) for i in range(60)]
+    mixed = "abc fgh klm pqr"
+    ends = ["http://new{}.{}/x", "http://new{}.com/{}", "http://new{}.com/{}?x=1", "http://new{}.com/{}#a", "http://new{}.com/{}/p",
+            "http://new{}.com/a/b/{}", "http://new{}.com/a/{}/?x", "http://new{}.com/{}-XY/a"]
+    probes = [(1000 + 10 * j + k, end.format(10 * j + k, name.upper() if j % 2 else domain(name) if j == 0 else name), f"<p>{mixed}</p>")
+              for j, end in enumerate(ends) for k, name in enumerate(language.LANGUAGES)]
+    odd = [(2000, None, f"<html lang=fr>{said(60, 3)}"), (2001, "http://10.0.0.1/", None), (2002, "http://a.co.uk", f"<p>{mixed}")]
+    frame = spark.createDataFrame(rows + probes + odd, "page_id long, url string, html string")
+    got = {r.page_id: r for r in language.pages_language(frame).collect()}
+    assert len(got) == len(rows + probes + odd)
+    assert all(got[100 * k + i].predicted == name and got[100 * k + i].kept
+               for k, name in enumerate(language.LANGUAGES) for i in range(60))
+    assert {i: got[i].predicted for i, _, _ in probes} == {i: language.LANGUAGES[i % 10] for i, _, _ in probes}
+    assert got[2000].predicted == "fr" and got[2002].predicted == "en" and not got[2001].kept
+    assert language.pages_language(frame.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("plan", [
     ngram_jaccard_join, line_dedup.dedup_lines, packing.pack_by_length, backoff.backoff_scores, fingerprints.edited_report,
     language.documents_language, lambda d: byte_bpe.encode(d, RANKS, public_tokenizers.PATTERN)])
