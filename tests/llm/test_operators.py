@@ -125,6 +125,16 @@ def test_packing_rows(docs):
         assert sorted(r.slot for r in rows) == list(range(len(rows)))
 
 
+def test_packing_is_exact_on_long_texts(spark):
+    sizes = [1000] * 9 + [1007] * 4 + [1010, 5000, 40_000, 40_001]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    got = {r.doc_id: r for r in packing.pack_by_length(docs, buckets=5).collect()}
+    assert [got[i].n_tokens for i in range(len(sizes))] == sizes
+    assert [got[i].padded for i in range(len(sizes))] == [*sizes[:-2], 40_001, 40_001]
+    merged = {r.doc_id: r.padded for r in packing.pack_by_length(docs, buckets=5, exact_below=128).collect()}
+    assert merged[0] == 1007
+
+
 @pytest.mark.parametrize("chunk, overlap", [(64, 16), (100, 3), (65536, 4096)])
 def test_bpe_equals_the_library(spark, chunk, overlap):
     made = byte_bpe.encoder(RANKS, public_tokenizers.PATTERN)
