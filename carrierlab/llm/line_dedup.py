@@ -14,7 +14,9 @@ Jaccard similarity of the threshold or more.
    whole sets and positions. A semi-join verifies Jaccard against earlier sets.
 4. Removed lines are taken out of the texts.
 
-A task that has sent a set does not send it again, so copies cost little.
+A task that has sent a set does not send it again, so copies cost little. A
+token or leader with more than a fixed number of sets is cut into parts: a set
+stays in one part, and the sets it is held against go to all of them.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from carrierlab.llm.tables import checkpointed
 
 NUMERATOR, DENOMINATOR = 85, 100
 SEEN, SLOTS = 1 << 20, 1 << 23
+PART_PREFIXES, PART_SETS = 20_000, 2_000
 
 
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,25 +93,72 @@ class _Once:
         return out
 
 
-def _prefixes(classes: np.ndarray, numerator: int, denominator: int):
+def _prefix_rows(batches, classes: np.ndarray, numerator: int, denominator: int):
+    """(tokens, key, size, place, parity bits) of the prefixes, a batch at a time; a set's once a task."""
+    once = _Once()
+    for _, data, offsets in tx.slices(batches, "text"):
+        owner, tokens, _, n, size, keys = _sets(data, offsets)
+        bits = tx.parity(owner, tokens, n, 2)
+        owner, tokens = tx.distinct_sorted(owner, tx.ranked(tokens, classes))
+        at = np.arange(len(owner)) - np.searchsorted(owner, np.arange(n))[owner]
+        prefix = size - (numerator * size + denominator - 1) // denominator + 1
+        keep = once.fresh(keys, size)[owner] & (at < prefix[owner])
+        own = owner[keep]
+        yield tokens[keep], keys[own], size[own], at[keep], bits[0][own], bits[1][own]
+
+
+def _prefix_counts(classes: np.ndarray, numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = _Once()
-        for _, data, offsets in tx.slices(batches, "text"):
-            owner, tokens, _, n, size, keys = _sets(data, offsets)
-            bits = tx.parity(owner, tokens, n, 2)
-            owner, tokens = tx.distinct_sorted(owner, tx.ranked(tokens, classes))
-            at = np.arange(len(owner)) - np.searchsorted(owner, np.arange(n))[owner]
-            prefix = size - (numerator * size + denominator - 1) // denominator + 1
-            keep = once.fresh(keys, size)[owner] & (at < prefix[owner])
-            own = owner[keep]
+        counts = np.zeros(tx.BUCKETS, dtype=np.int64)
+        for tokens, *_ in _prefix_rows(batches, classes, numerator, denominator):
+            counts += np.bincount(tx.bucket(tokens), minlength=tx.BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "seen"])
+
+    return run
+
+
+def _prefixes(classes: np.ndarray, parts: np.ndarray, hot: bool, numerator: int, denominator: int):
+    """Prefix rows of the tokens that are cut into parts, or of the others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, *columns in _prefix_rows(batches, classes, numerator, denominator):
+            part = parts[tx.bucket(tokens)]
+            use = (part > 1) == hot
+            key, size, at, s0, s1 = (c[use] for c in columns)
             yield pa.RecordBatch.from_arrays([
-                pa.array(tokens[keep].view(np.int64)), pa.array(keys[own]), pa.array(size[own].astype(np.int32)),
-                pa.array(at[keep].astype(np.int32)), pa.array(bits[0][own]), pa.array(bits[1][own])],
-                names=["token", "key", "size", "at", "s0", "s1"])
+                pa.array(tokens[use].view(np.int64)), pa.array(key), pa.array(size.astype(np.int32)),
+                pa.array(at.astype(np.int32)), pa.array(s0), pa.array(s1), pa.array(part[use].astype(np.int32))],
+                names=["token", "key", "size", "at", "s0", "s1", "parts"])
 
     return run
 
 
+def _slot_counts(rows: DataFrame) -> np.ndarray:
+    """Sum of ``seen`` by slot, over a table of fixed size."""
+    seen = rows.groupBy("slot").agg(F.sum("seen").alias("seen")).toPandas()
+    counts = np.zeros(tx.BUCKETS, dtype=np.int64)
+    counts[seen["slot"].to_numpy(dtype=np.int64)] = seen["seen"].to_numpy(dtype=np.int64)
+    return counts
+
+
+def _met(usual: DataFrame, hot: DataFrame | None, group: str, condition: Column, keep: list[str]) -> DataFrame:
+    """``keep`` of the rows that meet a row of their group (columns ``o_...``) under the condition.
+
+    ``hot`` has groups that are cut into ``parts``.
+    """
+    def join(rows: DataFrame, others: DataFrame, on: Column) -> DataFrame:
+        return rows.join(others.toDF(*[f"o_{c}" for c in others.columns]), on & condition, "left_semi").select(*keep)
+
+    same = F.col(group) == F.col(f"o_{group}")
+    out = join(usual, usual, same)
+    if hot is not None:
+        out = out.unionByName(join(
+            hot.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")),
+            hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))),
+            same & (F.col("part") == F.col("o_part"))))
+    return out
+
+
 def _whole(slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -145,25 +195,30 @@ def _need(a: Column, b: Column, numerator: int, denominator: int) -> Column:
 def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """(doc_id, line) of the lines to remove; ``docs`` has doc_id and text."""
     listed = checkpointed(docs.mapInArrow(_listing, "doc_id long, key long, line int, slot int, seen long"))
-    seen = listed.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).toPandas()
-    counts = np.zeros(tx.BUCKETS, dtype=np.int64)
-    counts[seen["slot"].to_numpy(dtype=np.int64)] = seen["seen"].to_numpy(dtype=np.int64)
+    classes = tx.rarity_class(_slot_counts(listed.where("slot IS NOT NULL")))
     lines = listed.where("slot IS NULL AND doc_id IS NOT NULL").select("doc_id", "key", "line")
     owners = lines.groupBy("key").agg(F.min("doc_id").alias("owner"))
 
-    prefix = docs.mapInArrow(_prefixes(tx.rarity_class(counts), numerator, denominator),
-                             "token long, key long, size int, at int, s0 long, s1 long")
-    other = prefix.toDF("o_token", "o_key", "o_size", "o_at", "o_s0", "o_s1")
+    parts = np.maximum(-(-_slot_counts(docs.mapInArrow(
+        _prefix_counts(classes, numerator, denominator), "slot int, seen long")) // PART_PREFIXES), 1)
+
+    def prefixes(hot: bool) -> DataFrame:
+        return docs.mapInArrow(_prefixes(classes, parts, hot, numerator, denominator),
+                               "token long, key long, size int, at int, s0 long, s1 long, parts int")
+
     need = _need(F.col("size"), F.col("o_size"), numerator, denominator)
-    matched = checkpointed(prefix.join(other, (
-        (F.col("token") == F.col("o_token")) & (F.col("key") != F.col("o_key"))
-        & (F.col("size") * denominator >= F.col("o_size") * numerator)
-        & (F.col("o_size") * denominator >= F.col("size") * numerator)
+    near_size = ((F.col("size") * denominator >= F.col("o_size") * numerator)
+                 & (F.col("o_size") * denominator >= F.col("size") * numerator))
+    matched = checkpointed(_met(prefixes(False), checkpointed(prefixes(True)) if parts.max() > 1 else None, "token", (
+        (F.col("key") != F.col("o_key")) & near_size
         & (F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) >= need)
         & (F.bit_count(F.col("s0").bitwiseXOR(F.col("o_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1")))
-           <= F.col("size") + F.col("o_size") - 2 * need)), "left_semi").select("token", "key"))
-    groups = checkpointed(matched.withColumn(
-        "leader", F.min("key").over(Window.partitionBy("token"))).select("leader", "key").distinct())
+           <= F.col("size") + F.col("o_size") - 2 * need)), ["token", "key"]))
+    if parts.max() > 1:  # a window would hold a frequent token in one task
+        led = matched.join(matched.groupBy("token").agg(F.min("key").alias("leader")), "token")
+    else:
+        led = matched.withColumn("leader", F.min("key").over(Window.partitionBy("token")))
+    groups = checkpointed(led.select("leader", "key").distinct())
     keys = groups.select("key").distinct()
     sets = docs.mapInArrow(_whole(_key_bits(keys)), "key long, tokens array<long>").join(
         keys, "key", "left_semi").dropDuplicates(["key"])
@@ -171,16 +226,20 @@ def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int
     owned = lines.join(owners.join(keys, "key", "left_semi"), "key").where("doc_id = owner").groupBy("key", "owner").agg(
         F.min("line").alias("line"))
     placed = checkpointed(sets.join(owned, "key"))
-    met = groups.join(placed, "key").select("leader", "key", "owner", "line", "tokens", F.size("tokens").alias("size"))
-    earlier = met.toDF("e_leader", "e_key", "e_owner", "e_line", "e_tokens", "e_size")
-    common = F.size(F.array_intersect("tokens", "e_tokens"))
-    close = met.join(earlier, (
-        (F.col("leader") == F.col("e_leader"))
-        & ((F.col("e_owner") < F.col("owner")) | (F.col("e_owner") == F.col("owner")) & (F.col("e_line") < F.col("line")))
-        & (F.col("size") * denominator >= F.col("e_size") * numerator)
-        & (F.col("e_size") * denominator >= F.col("size") * numerator)
-        & (common * denominator >= numerator * (F.col("size") + F.col("e_size") - common))), "left_semi").select(
-        "key", F.lit(True).alias("close")).distinct()
+    large = checkpointed(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / PART_SETS).cast("int").alias("parts")).where(
+        "parts > 1"))
+
+    def met(chosen: DataFrame) -> DataFrame:
+        return chosen.join(placed, "key").withColumn("size", F.size("tokens"))
+
+    common = F.size(F.array_intersect("tokens", "o_tokens"))
+    none = large.isEmpty()
+    close = _met(
+        met(groups if none else groups.join(large, "leader", "left_anti")),
+        None if none else met(groups.join(large, "leader")), "leader", (
+            ((F.col("o_owner") < F.col("owner")) | (F.col("o_owner") == F.col("owner")) & (F.col("o_line") < F.col("line")))
+            & near_size & (common * denominator >= numerator * (F.col("size") + F.col("o_size") - common))),
+        ["key"]).distinct().withColumn("close", F.lit(True))
     known = owners.join(close, "key", "left")
     first = F.min("line").over(Window.partitionBy("doc_id", "key"))
     return lines.withColumn("first", first).join(known, "key").where(

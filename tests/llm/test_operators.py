@@ -96,6 +96,24 @@ def test_line_dedup_is_exact(docs):
     assert {r.size for r in got} == {7}
 
 
+def test_line_dedup_in_parts(spark, docs, monkeypatch):
+    rng = random.Random(8)
+    crowd = [" ".join(["shared", *rng.sample(VOCABULARY, 8)]) for _ in range(80)]
+    crowd += [c.replace(c.split()[4], "new", 1) + " " + " ".join(f"t{k}" for k in range(12)) for c in crowd[:9] for _ in range(2)]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(
+        [(1000 + i, c) for i, c in enumerate(crowd)], "doc_id long, text string"))
+    whole = sorted(((r.doc_id or -1, r.text or "", r.n_removed) for r in line_dedup.dedup_lines(frame).collect()))
+    assert sum(x[2] for x in whole) > 20
+    parts = []
+    met = line_dedup._met
+    monkeypatch.setattr(line_dedup, "_met", lambda usual, hot, *rest: parts.append(
+        hot.agg({"parts": "max"}).first()[0] if hot is not None else 1) or met(usual, hot, *rest))
+    monkeypatch.setattr(line_dedup, "PART_PREFIXES", 3)
+    monkeypatch.setattr(line_dedup, "PART_SETS", 2)
+    cut = sorted(((r.doc_id or -1, r.text or "", r.n_removed) for r in line_dedup.dedup_lines(frame).collect()))
+    assert cut == whole and len(parts) == 2 and min(parts) > 1
+
+
 def test_packing_has_least_padding_and_fits():
     rng = np.random.default_rng(1)
     tops = np.unique(rng.integers(1, 60, 14))
