@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierlab.llm import backoff, byte_bpe, chat, embeddings, fingerprints, language, line_dedup, packing, quality
+from carrierlab.llm import (
+    backoff, byte_bpe, chat, embeddings, fingerprints, language, line_dedup, packing, quality, whitening)
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 from carrierlab.llm.tables import ORACLES, QUERIES, query, table
 
@@ -79,4 +80,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.windows(given.unionByName(extra)))
 
 
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
