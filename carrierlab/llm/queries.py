@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carrierlab.llm import (
-    backoff, byte_bpe, chat, embeddings, fingerprints, language, line_dedup, packing, quality, whitening)
+    backoff, byte_bpe, chat, embeddings, fingerprints, language, line_dedup, packing, quality,
+    structure, whitening)
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 from carrierlab.llm.tables import ORACLES, QUERIES, query, table
 
@@ -80,6 +81,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.windows(given.unionByName(extra)))
 
 
+@query("op11_structure_repair", structure.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.report(table(spark, folder, "conversations"))
+
+
 @query("op12_embedding_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
