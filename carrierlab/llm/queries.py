@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carrierlab.llm import (
     backoff, byte_bpe, chat, embeddings, fingerprints, language, line_dedup, packing, quality,
-    structure, whitening)
+    structure, toxicity, whitening)
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 from carrierlab.llm.tables import ORACLES, QUERIES, query, table
 
@@ -91,4 +91,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+@query("op13_toxicity")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 __all__ = ["ORACLES", "QUERIES"]
