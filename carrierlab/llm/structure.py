@@ -26,9 +26,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ from carrierlab.llm.tables import checkpointed
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 START, SYSTEM, USER, ASSISTANT = range(4)
 LETTERS = "DIKR"  # in ASCII order
-BLOCK, PIECE = 64, 4096
+BLOCK, PIECE, TASK_ROWS = 64, 4096, 1 << 14
 INFINITE = 1 << 60
 
 FINE, BLANK, DUPLICATE, CUT = range(4)
@@ -189,6 +189,8 @@ def solved(placed: DataFrame) -> DataFrame:
     codes = light.select("conv_id", "place", "turn", F.when(F.col("dropped"), DROPPED).otherwise(
         F.substring(F.lit("0123456789abcdef"), fault * 4 + F.col("initial") + 1, F.lit(1))).alias("code"))
     # A piece has at most PIECE consecutive places, all of one partition.
+    # As many tasks as rows need: their work is in the lattice, not in their bytes.
+    tasks = 1 + placed.count() // TASK_ROWS
     pieces = codes.groupBy("conv_id", F.expr(f"place div {PIECE}").alias("piece")).agg(
         F.array_sort(F.collect_list(F.struct("place", "code"))).alias("rows"),
         F.coalesce(F.min("turn"), F.lit(0)).alias("low"), F.coalesce(F.max("turn"), F.lit(0)).alias("high"),
@@ -197,26 +199,37 @@ def solved(placed: DataFrame) -> DataFrame:
         "conv_id", "piece", F.col("rows")[0]["place"].alias("place"), "low", "high", "turns",
         F.array_join("rows.code", "").alias("codes"))
 
-    def solve(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("piece")
-        codes = bytes(int(c, 16) for c in "".join(table["codes"]).replace(DROPPED, ""))
-        known = table[table["turns"] > 0]
-        low, high = known["low"].astype("int64").to_numpy(), known["high"].astype("int64").to_numpy()
-        distinct = int(known["turns"].sum() - (low[1:] == high[:-1]).sum())
-        gaps = int(high.max()) - int(low.min()) + 1 - distinct if len(known) else 0
+    def solve(pieces: list[dict]) -> dict:
+        codes = bytes(int(c, 16) for p in pieces for c in p["codes"] if c != DROPPED)
+        known = [p for p in pieces if p["turns"]]
+        distinct = sum(p["turns"] for p in known) - sum(a["high"] == b["low"] for a, b in pairwise(known))
+        gaps = known[-1]["high"] - known[0]["low"] + 1 - distinct if known else 0
         array = np.frombuffer(codes, dtype=np.uint8)
         pair = array[:-1] % 4 * 4 + array[1:] % 4
         illegal = len(pair) - int(np.isin(pair, [0 * 4 + 1, 1 * 4 + 2, 2 * 4 + 1]).sum())
         faults = np.bincount(array // 4, minlength=4)
         cost, audit = cheapest_edits(codes)
-        return pd.DataFrame({
-            "conv_id": table["conv_id"].iloc[:1], "gaps": [gaps], "blank": [int(faults[BLANK])],
-            "duplicate": [int(faults[DUPLICATE])], "truncated": [int(faults[CUT])], "illegal": [illegal],
-            "cost": [cost], "audit": [audit], "places": [table["place"].tolist()], "codes": [table["codes"].tolist()]})
+        return {"gaps": gaps, "blank": int(faults[BLANK]), "duplicate": int(faults[DUPLICATE]),
+                "truncated": int(faults[CUT]), "illegal": illegal, "cost": cost, "audit": audit,
+                "places": [p["place"] for p in pieces], "codes": [p["codes"] for p in pieces]}
 
-    return pieces.groupBy("conv_id").applyInPandas(
-        solve, "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, "
-               "audit string, places array<long>, codes array<string>")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    kinds = {c: pa.int64() for c in counts} | {
+        "audit": pa.string(), "places": pa.list_(pa.int64()), "codes": pa.list_(pa.string())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                done = [solve(pieces) for pieces in part.column("pieces").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("conv_id"), *(pa.array([d[c] for d in done], kind) for c, kind in kinds.items())],
+                    names=["conv_id", *kinds])
+
+    whole = pieces.repartition(tasks, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(
+        F.struct("piece", "place", "low", "high", "turns", "codes"))).alias("pieces"))
+    return whole.mapInArrow(run, "conv_id long, " + ", ".join(f"{c} long" for c in counts) +
+                            ", audit string, places array<long>, codes array<string>")
 
 
 def edits(solution: DataFrame) -> DataFrame:
@@ -347,7 +360,9 @@ WITH RECURSIVE steps AS (
   SELECT *, row_number() OVER (PARTITION BY ck ORDER BY turn NULLS FIRST, role, txt) AS k FROM dam
 ), signed AS (
   SELECT *, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY ck, role, txt ORDER BY k) AS seen,
-    regexp_extract(txt, '([^ 	-])[ 	-]*$', 1) AS mark FROM numbered
+    regexp_extract(txt, '([^ 	-
+])[ 	-
+]*$', 1) AS mark FROM numbered
 ), f AS (
   SELECT *, CASE WHEN mark = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
       WHEN mark NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
