@@ -1,137 +1,116 @@
-"""Interval estimates that need a quantile function.
-
-Spark has no inverse beta or inverse Student-t, so the two quantiles are
-vectorised pandas UDFs. They are meant for *aggregated* frames, a handful of
-rows per analysis: the counting and averaging happens before, in Spark.
+"""Interval estimates that need a quantile function, as column expressions.
+
+Both quantiles solve log T(x) = log p for a tail integral T. With a step in the
+logarithm of x the integrand is T's own front factor times exp of a function
+that falls ever faster, so its range is known beforehand and one Gauss-Legendre
+rule of fixed length gives T for counts of any size; log T is concave, so
+Newton's steps close in from one side. Work per row does not depend on the
+counts.
 """
 
 from __future__ import annotations
 
 import math
-import sys
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carrierlab.functions.columns import as_col
 
-# Executors get the functions themselves and need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _lgamma(values):
-    return np.vectorize(math.lgamma, otypes=[float])(values)
-
-
-def beta_cdf(x, a, b):
-    """Regularised incomplete beta by its continued fraction (Lentz)."""
-    x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
-    inside = (x > 0) & (x < 1) & (a > 0) & (b > 0)
-    result = np.where(x >= 1, 1.0, 0.0)
-    if not inside.any():
-        return result
-    x, a, b = x[inside], a[inside], b[inside]
-    flip = x > (a + 1) / (a + b + 2)
-    p, q = np.where(flip, b, a), np.where(flip, a, b)
-    z = np.where(flip, 1 - x, x)
-    front = np.exp(
-        _lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(z) + q * np.log1p(-z)
-    ) / p
-    tiny = 1e-300
-
-    def guard(v):
-        return np.where(np.abs(v) < tiny, tiny, v)
-
-    c = np.ones_like(z)
-    d = 1 / guard(1 - (p + q) * z / (p + 1))
-    frac = d.copy()
-    # the fraction needs on the order of sqrt(max(a, b)) terms
-    for m in range(1, 200 + int(8 * np.sqrt(max(p.max(), q.max())))):
-        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
-        d, c = 1 / guard(1 + even * d), guard(1 + even / c)
-        frac = frac * d * c
-        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
-        d, c = 1 / guard(1 + odd * d), guard(1 + odd / c)
-        step = d * c
-        frac = frac * step
-        if np.all(np.abs(step - 1) < 1e-15):
-            break
-    value = front * frac
-    result[inside] = np.where(flip, 1 - value, value)
-    return result
-
-
-def beta_quantile(prob, a, b):
-    """Inverse of :func:`beta_cdf` by Newton steps inside a shrinking bracket."""
-    prob, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (prob, a, b)))
-    low, high = np.zeros(prob.shape), np.ones(prob.shape)
-    x = a / (a + b)
-    log_beta = _lgamma(a) + _lgamma(b) - _lgamma(a + b)
-    for _ in range(200):
-        error = beta_cdf(x, a, b) - prob
-        low, high = np.where(error < 0, x, low), np.where(error < 0, high, x)
-        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - log_beta)
-            step = x - error / density
-        inside = (step > low) & (step < high)
-        following = np.where(inside, step, (low + high) / 2)
-        done = np.abs(following - x) <= 1e-14 * following
-        x = following
-        if np.all(done | (error == 0)):
-            break
-    return x
-
-
-def t_two_sided_p(t, df):
-    t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
-    return beta_cdf(df / (df + t * t), df / 2, 0.5)
-
-
-def t_quantile(prob, df):
-    """Upper Student-t quantile for ``prob`` in (0.5, 1); unknown for df <= 0."""
-    prob, df = np.broadcast_arrays(np.asarray(prob, dtype=float), np.asarray(df, dtype=float))
-    used = np.where(df > 0, df, 1.0)
-    y = beta_quantile(2 * prob - 1, 0.5, used / 2)
-    return np.where(df > 0, np.sqrt(used * y / (1 - y)), np.nan)
-
-
-_INTERVAL = T.StructType(
-    [T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
-)
-
-
-@F.pandas_udf(_INTERVAL)
-def _exact_interval(x: pd.Series, n: pd.Series, conf: pd.Series) -> pd.DataFrame:
-    ok = (x.notna() & n.notna() & (n > 0)).to_numpy()
-    low, high = np.full(len(x), np.nan), np.full(len(x), np.nan)
-    if ok.any():
-        k, total = x[ok].to_numpy(float), n[ok].to_numpy(float)
-        tail = (1 - conf[ok].to_numpy(float)) / 2
-        low[ok] = np.where(k == 0, 0.0, beta_quantile(tail, np.maximum(k, 1e-9), total - k + 1))
-        high[ok] = np.where(
-            k == total, 1.0, beta_quantile(1 - tail, k + 1, np.maximum(total - k, 1e-9))
-        )
-    frame = pd.DataFrame({"low": low, "high": high}).astype(object)
-    return frame.where(frame.notna(), None)
-
-
-@F.pandas_udf(T.DoubleType())
-def _t_multiplier(n: pd.Series, conf: pd.Series) -> pd.Series:
-    ok = (n.notna() & (n > 1)).to_numpy()
-    out = np.full(len(n), np.nan)
-    if ok.any():
-        out[ok] = t_quantile(0.5 + conf[ok].to_numpy(float) / 2, n[ok].to_numpy(float) - 1)
-    return pd.Series(out).astype(object).where(ok, None)
+NODES, STEPS = 64, 12
+# Beyond this exponent an integrand no longer counts.
+REACH = 38.0
+SHIFT = 10
+
+
+def _rule() -> Column:
+    """Nodes and weights of the Gauss-Legendre rule on (0, 1)."""
+    at, weight = np.polynomial.legendre.leggauss(NODES)
+    return F.array(*[
+        F.struct(F.lit(float(a)).alias("at"), F.lit(float(w)).alias("weight"))
+        for a, w in zip((at + 1) / 2, weight / 2)])
+
+
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of values that are computed once."""
+    record = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(record), body), F.lit(0))
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number (Stirling, ten places on)."""
+    y = x + SHIFT
+    inverse = 1 / (y * y)
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / y
+    below = F.log(x)
+    for k in range(1, SHIFT):
+        below = below + F.log(x + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - below
+
+
+def log_beta(a: Column, b: Column) -> Column:
+    return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
+
+
+def _range(slope: Column, bend: Column, last: Column) -> Column:
+    """How far an integrand counts that falls at ``slope``, ever faster by ``bend``, at last at ``last``."""
+    return F.when(bend > 0, 2 * REACH / (slope + F.sqrt(slope * slope + 2 * REACH * bend))).otherwise(
+        F.lit(0.0)) + REACH / last
+
+
+def _integral(length: Column, log_value: Callable[[Column], Column]) -> Column:
+    """Integral of exp(log_value) from 0 to ``length``."""
+    return length * F.aggregate(_rule(), F.lit(0.0), lambda total, node: total + node["weight"] * F.exp(
+        log_value(node["at"] * length)))
+
+
+def beta_tail_quantile(p: Column, a: Column, b: Column) -> Column:
+    """x below which a beta distribution has the probability p; a, b of at least 1, p up to one half."""
+
+    def solve(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+
+        def step(y: Column) -> Column:
+            x = F.exp(y)
+            pull = (b - 1) * x / (1 - x)
+            return _let({"x": x, "y": y, "length": _range(a - pull, pull / (1 - x), a)}, lambda w: _let({
+                "integral": _integral(w["length"], lambda s: (b - 1) * (
+                    F.log1p(-w["x"] * F.exp(-s)) - F.log1p(-w["x"])) - a * s)}, lambda g: w["y"] - g["integral"] * (
+                a * w["y"] + (b - 1) * F.log1p(-w["x"]) - v["log_beta"] + F.log(g["integral"]) - v["log_p"])))
+
+        return F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.log(a / (a + b)), lambda y, _: step(y)))
+
+    return _let({"a": a, "b": b, "log_beta": log_beta(a, b), "log_p": F.log(p)}, solve)
+
+
+def t_upper_quantile(p: Column, df: Column) -> Column:
+    """t above which a Student-t distribution has the probability p below one half."""
+
+    def solve(v: Column) -> Column:
+        df = v["df"]
+
+        def step(y: Column) -> Column:
+            share = F.exp(2 * y) / df  # t^2 / df
+            slope = (df * share - 1) / (1 + share)
+            bend = 2 * (df + 1) * share / ((1 + share) * (1 + share))
+            return _let({"share": share, "y": y, "length": _range(slope, bend, df)}, lambda w: _let({
+                "integral": _integral(w["length"], lambda s: s - (df + 1) / 2 * (
+                    F.log1p(w["share"] * F.exp(2 * s)) - F.log1p(w["share"])))}, lambda g: w["y"] + g["integral"] * (
+                w["y"] - (df + 1) / 2 * F.log1p(w["share"]) - v["log_front"] + F.log(g["integral"]) - v["log_p"])))
+
+        return F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(math.log(2.0)), lambda y, _: step(y)))
+
+    # Density of t: (1 + t^2/df)^(-(df+1)/2) / (sqrt(df) B(1/2, df/2)).
+    front = F.log(df) / 2 + log_beta(F.lit(0.5), df / 2)
+    return _let({"df": df, "log_front": front, "log_p": F.log(p)}, solve)
 
 
 def exact_interval(
     successes: str | Column, total: str | Column, conf: float = 0.95, null_when_zero: bool = False
 ) -> Column:
-    """Exact (Clopper-Pearson) interval as struct<low, high>.
+    """Exact (Clopper-Pearson) interval as struct<low, high>; unknown where the total is not positive.
 
     With no successes the interval is (0, upper); ``null_when_zero`` makes it
     null instead, the rule of the grouped binomial summary.
@@ -139,10 +118,14 @@ def exact_interval(
     x, n = as_col(successes).cast("double"), as_col(total).cast("double")
     if null_when_zero:
         x = F.when(x > 0, x)
-    return _exact_interval(x, n, F.lit(conf))
+    tail = F.lit((1 - conf) / 2)
+    known = x.isNotNull() & (n > 0)
+    low = F.when(known, F.when(x <= 0, F.lit(0.0)).otherwise(beta_tail_quantile(tail, x, n - x + 1)))
+    high = F.when(known, F.when(x >= n, F.lit(1.0)).otherwise(1 - beta_tail_quantile(tail, n - x, x + 1)))
+    return F.struct(low.alias("low"), high.alias("high"))
 
 
 def t_half_width(n: str | Column, sd: str | Column, conf: float = 0.95) -> Column:
     """Half-width of the Student-t interval of a mean; null for n < 2."""
     n, sd = as_col(n).cast("double"), as_col(sd).cast("double")
-    return _t_multiplier(n, F.lit(conf)) * sd / F.sqrt(n)
+    return F.when(n > 1, t_upper_quantile(F.lit((1 - conf) / 2), n - 1)) * sd / F.sqrt(n)

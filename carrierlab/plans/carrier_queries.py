@@ -14,7 +14,7 @@ from carrierlab.operators import counts as N
 from carrierlab.operators import penetrance as P
 from carrierlab.operators.ascertainment import arm_frame, arm_statistics, non_carriers, shared_variants
 from carrierlab.plans import views as V
-from carrierlab.plans.oracle_tables import PATH, quoted
+from carrierlab.plans.oracle_tables import PATH, exact_intervals, quoted, t_multipliers
 from carrierlab.plans.registry import query, rounded
 
 _CORE = quoted(S.CORE_MODY_GENES)
@@ -80,9 +80,13 @@ def penetrance_of_benign_carriers(spark, d):
     return table.select(*_PENETRANCE, "count", "total", rounded("prop"))
 
 
-@query()
+@query(f"""WITH RECURSIVE pen AS ({_penetrance_sql(_LABEL)}), {exact_intervals("pen")}
+    SELECT condition, phenotype, lipidmeds, cohort, carrier, count, total, prop,
+      CASE phenotype WHEN 't2d' THEN 'T2D' WHEN 't2d_with_pre' THEN 'T2D and pre-diabetes' END AS diabetes_definition,
+      round(low, 6) AS low, round(high, 6) AS high
+    FROM pen JOIN exact_ci ON k = count AND n = total""")
 def penetrance_exact_ci(spark, d):
-    """Full table with exact intervals (inverse beta has no SQL form)."""
+    """Full table with exact intervals."""
     table = P.penetrance_table(*_study(spark, d))
     return table.select(*_PENETRANCE, "diabetes_definition", "count", "total",
                         rounded("prop"), rounded("low"), rounded("high"))
@@ -374,9 +378,12 @@ def condition_points_with_novel_vus(spark, d):
     return points.groupBy("cohort", "arm").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("bmi"), 4, "mean"))
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS ({_means_sql().replace("round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd", "avg(v) AS mean, stddev_samp(v) AS sd").replace("round(stddev_samp(v) / sqrt(count(v)), 4) AS se", "stddev_samp(v) / sqrt(count(v)) AS se")}),
+    {t_multipliers("m")}
+    SELECT condition, phenotype, lipidmeds, cohort, carrier, n, round(mean, 4) AS mean, round(mean - t * se, 4) AS low,
+      round(mean + t * se, 4) AS high FROM m LEFT JOIN t_value ON v = n - 1""")
 def mean_t_ci(spark, d):
-    """Means with Student-t intervals (inverse t has no SQL form)."""
+    """Means with Student-t intervals."""
     out = P.carrier_means(*_study(spark, d)).where(F.col("n") > 0)
     return out.select(*_MEAN_COLUMNS, "n", rounded("mean", 4), rounded("low", 4), rounded("high", 4))
 

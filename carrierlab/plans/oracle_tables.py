@@ -176,6 +176,53 @@ SELECT variant_str, count(*) AS n_called, count(*) FILTER (WHERE l_returnflag =
 FROM lineitem JOIN sites ON l_partkey = variation_id GROUP BY variant_str, variation_id"""
 
 
+def exact_intervals(source: str, conf: float = 0.95, steps: int = 48) -> str:
+    """Recursive tables that end in exact_ci (k, n, low, high) for the count and total of ``source``.
+
+    Both bounds are bisected on sums of binomial probabilities.
+    """
+    def tail(p: str, first: str, last: str) -> str:
+        return (f"list_sum(list_transform(range({first}, {last} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) "
+                f"- lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))")
+
+    share = f"{(1 - conf) / 2!r}::DOUBLE"
+    return f"""
+    exact_steps AS (
+      SELECT DISTINCT count AS k, total AS n, 0 AS i, 0::DOUBLE AS l1, count / total::DOUBLE AS h1,
+        count / total::DOUBLE AS l2, 1::DOUBLE AS h2 FROM {source} WHERE total > 0
+      UNION ALL
+      SELECT k, n, i + 1, CASE WHEN above < {share} THEN m1 ELSE l1 END, CASE WHEN above < {share} THEN h1 ELSE m1 END,
+        CASE WHEN below > {share} THEN m2 ELSE l2 END, CASE WHEN below > {share} THEN h2 ELSE m2 END
+      FROM (SELECT *, CASE WHEN k > 0 THEN {tail('m1', 'k', 'n')} ELSE 1 END AS above,
+          CASE WHEN k < n THEN {tail('m2', '0', 'k')} ELSE 1 END AS below
+        FROM (SELECT *, (l1 + h1) / 2 AS m1, (l2 + h2) / 2 AS m2 FROM exact_steps WHERE i < {steps}))
+    ),
+    exact_ci AS (SELECT k, n, CASE WHEN k = 0 THEN 0 ELSE (l1 + h1) / 2 END AS low,
+      CASE WHEN k = n THEN 1 ELSE (l2 + h2) / 2 END AS high FROM exact_steps WHERE i = {steps})"""
+
+
+def t_multipliers(source: str, conf: float = 0.95, steps: int = 56) -> str:
+    """Recursive tables that end in t_value (v, t) for the n - 1 of ``source``.
+
+    The angle whose tangent is t / sqrt(v) is bisected on the finite sum that
+    the two-sided probability has for whole degrees of freedom.
+    """
+    def terms(upto: str, coefficient: str, power: str) -> str:
+        return f"coalesce(list_sum(list_transform(range(0, {upto}), lambda j: exp({coefficient}) * pow(cos(m), {power}))), 0)"
+
+    odd = terms("(v - 1) // 2", "lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)", "2 * j + 1")
+    even = terms("v // 2", "lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)", "2 * j")
+    return f"""
+    t_steps AS (
+      SELECT DISTINCT n - 1 AS v, 0 AS i, 0::DOUBLE AS l, pi() / 2 AS h FROM {source} WHERE n > 1
+      UNION ALL
+      SELECT v, i + 1, CASE WHEN inside < {conf!r}::DOUBLE THEN m ELSE l END, CASE WHEN inside < {conf!r}::DOUBLE THEN h ELSE m END
+      FROM (SELECT *, CASE WHEN v % 2 = 1 THEN 2 / pi() * (m + sin(m) * {odd}) ELSE sin(m) * {even} END AS inside
+        FROM (SELECT *, (l + h) / 2 AS m FROM t_steps WHERE i < {steps}))
+    ),
+    t_value AS (SELECT v, sqrt(v) * tan((l + h) / 2) AS t FROM t_steps WHERE i = {steps})"""
+
+
 def sql(body: str) -> str:
     """Query text with the tables it (indirectly) uses in front."""
     needed: list[str] = []
@@ -190,6 +237,7 @@ def sql(body: str) -> str:
     visit(body)
     own = body.strip()
     heads = [f"{n} AS ({CTES[n].strip()})" for n in needed]
-    if own.upper().startswith("WITH "):
-        return "WITH " + ",\n".join([*heads, own[5:]])
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if own.upper().startswith(start):
+            return start + ",\n".join([*heads, own[len(start):]])
     return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + own

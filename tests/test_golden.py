@@ -1,16 +1,17 @@
 """Arithmetic against published numbers."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from carrierlab import settings as S
-from carrierlab.functions.stats import (
-    beta_cdf, beta_quantile, exact_interval, t_half_width, t_quantile, t_two_sided_p,
-)
+from carrierlab.functions.stats import exact_interval, log_gamma, t_half_width
 from carrierlab.operators.counts import carrier_count_by_condition
 from carrierlab.functions.ranks import with_tiles
 from carrierlab.operators.submissions import submitter_ranking
+from plain_stats import beta_cdf, beta_quantile, t_quantile, t_two_sided_p
 
 
 @pytest.mark.parametrize("k,n,low,high", [
@@ -55,12 +56,42 @@ def test_quantiles_invert_the_distribution():
     assert t_two_sided_p(t_quantile(0.975, 7.0), 7.0) == pytest.approx(0.05, abs=1e-9)
 
 
-def test_intervals_of_very_large_counts():
+def test_intervals_of_very_large_counts(spark):
     k, n = 30_000_000, 1_000_000_000
     half = 1.959964 * np.sqrt(k / n * (1 - k / n) / n)
-    assert beta_quantile(0.025, k, n - k + 1) == pytest.approx(k / n - half, abs=3e-9)
-    assert beta_quantile(0.975, k + 1, n - k) == pytest.approx(k / n + half, abs=3e-9)
-    assert t_quantile(0.975, 1e9) == pytest.approx(1.959964, abs=1e-6)
+    row = spark.createDataFrame([(k, n)], "k long, n long").select(
+        exact_interval("k", "n").alias("c"), t_half_width("n", F.sqrt("n")).alias("t")).first()
+    assert row.c.low == pytest.approx(k / n - half, abs=3e-9)
+    assert row.c.high == pytest.approx(k / n + half, abs=3e-9)
+    assert row.t == pytest.approx(1.959964, abs=1e-6)
+
+
+def test_interval_columns_against_numpy(spark):
+    """Counts of all sizes, at several levels; a plan without Python."""
+    pairs = [(k, n) for n in (1, 2, 3, 10, 97, 1000, 48611, 10**6, 10**9)
+             for k in sorted({0, 1, 2, n // 1000, n // 7, n // 2, n - 2, n - 1, n}) if 0 <= k <= n]
+    frame = spark.createDataFrame(pairs, "k long, n long")
+    for conf in (0.8, 0.95, 0.999):
+        out = frame.select("k", "n", exact_interval("k", "n", conf).alias("c"),
+                           t_half_width("n", F.sqrt("n"), conf).alias("t"))
+        assert "Python" not in out._jdf.queryExecution().toString()
+        tail = (1 - conf) / 2
+        for r in out.collect():
+            if r.n > 10**6:
+                continue
+            low = beta_quantile(tail, r.k, r.n - r.k + 1) if r.k else 0
+            high = beta_quantile(1 - tail, r.k + 1, r.n - r.k) if r.k < r.n else 1
+            assert r.c.low == pytest.approx(float(low), rel=1e-9) and r.c.high == pytest.approx(float(high), rel=1e-9)
+            assert (r.t is None) == (r.n < 2)
+            if r.n > 1:
+                assert r.t == pytest.approx(float(t_quantile(1 - tail, r.n - 1)), rel=1e-8)
+
+
+def test_log_gamma(spark):
+    x = [0.5, 1.0, 1.5, 2.0, 10.0, 171.5, 1e6, 1e9]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", log_gamma(F.col("x")).alias("g")).collect()
+    for r in got:
+        assert r.g == pytest.approx(math.lgamma(r.x), rel=1e-13, abs=1e-13)
 
 
 def test_percent_carriers(spark):
