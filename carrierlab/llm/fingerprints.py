@@ -141,15 +141,14 @@ def with_next(rows: DataFrame, range_rows: int = RANGE_ROWS, max_ranges: int = M
     edges = F.array(*[F.lit(h) for h in heads if h is not None]).cast("array<bigint>")
     part = F.size(F.filter(edges, lambda e: e <= F.col("at"))) - 1
     before = F.pmod(part - 1, F.lit(len(heads)))
-    rows = rows.withColumn("place", F.explode(
-        F.when(F.array_contains(edges, F.col("at")), F.array(
-            F.struct(part.alias("part"), F.lit(False).alias("guest")),
-            F.struct(before.alias("part"), F.lit(True).alias("guest"))))
-        .otherwise(F.array(F.struct(part.alias("part"), F.lit(False).alias("guest"))))))
-    order = Window.partitionBy("place.part").orderBy("place.guest", "at", "text")
-    return (rows.withColumn("next_text", F.lead("text").over(order))
-            .withColumn("next_fingerprint", F.lead("fingerprint").over(order))
-            .where("NOT place.guest").drop("place", "at"))
+    own = F.struct(part.alias("part"), F.lit(False).alias("guest"))
+    rows = rows.select("*", F.inline(F.when(F.array_contains(edges, F.col("at")), F.array(
+        own, F.struct(before.alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(own))))
+    # Plain columns and one lead: one exchange and one sort of the texts.
+    order = Window.partitionBy("part").orderBy("guest", "at", "text")
+    return (rows.withColumn("following", F.lead(F.struct("text", "fingerprint")).over(order)).where("NOT guest")
+            .withColumn("next_text", F.col("following.text")).withColumn("next_fingerprint", F.col("following.fingerprint"))
+            .drop("part", "guest", "at", "following"))
 
 
 def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
