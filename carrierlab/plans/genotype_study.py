@@ -8,7 +8,6 @@ writing out, and ``folder`` turns that on.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -47,16 +46,17 @@ class GenotypeResult:
 
 
 def run(
-    inputs: GenotypeInputs, skip: Iterable[str] = (), genes: Sequence[str] | None = None,
+    inputs: GenotypeInputs, skip: Iterable[str] = (), genes: Sequence[str] = S.GENE_SET,
     lof_genes: Sequence[str] = S.LOF_GENE_SET, severity: Sequence[str] = (),
     dropped_tissues: Sequence[str] = (), folder: str | None = None, overwrite: bool = True,
 ) -> GenotypeResult:
     """Run the steps. Steps without their input count as skipped.
 
-    Sources without quality fields must skip ``genotype_filter``. A gene listed
-    in ``genes`` must have an interval, if intervals are given. Without a list
-    the study's genes are taken, and those without an interval are named in a
-    warning.
+    Sources without quality fields must skip ``genotype_filter``. Each gene of
+    ``genes`` (the study's genes by default) must have an interval, if
+    intervals are given. With ``folder`` the quality-controlled calls are
+    exported there as call text, before consequences are looked at, and the
+    table of worst consequences after them.
     """
     skipped = set(skip)
     unknown = skipped - set(STEPS)
@@ -74,14 +74,7 @@ def run(
     if "filter_samples" not in skipped:
         data = G.drop_flagged_samples(data, inputs.sample_flags)
     if "filter_intervals" not in skipped:
-        placed = genes
-        if genes is None:
-            missing = G.genes_without_interval(inputs.intervals, S.GENE_SET)
-            if missing:
-                warnings.warn(f"no interval for genes, their variants are left out: {missing}", stacklevel=2)
-            placed = [g for g in S.GENE_SET if g not in missing]
-        data = G.filter_to_intervals(data, G.gene_intervals(inputs.intervals, placed))
-    genes = S.GENE_SET if genes is None else genes
+        data = G.filter_to_intervals(data, G.gene_intervals(inputs.intervals, genes))
     if "split" not in skipped:
         data = G.split_multiallelic(data)
     if "genotype_filter" not in skipped:
@@ -95,6 +88,8 @@ def run(
 
     variants = G.observed_variants(G.variant_qc(data))
     result = GenotypeResult(data, variants, skipped=skipped)
+    if folder:
+        export_qc_calls(result, f"{folder}/qc_calls", overwrite)
     if "filter_consequences" in skipped:
         return result
     result.filtered = G.keep_consequences(
@@ -122,6 +117,19 @@ def run(
     return result
 
 
+QC_INFO = {
+    "AC": ("1", "Integer", "Copies of the alternate allele"), "AN": ("1", "Integer", "Alleles called"),
+    "AF": ("1", "Float", "Share of the alternate allele"), "n_hom": ("1", "Integer", "Samples with two copies"),
+}
+
+
+def export_qc_calls(result: GenotypeResult, path: str, overwrite: bool = False) -> None:
+    """Call text of all observed variants after genotype and variant QC, in order."""
+    calls = result.genotypes.join(result.variants.select(*G.VARIANT), list(G.VARIANT), "left_semi")
+    write_vcf(calls, result.variants, path, {k: F.col(k.lower()) for k in QC_INFO}, QC_INFO, overwrite,
+              likelihoods="pl" in calls.columns)
+
+
 def export_filtered(filtered: DataFrame, path: str, overwrite: bool = False) -> None:
     """Gzip table of variants with a consequence on a gene of interest."""
     table = filtered.select(

@@ -176,6 +176,25 @@ SELECT variant_str, count(*) AS n_called, count(*) FILTER (WHERE l_returnflag =
 FROM lineitem JOIN sites ON l_partkey = variation_id GROUP BY variant_str, variation_id"""
 
 
+CTES["call_sheet"] = """
+SELECT contig, pos, sample, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE CASE WHEN q > 5 THEN 0 END END AS copies,
+  ref_reads, alt_reads, dp, q AS gq,
+  CASE l_returnflag WHEN 'R' THEN [q, 0, q + 9] WHEN 'A' THEN [q + 40, q - 10, 3] END AS pl
+FROM (SELECT 'chr' || CASE WHEN p_size > 46 THEN 'X' ELSE CAST(p_size % 23 AS VARCHAR) END AS contig,
+    CAST(p_partkey * 10 AS INTEGER) AS pos, n_name AS sample, l_returnflag, CAST(l_quantity AS INTEGER) AS q,
+    CAST(round(l_tax * 100) AS INTEGER) AS ref_reads, CAST(round(l_discount * 100) AS INTEGER) AS alt_reads,
+    l_linenumber * 5 AS dp,
+    row_number() OVER (PARTITION BY l_partkey, n_name ORDER BY l_orderkey, l_linenumber) AS k
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  JOIN part ON l_partkey = p_partkey) WHERE k = 1"""
+
+CTES["qc_calls"] = """
+SELECT *, CASE WHEN NOT (quality < 20 OR dp < 10 OR (copies = 1 AND CASE WHEN ref_reads + alt_reads = 0 THEN false
+    ELSE alt_reads < (ref_reads + alt_reads) * 0.25::DOUBLE END)) THEN copies END AS called
+FROM (SELECT *, CASE WHEN pl IS NULL THEN gq
+    ELSE list_sort(pl || [99, 99])[2] - list_sort(pl || [99, 99])[1] END AS quality FROM call_sheet)"""
+
+
 def exact_intervals(source: str, conf: float = 0.95, steps: int = 48) -> str:
     """Recursive tables that end in exact_ci (k, n, low, high) for the count and total of ``source``.
 

@@ -193,3 +193,28 @@ def observed_variants(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("["), F.col("n_called").cast("string"), F.lit(","), F.col("_alt").cast("string"), F.lit("]")).alias("AC"),
         F.lit("[1,0]").alias("AF"), "n_het",
     )
+
+
+def call_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of every part in the samples named after nations, with likelihoods, as a call file holds them.
+
+    A part is a variant; of a nation's suppliers the first line of the part is its call.
+    """
+    labs = table(spark, folder, "supplier").join(
+        table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("sample"))
+    first = table(spark, folder, "lineitem").join(labs, "l_suppkey").groupBy("l_partkey", "sample").agg(
+        F.min(F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_tax", "l_discount")).alias("x"))
+    site = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("l_partkey"),
+        F.concat(F.lit("chr"), F.when(F.col("p_size") > 46, "X").otherwise((F.col("p_size") % 23).cast("string"))).alias("contig"),
+        (F.col("p_partkey") * 10).cast("int").alias("pos"), F.array(F.lit("A"), F.lit("C")).alias("alleles"))
+    flag, quantity = F.col("x.l_returnflag"), F.col("x.l_quantity").cast("int")
+    gt = F.when(flag == "R", F.array(F.lit(0), F.lit(1))).when(flag == "A", F.array(F.lit(1), F.lit(1))).when(
+        quantity > 5, F.array(F.lit(0), F.lit(0)))
+    likelihoods = F.when(flag == "R", F.array(quantity, F.lit(0), quantity + 9)).when(
+        flag == "A", F.array(quantity + 40, quantity - 10, F.lit(3)))
+    return first.join(site, "l_partkey").select(
+        "contig", "pos", "alleles", "sample", gt.alias("gt"),
+        F.array(F.round(F.col("x.l_tax") * 100).cast("int"), F.round(F.col("x.l_discount") * 100).cast("int")).alias("ad"),
+        (F.col("x.l_linenumber") * 5).cast("int").alias("dp"), quantity.alias("gq"), likelihoods.alias("pl"))

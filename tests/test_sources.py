@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carrierlab.operators import genotypes as G
+from carrierlab import settings as S
 from carrierlab.plans import genotype_study as study
 from carrierlab.sources import readers as R
 from carrierlab.sources import sinks as W
@@ -118,13 +119,29 @@ def test_call_text_ingest(genotypes):
     assert rows[300, "s1"]["dp"] == 9 and rows[300, "s1"]["gq"] is None and rows[300, "s3"]["dp"] is None
 
 
-def test_differing_sample_headers_are_refused(spark, tmp_path):
+def test_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "in put").mkdir()
+    a = put(tmp_path / "in put" / "a+%.vcf", VCF)
+    b = put(tmp_path / "b.vcf", VCF.replace("s1\ts2\ts3", "s9\ts1\ts3").replace("chr", "1"))
+    calls = vcf.read_genotypes(spark, [str(tmp_path / "in put"), b])
+    # One scan of the lines.
+    assert calls._jdf.queryExecution().sparkPlan().toString().count("FileScan text") == 1
+    rows = {(r["contig"], r["pos"], r["sample"]): r["gt"] for r in calls.collect()}
+    assert len(rows) == 18
+    assert rows["chr1", 100, "s1"] == rows["11", 100, "s9"] == [0, 1] and rows["11", 100, "s1"] == [0, 0]
+    some = vcf.read_genotypes(spark, [a, b], samples=spark.createDataFrame([("s1",), ("s9",), ("none",)], "sample string"),
+                              intervals=spark.createDataFrame([("chr1", 150, 900), ("12", 1, 301)], "contig string, start long, end long"))
+    assert collect(some.select("contig", "pos", "sample"), "contig", "pos", "sample") == [
+        ("12", 300, "s1"), ("12", 300, "s9"), ("chr1", 200, "s1")]
+
+
+def test_file_without_header(spark, tmp_path):
     a = put(tmp_path / "a.vcf", VCF)
+    body = put(tmp_path / "c.vcf", "\n".join(VCF.split("\n")[2:]).replace("chr1", "chr4").replace("chr2", "chr5"))
+    assert vcf.read_genotypes(spark, [a, body]).count() == 18
     b = put(tmp_path / "b.vcf", VCF.replace("s1\ts2\ts3", "s2\ts1\ts3"))
     with pytest.raises(Exception, match="different sample headers"):
-        vcf.read_genotypes(spark, [a, b]).collect()
-    same = put(tmp_path / "c.vcf", VCF.replace("chr1", "chr4").replace("chr2", "chr5"))
-    assert vcf.read_genotypes(spark, [a, same]).count() == 18
+        vcf.read_genotypes(spark, [a, b, body]).collect()
 
 
 def test_split_codes_against_each_allele(genotypes):
@@ -162,7 +179,8 @@ def test_interval_and_lift(spark):
 
 def test_genotype_study_end_to_end(spark, tmp_path, genotypes):
     flags = spark.createDataFrame([("s1", False), ("s2", False), ("s3", True)], "s string, is_forbidden boolean")
-    spans = spark.createDataFrame([("LDLR", "chr1:50-250"), ("GCK", "chr9:1-5")], "gene string, interval string")
+    spans = [("LDLR", "chr1:50-250"), *((g, "chr9:1-5") for g in S.GENE_SET if g != "LDLR")]
+    spans = spark.createDataFrame(spans, "gene string, interval string")
     effects = spark.createDataFrame([
         ("chr1", 100, ["A", "C"], [("LDLR", "t1", ["stop_gained"], "HC", [])]),
         ("chr1", 200, ["AT", "A"], [("LDLR", "t1", ["frameshift_variant"], "LC", []), ("ZZZ", "t9", ["x"], "HC", [])]),
@@ -236,8 +254,8 @@ def test_gene_without_interval_is_refused(spark, genotypes):
     with pytest.raises(ValueError, match="PCSK9"):
         study.run(inputs, genes=["LDLR", "PCSK9"])
     assert study.run(inputs, genes=["LDLR"]).variants.count() == 3
-    with pytest.warns(UserWarning, match="PCSK9"):
-        assert study.run(inputs).variants.count() == 3
+    with pytest.raises(ValueError, match="PCSK9"):
+        study.run(inputs)
 
 
 def test_export_fills_missing_calls(spark, tmp_path):
