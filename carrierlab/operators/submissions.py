@@ -18,6 +18,7 @@ from carrierlab.functions.columns import (
     alt_count, any_or_null, as_col, info_field, is_true, level_in, member, parse_us_date,
     variant_key,
 )
+from carrierlab.functions.order import row_numbers
 
 CLINICAL = "clinical testing"
 
@@ -235,15 +236,43 @@ def high_confidence_flags(
     )
 
 
+def submission_report(
+    submissions: DataFrame, labs: Iterable[str] = S.HIGH_CONFIDENCE_LABS, since: str = S.HIGH_VOLUME_SINCE,
+    levels: Iterable[str] = S.CLINVAR_PATH_LEVELS, variation: str = "variation_id",
+) -> DataFrame:
+    """Annotated clinical submissions of the curated variants, newest first inside a variant.
+
+    Takes what :func:`annotated_pathogenic` takes and keeps the submissions
+    with the right phenotype of variants that have a path one among them. Adds
+    ``high_confidence`` (this row is from a listed laboratory and recent; null
+    when listed but undated), the variant's flags, and ``place``: 1, 2, ...
+    inside the variant by falling date, undated ones last; rows of one date are
+    ordered by their other columns. A variant with very many submissions is
+    ordered in several tasks.
+    """
+    clinical = submissions.where(is_true(is_clinical("method"))).withColumn("date", parse_us_date("date"))
+    flags = high_confidence_flags(clinical, labs, since, levels, variation)
+    rows = clinical.where(F.col("correct_phenotype") == F.lit(True)).withColumn(
+        "high_confidence", recent_high_confidence("submitter", "date", labs, since))
+    rest = [c for c in submissions.columns if c not in (variation, "date")]
+    ordered = row_numbers(
+        rows.join(flags.select(variation).distinct(), variation, "left_semi"), [variation],
+        [F.desc_nulls_last("date"), *rest], "place")
+    return ordered.join(flags, variation)
+
+
 def annotated_pathogenic(
     submissions: DataFrame, observed: DataFrame, labs: Iterable[str] = S.HIGH_CONFIDENCE_LABS,
     since: str = S.HIGH_VOLUME_SINCE, levels: Iterable[str] = S.CLINVAR_PATH_LEVELS,
+    allele_link: str | None = None,
 ) -> DataFrame:
     """Re-filter manually annotated submissions to one row per curated variant.
 
     ``submissions`` adds the variant columns (allele_id, type, name, gene,
     last_evaluated, phenotype_list, number_submitters, chr, pos, ref, alt,
     traits, n_called, n_not_called, ac, n_het) and a collection ``method``.
+    With ``allele_link``, a prefix, there is a second link of that name: the
+    prefix followed by the variant's key.
     """
     clinical = submissions.where(is_true(is_clinical("method"))).withColumn(
         "date", parse_us_date("date")
@@ -256,7 +285,7 @@ def annotated_pathogenic(
     ]
     variants = clinical.where(F.col("correct_phenotype") == F.lit(True)).select(*columns).distinct()
     key = variant_key("chr", "pos", "ref", "alt")
-    return (
+    out = (
         variants.join(flags.drop("n_submissions"), "variation_id")
         .withColumn("variant_str", variant_key("chr", "pos", "ref", "alt", sep=":"))
         .withColumn("variant", key)
@@ -264,6 +293,7 @@ def annotated_pathogenic(
             F.lit("https://www.ncbi.nlm.nih.gov/clinvar/variation/"), F.col("variation_id").cast("string")))
         .join(observed.select(F.col("variant").alias("variant_str")).distinct(), "variant_str", "left_semi")
     )
+    return out if allele_link is None else out.withColumn("allele_link", F.concat(F.lit(allele_link), "variant"))
 
 
 def flag_any(df: DataFrame, keys: Sequence[str], cond: Column, out: str) -> DataFrame:

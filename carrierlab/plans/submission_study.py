@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from carrierlab.functions.columns import parse_us_date
 from carrierlab.operators import submissions as B
 from carrierlab.sources import readers as R
-from carrierlab.sources.sinks import write_csv_run, write_tsv
+from carrierlab.sources.sinks import in_order, write_csv_run, write_tsv
 
 ANNOTATED = {
     "VariationID": "int", "AlleleID": "int", "Type": "string", "Name": "string", "GeneSymbol": "string",
@@ -85,8 +85,22 @@ def read_annotated(spark: SparkSession, path) -> DataFrame:
     return R.read_named_columns(spark, path, ANNOTATED, sep=",").withColumnsRenamed(_CANONICAL)
 
 
-def refilter(annotated: DataFrame, observed: DataFrame) -> DataFrame:
-    return B.annotated_pathogenic(annotated, observed)
+def refilter(annotated: DataFrame, observed: DataFrame, allele_link: str | None = None) -> DataFrame:
+    return B.annotated_pathogenic(annotated, observed, allele_link=allele_link)
+
+
+def write_refiltered(annotated: DataFrame, observed: DataFrame, folder: str, allele_link: str | None = None,
+                     **options) -> dict[str, str]:
+    """Write the curated variants, and their submissions in order of variant and place.
+
+    ``options`` are those of :func:`submission_report`.
+    """
+    report = B.submission_report(annotated, **options)
+    variants = B.annotated_pathogenic(annotated, observed, allele_link=allele_link, **options)
+    return {
+        "variants": write_csv_run(variants, f"{folder}/pathogenic_pheno_"),
+        "submissions": write_csv_run(in_order(report, "variation_id", "place"), f"{folder}/submissions_pheno_"),
+    }
 
 
 def write_all(inputs: SubmissionInputs, assembly: str, folder: str) -> dict[str, str]:

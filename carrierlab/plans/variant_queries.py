@@ -289,10 +289,10 @@ def gene_submission_summary(spark, d):
     return B.gene_submission_summary(variants, V.submissions(spark, d))
 
 
-_LABS = ("NATION_1", "NATION_4", "NATION_7", "NATION_11", "NATION_15")
-_LAB_SQL = "submitter IN ('NATION_1', 'NATION_4', 'NATION_7', 'NATION_11', 'NATION_15')"
-_FLAGS_SQL = f"""
-    WITH s AS (SELECT *, CASE WHEN NOT {_LAB_SQL} THEN false ELSE date >= DATE '1997-01-01' END AS recent, {_P} AS p FROM submissions __WHERE__)
+LABS = ("NATION_1", "NATION_4", "NATION_7", "NATION_11", "NATION_15")
+LAB_SQL = "submitter IN ('NATION_1', 'NATION_4', 'NATION_7', 'NATION_11', 'NATION_15')"
+FLAGS_SQL = f"""
+    WITH s AS (SELECT *, CASE WHEN NOT {LAB_SQL} THEN false ELSE date >= DATE '1997-01-01' END AS recent, {_P} AS p FROM submissions __WHERE__)
     SELECT variation_id, coalesce(bool_or(recent AND clarification = 'No Information'), false) AS flag_hc_lab_unspecified_phenotype,
       count(*) FILTER (WHERE correct_phenotype) AS n_submissions,
       CASE WHEN bool_or(recent) FILTER (WHERE correct_phenotype) THEN true
@@ -301,17 +301,18 @@ _FLAGS_SQL = f"""
     FROM s GROUP BY variation_id HAVING bool_or(p) FILTER (WHERE correct_phenotype)"""
 
 
-@query(_FLAGS_SQL.replace("__WHERE__", ""))
+@query(FLAGS_SQL.replace("__WHERE__", ""))
 def hc_lab_flags(spark, d):
-    return B.high_confidence_flags(V.submissions(spark, d), _LABS, "1997-01-01")
+    return B.high_confidence_flags(V.submissions(spark, d), LABS, "1997-01-01")
 
 
 @query(f"""
-    WITH flags AS ({_FLAGS_SQL.replace("__WHERE__", "WHERE method LIKE '%clinical testing%'")}),
+    WITH flags AS ({FLAGS_SQL.replace("__WHERE__", "WHERE method LIKE '%clinical testing%'")}),
     v AS (SELECT DISTINCT variation_id FROM submissions WHERE method LIKE '%clinical testing%' AND correct_phenotype)
     SELECT x.variant_str, replace(x.variant_str, ':', '-') AS variant, variation_id, flag_hc_lab_unspecified_phenotype,
       high_confidence_any, high_confidence_significance,
-      'https://www.ncbi.nlm.nih.gov/clinvar/variation/' || variation_id AS clinvar_link
+      'https://www.ncbi.nlm.nih.gov/clinvar/variation/' || variation_id AS clinvar_link,
+      'https://example.org/variant/' || replace(x.variant_str, ':', '-') AS allele_link
     FROM flags JOIN v USING (variation_id) JOIN sites x USING (variation_id)
     WHERE x.variant_str IN (SELECT variant_str FROM observed WHERE ac > 0)""")
 def annotated_pathogenic(spark, d):
@@ -324,9 +325,10 @@ def annotated_pathogenic(spark, d):
     annotated = V.submissions(spark, d).withColumn("date", F.date_format("date", "MMM dd, yyyy")).join(
         sites, "variation_id").withColumns(fixed)
     observed = B.observed_counts(V.observed_variants(spark, d).withColumn("n_not_called", F.lit(0)))
-    out = B.annotated_pathogenic(annotated, observed.where(F.col("ac") > 0), _LABS, "1997-01-01")
+    out = B.annotated_pathogenic(annotated, observed.where(F.col("ac") > 0), LABS, "1997-01-01",
+                                 allele_link="https://example.org/variant/")
     return out.select("variant_str", "variant", "variation_id", "flag_hc_lab_unspecified_phenotype",
-                      "high_confidence_any", "high_confidence_significance", "clinvar_link")
+                      "high_confidence_any", "high_confidence_significance", "clinvar_link", "allele_link")
 
 
 _REPORTED_SQL = f"""

@@ -20,6 +20,11 @@ def persist_table(df: DataFrame, path: str, overwrite: bool = True, partition_by
     return df.sparkSession.read.parquet(path)
 
 
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt to ranges of an order and sorted there: written as files, they are in order over all of them."""
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
 def flat_columns(df: DataFrame) -> DataFrame:
     """Nested columns as JSON-like text, so that text formats accept them."""
     out = []
