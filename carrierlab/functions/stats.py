@@ -107,6 +107,34 @@ def t_upper_quantile(p: Column, df: Column) -> Column:
     return _let({"df": df, "log_front": front, "log_p": F.log(p)}, solve)
 
 
+def t_two_sided_p(t: Column, df: Column) -> Column:
+    """Probability of a Student-t value at least as far from 0; nodes from 0 to |t|, or from |t| outwards."""
+    t = F.abs(t)
+
+    def solve(v: Column) -> Column:
+        t, df = v["t"], v["df"]
+        power = (df + 1) / 2
+        inside = _integral(t, lambda u: -power * F.log1p(u * u / df))
+        share = t * t / df
+        slope, bend = (df * share - 1) / (1 + share), 2 * (df + 1) * share / ((1 + share) * (1 + share))
+        outside = _let({"length": _range(slope, bend, df)}, lambda w: t * _integral(
+            w["length"], lambda s: s - power * F.log1p(share * F.exp(2 * s))))
+        return F.when(t < 1, 1 - 2 * inside * F.exp(-v["log_front"])).otherwise(2 * outside * F.exp(-v["log_front"]))
+
+    front = F.log(df) / 2 + log_beta(F.lit(0.5), df / 2)
+    return F.when((df > 0) & ~F.isnan(t), _let({"t": t, "df": df, "log_front": front}, solve))
+
+
+def normal_two_sided_p(z: Column) -> Column:
+    """Probability of a standard normal value at least as far from 0."""
+    z = F.abs(z)
+    inside = _integral(z, lambda u: -u * u / 2)
+    outside = _let({"z": z, "length": 2 * REACH / (z + F.sqrt(z * z + 2 * REACH))}, lambda v: F.exp(
+        -v["z"] * v["z"] / 2) * _integral(v["length"], lambda s: -s * (v["z"] + s / 2)))
+    front = 2 / math.sqrt(2 * math.pi)
+    return F.when(~F.isnan(z), F.when(z < 1, 1 - front * inside).otherwise(front * outside))
+
+
 def exact_interval(
     successes: str | Column, total: str | Column, conf: float = 0.95, null_when_zero: bool = False
 ) -> Column:

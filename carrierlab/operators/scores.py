@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carrierlab import settings as S
 from carrierlab.functions.columns import compare
+from carrierlab.functions.order import row_numbers
 from carrierlab.functions.ranks import empirical_cdf, with_tiles
-from carrierlab.operators.carriers import CARRIER, NON_CARRIER, annotate_carriers
-from carrierlab.operators.models import fit_glm, odds_ratio_interval, treatment_coded, with_interaction
+from carrierlab.operators.carriers import (
+    CARRIER, NON_CARRIER, annotate_carriers, carrier_label, status_of, with_status_by_trait,
+)
+from carrierlab.operators.models import (
+    fit_glm, fit_groups, odds_ratio_interval, treatment_coded, with_interaction,
+)
 from carrierlab.operators.penetrance import binary_summary, mean_summary
 from carrierlab.session import checkpointed
 
@@ -72,6 +77,112 @@ def score_frame(
     return with_tiles(checkpointed(frame), "prs", "_tie", TILES).drop("_tie")
 
 
+def with_group_tiles(df: DataFrame, groups: Sequence[str], value: str, tie: str, tiles: dict[str, int]) -> DataFrame:
+    """Tiles of equal size inside each group by value, then tie: as ntile, for groups of any size."""
+    placed = row_numbers(df, groups, [value, tie], "_at")
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    out = placed.join(sizes, list(groups))
+    for name, k in tiles.items():
+        least, more = F.expr(f"_n div {k}"), F.col("_n") % k  # the first ``more`` tiles have a row more
+        large = more * (least + 1)
+        out = out.withColumn(name, F.when(F.col("_at") <= large, F.ceil(F.col("_at") / (least + 1))).otherwise(
+            more + F.ceil(F.try_divide(F.col("_at") - large, least))).cast("int"))
+    return out.drop("_at", "_n")
+
+
+SETTING = ["setting", "condition", "restrict_lipid_meds"]
+
+
+def score_frames(
+    pheno: DataFrame, scores: DataFrame, carriers: DataFrame, gene_traits: DataFrame | None,
+    settings: Sequence[S.ScoreSetting] | None = None, age_cutoff: float | None = None, tie: Column | None = None,
+    covariates: Sequence[str] = S.COVARIATES, levels: Iterable[str] = S.PATH_LEVELS,
+) -> DataFrame:
+    """The analysis table of all settings at once: as :func:`score_frame`, with columns SETTING in front.
+
+    ``scores`` has subject, score and, if they differ, phenotype. Phenotypes,
+    scores and carriers are joined once; settings are an array that is exploded
+    afterwards. Carriers have the gene of their variant of least frequency.
+    """
+    settings = list(settings or S.score_settings())
+    keyed = "phenotype" in scores.columns
+    measures = sorted({s.phenotype for s in settings})
+    if keyed:
+        wide = scores.groupBy("subject").pivot("phenotype", measures).agg(F.first("score"))
+        wide = wide.select("subject", *[F.col(m).alias(f"_score_{m}") for m in measures])
+    else:
+        wide = scores.select("subject", *[F.col("score").alias(f"_score_{m}") for m in measures])
+    joined = pheno.select("subject", "cohort", *dict.fromkeys([*measures, "lipidmeds", "age", *covariates])).join(
+        wide, "subject", "left")
+    moments = joined.agg(F.struct(*[F.struct(F.avg(f"_score_{m}").alias("mean"), F.stddev_samp(f"_score_{m}").alias(
+        "sd")).alias(m) for m in measures])).scalar()
+    frame = with_status_by_trait(joined, carriers, gene_traits, sorted({s.trait for s in settings}), levels, True)
+    records = []
+    for i, s in enumerate(settings):
+        z = F.try_divide(F.col(f"_score_{s.phenotype}") - moments[s.phenotype]["mean"], moments[s.phenotype]["sd"])
+        value = F.col(s.phenotype).cast("double")
+        records.append(F.struct(
+            F.lit(i).alias("setting"), F.lit(s.trait).alias("condition"), F.lit(s.no_meds).alias("restrict_lipid_meds"),
+            F.lit(s.binary).alias("binary"), (F.when(F.col("lipidmeds") == 0, value) if s.no_meds else value).alias(
+                "phenotype_value"), (-z if s.lower_is_worse else z).alias("prs"),
+            compare(F.col(s.phenotype), s.rule, s.threshold).alias("by_threshold")))
+    keep = ["subject", "cohort", *dict.fromkeys(["age", *covariates])]
+    rows = frame.select(*keep, "_status", F.inline(F.array(*records))).where(
+        F.col("phenotype_value").isNotNull() & F.col("prs").isNotNull())
+    rows = rows.withColumn("_s", status_of(F.col("condition"))).withColumn(
+        "carrier", carrier_label(F.col("_s.is_carrier"), F.col("_s.has_vus"))).withColumn(
+        "gene", F.when(F.col("carrier") == NON_CARRIER, NON_CARRIER).otherwise(F.col("_s.gene"))).drop("_s", "_status")
+    if age_cutoff is not None:
+        rows = rows.where((F.col("age") >= age_cutoff) | (F.col("carrier") == CARRIER))
+    rows = rows.withColumn("_tie", F.xxhash64("cohort", "subject") if tie is None else tie)
+    return with_group_tiles(rows, ["setting"], "prs", "_tie", TILES).drop("_tie")
+
+
+MODELS = ("top_vs_carrier", "interquartile_vs_top", "carriers", "interaction")
+
+
+def all_score_models(
+    frames: DataFrame, covariates: Sequence[str] = S.COVARIATES, models: Sequence[str] = MODELS,
+    genes_alone: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """Coefficients of the models of :func:`score_models` for all settings, in the same passes.
+
+    ``genes_alone`` names, per trait, genes with which the models are fitted
+    again, with carriers of that gene only; column ``gene`` tells them apart
+    (null: all carriers). Models without rows are left out.
+    """
+    carrying = (F.col("carrier") == CARRIER).cast("double")
+    shared = [F.col(f"`{c}`").cast("double") for c in covariates]
+    top = F.when(F.col("percentile") == 100, 1.0).when(F.col("quantile").isin(2, 3), 0.0)
+    binary, width = F.col("binary"), len(covariates) + 3
+    terms = {
+        "top_vs_carrier": (binary, ["carrierNon Carrier", *covariates], F.when(
+            (F.col("percentile") == 100) | (F.col("carrier") == CARRIER), F.array(1 - carrying, *shared))),
+        "interquartile_vs_top": (binary, ["groupingtop_1", *covariates], F.when(
+            (F.col("carrier") != CARRIER) & top.isNotNull(), F.array(top, *shared))),
+        "carriers": (F.lit(False), ["prs", *covariates], F.when(
+            F.col("carrier") == CARRIER, F.array(F.col("prs"), *shared))),
+        "interaction": (F.lit(False), ["carrierCarrier", "prs", *covariates, "carrierCarrier:prs"], F.when(
+            ~binary, F.array(carrying, F.col("prs"), *shared, carrying * F.col("prs")))),
+    }
+    records = []
+    alone = [(trait, gene) for trait, genes in (genes_alone or {}).items() for gene in genes]
+    for trait, gene in [(None, None), *alone]:
+        kept = F.lit(True) if gene is None else (F.col("condition") == trait) & F.col("gene").isin(gene, NON_CARRIER)
+        for name in models:
+            logit, names, x = terms[name]
+            padding = F.array_repeat(F.lit(0.0), width - len(names))
+            records.append(F.struct(
+                F.lit(name).alias("model"), F.lit(gene).cast("string").alias("only_gene"), logit.alias("logit"),
+                F.lit(names).alias("variables"), F.when(kept, F.concat(x, padding)).alias("x")))
+    keys = ["model", *SETTING, "only_gene"]
+    rows = frames.select(*SETTING, F.col("phenotype_value").alias("y"), F.inline(F.array(*records))).where(
+        F.col("x").isNotNull())
+    found = fit_groups(rows, ["model", "setting", "condition", "restrict_lipid_meds", "only_gene"],
+                       rows.select(*keys, "logit", "variables").distinct())
+    return found.withColumnRenamed("only_gene", "gene")
+
+
 def percentile_means(
     frame: DataFrame, tile: str = "percentile", value: str = "phenotype_value", binary: bool = False,
     by_gene: bool = False, genes: Iterable[str] | None = None, conf: float | None = 0.95,

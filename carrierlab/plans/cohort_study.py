@@ -15,8 +15,10 @@ from carrierlab.operators import cohort as H
 from carrierlab.operators import counts as N
 from carrierlab.operators import penetrance as P
 from carrierlab.operators.ascertainment import ascertainment_table
-from carrierlab.operators.scores import percentile_means, score_frame, score_models
+from carrierlab.operators.models import COEFFICIENTS
+from carrierlab.operators.scores import all_score_models, percentile_means, score_frames
 from carrierlab.operators.survival import diagnosis_curves
+from carrierlab.session import checkpointed
 from carrierlab.sources import readers as R
 from carrierlab.sources.sinks import write_tsv
 
@@ -139,18 +141,20 @@ def penetrance_tables(
     return out
 
 
-def _effect(models: Mapping[str, DataFrame], model: str, variable: str, name: str) -> DataFrame:
-    return models[model].where(F.col("variable") == variable).select(
-        "condition", "restrict_lipid_meds", F.col("estimate").alias(f"{name} estimate"),
-        F.col("p_value").alias(f"{name} pval"))
+def _effect(models: DataFrame, model: str, variable: str, name: str) -> DataFrame:
+    return models.where((F.col("model") == model) & (F.col("variable") == variable)).select(
+        "condition", "restrict_lipid_meds", F.coalesce("gene", F.lit("")).alias("gene"),
+        F.col("estimate").alias(f"{name} estimate"), F.col("p_value").alias(f"{name} pval"))
 
 
-def score_contrasts(models: Mapping[str, DataFrame], gene: str | None = None) -> DataFrame:
-    """Top percentile against the middle half, and against carriers."""
-    keys = ["condition", "restrict_lipid_meds"]
+def score_contrasts(models: DataFrame) -> DataFrame:
+    """Top percentile against the middle half, and against carriers; ``gene`` where its carriers alone were fitted."""
+    keys = ["condition", "restrict_lipid_meds", "gene"]
     return _effect(models, "interquartile_vs_top", "groupingtop_1", "Top 1% vs interquartile").join(
         _effect(models, "top_vs_carrier", "carrierNon Carrier", "Carriers vs top 1%"), keys
-    ).withColumn("gene", F.lit(gene).cast("string"))
+    ).withColumn("gene", F.nullif(F.col("gene"), F.lit(""))).select(
+        *keys[:2], "Top 1% vs interquartile estimate", "Top 1% vs interquartile pval", "Carriers vs top 1% estimate",
+        "Carriers vs top 1% pval", "gene")
 
 
 def score_tables(
@@ -165,26 +169,28 @@ def score_tables(
     """
     genes_alone = {"MODY": ("GCK", "HNF1A")} if genes_alone is None else genes_alone
     pheno = with_adjusted_lipids(study.pheno)
-    tables: dict[str, DataFrame] = {}
-
-    def add(name: str, table: DataFrame) -> None:
-        tables[name] = tables[name].unionByName(table) if name in tables else table
-
-    for setting in settings or S.score_settings():
-        frame = score_frame(pheno, scores[setting.phenotype], study.carriers, genes, setting, age_cutoff, by_gene=True)
+    settings = list(settings or S.score_settings())
+    long = None
+    for phenotype in dict.fromkeys(s.phenotype for s in settings):
+        part = scores[phenotype].select("subject", F.lit(phenotype).alias("phenotype"), "score")
+        long = part if long is None else long.unionByName(part)
+    frames = checkpointed(score_frames(pheno, long, study.carriers, genes, settings, age_cutoff))
+    models = all_score_models(
+        frames, models=("top_vs_carrier", "interquartile_vs_top", "carriers"), genes_alone=genes_alone)
+    everyone = frames if age_cutoff is None else checkpointed(
+        score_frames(pheno, long, study.carriers, genes, settings, None))
+    columns = ["model", "condition", "restrict_lipid_meds", *COEFFICIENTS]
+    tables = {
+        "score_in_carriers": models.where("model = 'carriers' AND gene IS NULL").select(*columns),
+        "score_contrasts": score_contrasts(models),
+        "score_interaction": all_score_models(everyone, models=("interaction",)).select(*columns),
+    }
+    for number, setting in enumerate(settings):
         if setting.in_percentile_table:
-            add("score_percentiles", percentile_means(frame).withColumn("condition", F.lit(setting.trait)))
-        models = score_models(frame, setting, models=("top_vs_carrier", "interquartile_vs_top", "carriers"))
-        add("score_in_carriers", models["carriers"])
-        add("score_contrasts", score_contrasts(models))
-        for gene in genes_alone.get(setting.trait, ()):
-            alone = frame.where(F.col("gene").isin(gene, "Non Carrier"))
-            add("score_contrasts", score_contrasts(
-                score_models(alone, setting, models=("top_vs_carrier", "interquartile_vs_top")), gene))
-        if not setting.binary:
-            everyone = frame if age_cutoff is None else score_frame(
-                pheno, scores[setting.phenotype], study.carriers, genes, setting, None)
-            add("score_interaction", score_models(everyone, setting, models=("interaction",))["interaction"])
+            table = percentile_means(frames.where(F.col("setting") == number)).withColumn(
+                "condition", F.lit(setting.trait))
+            tables["score_percentiles"] = table if "score_percentiles" not in tables else tables[
+                "score_percentiles"].unionByName(table)
     return tables
 
 

@@ -181,15 +181,102 @@ def interaction_model(spark, d):
     return _coefficients(R.score_models(frame, _HIGH_LDL, (), ["interaction"])["interaction"])
 
 
-@query()
+# Ten made-up components besides age and sex, so that models have twelve covariates.
+_PCS = {f"pc{i}": p for i, p in enumerate((7, 11, 13, 17, 19, 23, 29, 31, 37, 41), 1)}
+_P = 16  # terms of the widest model, the intercept included
+
+
+def _solved(source: str, weight: str, z: str, columns: str) -> str:
+    """Normal equations of each group of ``source``, inverted: rows [.., coefficient, inverse] in one matrix."""
+    rows = []
+    for i in range(1, _P + 1):
+        cells = [f"sum({weight} * x[{i}] * x[{k}])" for k in range(1, _P + 1)]
+        cells[i - 1] = f"CASE WHEN {cells[i - 1]} = 0 THEN 1 ELSE {cells[i - 1]} END"  # a padded term
+        unit = ["1" if k == i else "0" for k in range(1, _P + 1)]
+        rows.append("[" + ", ".join(f"({c})::DOUBLE" for c in [*cells, f"sum({weight} * x[{i}] * {z})", *unit]) + "]")
+    k = "CAST(e[1][1] AS INTEGER)"
+    step = (f"list_transform(a, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / r[{k}]) "
+            f"ELSE list_transform(r, lambda v, j: v - r[{k}] * a[{k}][j] / a[{k}][{k}]) END)")
+    return (f"SELECT {columns}, list_reduce([m] || list_transform(range(1, {_P + 1}), lambda k: [[k::DOUBLE]]), "
+            f"lambda a, e: {step}) AS s, n, rest, used FROM (SELECT {columns}, [{', '.join(rows)}] AS m, count(*) AS n, "
+            f"sum({weight} * {z} * {z}) AS rest, "
+            + " + ".join(f"CAST(sum(abs(x[{i}])) > 0 AS INTEGER)" for i in range(1, _P + 1))
+            + f" AS used FROM {source} GROUP BY ALL)")
+
+
+def _models_sql() -> str:
+    values = ", ".join(
+        f"({i}, '{s.trait}', '{s.phenotype}', {str(s.no_meds).lower()}, {str(s.lower_is_worse).lower()}, {str(s.binary).lower()})"
+        for i, s in enumerate(S.score_settings()))
+    covariates = ", ".join(["age", "sex", *(f"subject * {p} % 97 / 48.0::DOUBLE - 1" for p in _PCS.values())])
+    names = ["age", "sex", *_PCS]
+
+    def model(name: str, variables: list[str], first: str, last: str, where: str) -> str:
+        x = ", ".join(["1", first, covariates, *([last] if last else []), *["0"] * (_P - 1 - len(variables))])
+        listed = ", ".join(f"'{v}'" for v in ["(Intercept)", *variables])
+        return (f"SELECT '{name}' AS model, setting, trait, no_meds, {'is_binary' if name in R.MODELS[:2] else 'false'} AS logit, "
+                f"[{listed}] AS names, y, [{x}]::DOUBLE[] AS x FROM tiled WHERE {where} AND age IS NOT NULL AND sex IS NOT NULL")
+
+    c = "CAST(c AS INTEGER)"
+    columns = "model, setting, trait, no_meds, names"
+    beta = "list_dot_product(x, list_transform(s, lambda r: r[17]))"
+    mean = f"(1 / (1 + exp(-({beta}))))"
+    again = _solved(
+        f"(SELECT rounds.it + 1 AS it, rows.model, rows.setting, rows.trait, rows.no_meds, rows.names, x, "
+        f"{mean} * (1 - {mean}) AS w, {beta} + (y - {mean}) / ({mean} * (1 - {mean})) AS z "
+        f"FROM rows JOIN rounds USING (model, setting) WHERE logit AND rounds.it < 25)", "w", "z", "it, " + columns)
+    zero = "[" + ", ".join("[" + ", ".join(["0::DOUBLE"] * (2 * _P + 1)) + "]" for _ in range(_P)) + "]"
+    inside = ("CASE WHEN v % 2 = 1 THEN 2 / pi() * (m + sin(m) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), "
+              "lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(m), 2 * j + 1))), 0)) "
+              "ELSE sin(m) * coalesce(list_sum(list_transform(range(0, v // 2), "
+              "lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(m), 2 * j))), 0) END")
+    return f"""WITH RECURSIVE settings AS (SELECT * FROM (VALUES {values}) t(setting, trait, phenotype, no_meds, lower, is_binary)),
+    scored AS (SELECT *, (score - avg(score) OVER ()) / stddev_samp(score) OVER () AS z FROM pheno),
+    frame AS (SELECT s.*, p.subject, p.age, p.sex, l.v AS y, CASE WHEN lower THEN -z ELSE z END AS prs, coalesce(t.is_carrier, false) AS c
+      FROM settings s JOIN long_pheno l ON l.phenotype = s.phenotype JOIN scored p ON p.subject = l.subject
+      LEFT JOIN status t ON t.subject = p.subject AND t.cohort = p.cohort AND t.trait = s.trait
+      WHERE l.v IS NOT NULL AND z IS NOT NULL AND (NOT no_meds OR p.lipidmeds = 0) AND (p.age >= 40 OR t.is_carrier)),
+    tiled AS (SELECT *, ntile(4) OVER w AS quantile, ntile(100) OVER w AS percentile FROM frame
+      WINDOW w AS (PARTITION BY setting ORDER BY prs, subject)),
+    rows AS ({" UNION ALL ".join([
+        model("top_vs_carrier", ["carrierNon Carrier", *names], f"1 - {c}", "", "(percentile = 100 OR c)"),
+        model("interquartile_vs_top", ["groupingtop_1", *names], "CAST(percentile = 100 AS INTEGER)", "",
+              "NOT c AND (percentile = 100 OR quantile IN (2, 3))"),
+        model("carriers", ["prs", *names], "prs", "", "c"),
+        model("interaction", ["carrierCarrier", "prs", *names, "carrierCarrier:prs"], f"{c}, prs", f"{c} * prs", "NOT is_binary"),
+    ])}),
+    linear AS ({_solved("(FROM rows WHERE NOT logit)", "1", "y", columns)}),
+    rounds AS (
+      SELECT DISTINCT 0 AS it, {columns}, {zero} AS s, CAST(0 AS BIGINT) AS n, 0::DOUBLE AS rest, 0 AS used FROM rows WHERE logit
+      UNION ALL
+      {again}
+    ),
+    fitted AS (SELECT {columns}, s, n, used, false AS logit, rest FROM linear
+      UNION ALL SELECT {columns}, s, n, used, true, rest FROM rounds WHERE it = 25),
+    spread AS (SELECT f.*, r.ss FROM fitted f LEFT JOIN (SELECT r.model, r.setting, sum(pow(y - list_dot_product(x, list_transform(s, lambda q: q[17])), 2)) AS ss
+        FROM rows r JOIN linear l ON l.model = r.model AND l.setting = r.setting GROUP BY ALL) r USING (model, setting) WHERE n > used),
+    terms AS (SELECT model, setting, trait, no_meds, names[i] AS variable, s[i][17] AS estimate,
+        sqrt(s[i][17 + i] * CASE WHEN logit THEN 1 ELSE ss / (n - used) END) AS std_error, logit, n, n - used AS v
+      FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM spread))
+    SELECT model, trait AS condition, no_meds AS restrict_lipid_meds, variable, round(estimate, 4) AS estimate,
+      round(std_error, 4) AS std_error, round(estimate / std_error, 3) AS statistic,
+      CASE WHEN NOT logit THEN round(1 - {inside}, 4) END AS p_value, n
+    FROM (SELECT *, atan(abs(estimate / std_error) / sqrt(v)) AS m FROM terms)"""
+
+
+@query(_models_sql())
 def score_models(spark, d):
-    """All four models of one setting with covariates (solved iteratively)."""
-    tables = R.score_models(_frame(spark, d, _HIGH_LDL), _HIGH_LDL, ("age", "sex"))
-    out = None
-    for table in tables.values():
-        out = table if out is None else out.unionByName(table)
+    """All models of all eight settings, with twelve covariates, over all cohorts, in the same passes."""
+    pheno = V.prepared_phenotypes(spark, d).withColumns({
+        name: F.col("subject") * p % 97 / 48.0 - 1 for name, p in _PCS.items()})
+    frames = R.score_frames(
+        pheno.drop("score"), pheno.select("subject", "score"), V.carriers(spark, d), V.gene_traits(spark, d),
+        age_cutoff=40, tie=F.col("subject"))
+    out = R.all_score_models(frames).where("converged")
+    logit = (F.col("condition") == "MODY") & F.col("model").isin("top_vs_carrier", "interquartile_vs_top")
     return out.select("model", "condition", "restrict_lipid_meds", "variable", rounded("estimate", 4),
-                      rounded("std_error", 4), rounded("statistic", 3), rounded("p_value", 4))
+                      rounded("std_error", 4), rounded("statistic", 3),
+                      rounded(F.when(~logit, F.col("p_value")), 4, "p_value"), "n")
 
 
 @query(f"""WITH {_MODY_FRAME}, m AS (SELECT count(*) FILTER (WHERE decile = 10 AND phenotype_value = 1)::DOUBLE AS a,

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from carrierlab import settings as S
-from carrierlab.functions.stats import exact_interval, log_gamma, t_half_width
+from carrierlab.functions.stats import exact_interval, log_gamma, normal_two_sided_p, t_half_width, t_two_sided_p
 from carrierlab.operators.counts import carrier_count_by_condition
 from carrierlab.functions.ranks import with_tiles
 from carrierlab.operators.submissions import submitter_ranking
-from plain_stats import beta_cdf, beta_quantile, t_quantile, t_two_sided_p
+from plain_stats import beta_cdf, beta_quantile, t_quantile, t_two_sided_p as student_p
 
 
 @pytest.mark.parametrize("k,n,low,high", [
@@ -53,7 +53,7 @@ def test_quantiles_invert_the_distribution():
     p = beta_cdf(x, 3.5, 8.0)
     assert np.allclose(beta_quantile(p, 3.5, 8.0), x, atol=1e-9)
     assert t_quantile(0.975, 1e6) == pytest.approx(1.959966, abs=1e-5)
-    assert t_two_sided_p(t_quantile(0.975, 7.0), 7.0) == pytest.approx(0.05, abs=1e-9)
+    assert student_p(t_quantile(0.975, 7.0), 7.0) == pytest.approx(0.05, abs=1e-9)
 
 
 def test_intervals_of_very_large_counts(spark):
@@ -87,6 +87,15 @@ def test_interval_columns_against_numpy(spark):
                 assert r.t == pytest.approx(float(t_quantile(1 - tail, r.n - 1)), rel=1e-8)
 
 
+def test_two_sided_probabilities(spark):
+    pairs = [(t, df) for t in (0.0, 0.01, 0.7, 1.0, 1.3, 4.2, 30.0, -2.0) for df in (1, 2, 5, 40, 300)]
+    for r in spark.createDataFrame(pairs, "t double, df long").select(
+            "t", "df", t_two_sided_p(F.col("t"), F.col("df").cast("double")).alias("p"),
+            normal_two_sided_p(F.col("t")).alias("q")).collect():
+        assert r.p == pytest.approx(float(student_p(r.t, r.df)), rel=1e-9, abs=1e-300)
+        assert r.q == pytest.approx(math.erfc(abs(r.t) / math.sqrt(2)), rel=1e-10)
+
+
 def test_log_gamma(spark):
     x = [0.5, 1.0, 1.5, 2.0, 10.0, 171.5, 1e6, 1e9]
     got = spark.createDataFrame([(v,) for v in x], "x double").select("x", log_gamma(F.col("x")).alias("g")).collect()
