@@ -5,11 +5,13 @@ A line's tokens are its distinct words. A line is removed when an earlier line
 Jaccard similarity of the threshold or more.
 
 1. One pass counts words in a table of fixed size and lists each document's
-   distinct token sets by 64-bit key; the least id that has a key owns it.
-2. Tokens are ordered rare first; a set's prefix is sent to its tokens. A set
-   stays a candidate if, at a token of both prefixes, some other set passes the
-   length filter, the positional filter and a filter on parity bits (a lower
-   bound of the Hamming distance). This is a semi-join: no pair is listed.
+   distinct token sets by 128-bit key; the least id that has a key owns it.
+2. Tokens are ordered rare first; a set's prefix is sent to its tokens, once.
+   There, sorted by size, sets are held against those behind them as far as the
+   length filter reaches. A set stays a candidate if some other set passes the
+   positional filter and a filter on parity bits (a lower bound of the Hamming
+   distance) as well. No pair is listed. Candidates go by half of their key,
+   which can only add some.
 3. Candidates that share a token meet under the least key of the token, with
    whole sets and positions. A semi-join verifies Jaccard against earlier sets.
 4. Removed lines are taken out of the texts.
@@ -27,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from carrierlab.llm import text as tx
 from carrierlab.llm.tables import checkpointed
@@ -39,8 +40,6 @@ PART_PREFIXES, PART_SETS = 20_000, 2_000
 
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line of each word, hash of each word, and first line of each text (and the end)."""
-    edges = np.zeros(len(data) + 1, dtype=np.int64)
-    np.add.at(edges, offsets[1:-1], 1)
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
     first = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)
@@ -56,10 +55,15 @@ def _sets(data, offsets):
     return owner, tokens, first, n, np.bincount(owner, minlength=n), tx.set_keys(owner, tokens, n, 1)
 
 
+def _second(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """The other half of the sets' keys."""
+    return tx.set_keys(owner, tokens, n, 2)
+
+
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, key, line) of each text's distinct sets, and (slot, seen) of the word counts."""
+    """Rows (doc_id, key, other, line) of each text's distinct sets, and (slot, seen) of the word counts."""
     counts = np.zeros(tx.BUCKETS, dtype=np.int64)
-    names = ["doc_id", "key", "line", "slot", "seen"]
+    names = ["doc_id", "key", "other", "line", "slot", "seen"]
     for rows, data, offsets in tx.slices(batches, "text"):
         owner, tokens, first, n, size, keys = _sets(data, offsets)
         counts += np.bincount(tx.bucket(tokens), minlength=tx.BUCKETS)
@@ -67,13 +71,13 @@ def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.searchsorted(first, used, side="right") - 1
         m = len(used)
         yield pa.RecordBatch.from_arrays([
-            rows.column("doc_id").take(pa.array(doc)), pa.array(keys[used]),
+            rows.column("doc_id").take(pa.array(doc)), pa.array(keys[used]), pa.array(_second(owner, tokens, n)[used]),
             pa.array((used - first[doc]).astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
             names=names)
     at = np.flatnonzero(counts)
     none = pa.nulls(len(at), pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [none, none, pa.nulls(len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=names)
+        [none, none, none, pa.nulls(len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=names)
 
 
 class _Once:
@@ -97,9 +101,17 @@ def _prefix_rows(batches, classes: np.ndarray, numerator: int, denominator: int)
     """(tokens, key, size, place, parity bits) of the prefixes, a batch at a time; a set's once a task."""
     once = _Once()
     for _, data, offsets in tx.slices(batches, "text"):
-        owner, tokens, _, n, size, keys = _sets(data, offsets)
-        bits = tx.parity(owner, tokens, n, 2)
-        owner, tokens = tx.distinct_sorted(owner, tx.ranked(tokens, classes))
+        line, hashes, first = line_words(data, offsets)
+        n = int(first[-1])
+        # Sorted once, by rank; equal words have equal ranks.
+        ranks = tx.ranked(hashes, classes)
+        order = tx.order_of(line, ranks)
+        owner, tokens, hashes = line[order], ranks[order], hashes[order]
+        new = np.ones(len(owner), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1])
+        owner, tokens, hashes = owner[new], tokens[new], hashes[new]
+        size, keys = np.bincount(owner, minlength=n), tx.set_keys(owner, hashes, n, 1)
+        bits = tx.parity(owner, hashes, n, 2)
         at = np.arange(len(owner)) - np.searchsorted(owner, np.arange(n))[owner]
         prefix = size - (numerator * size + denominator - 1) // denominator + 1
         keep = once.fresh(keys, size)[owner] & (at < prefix[owner])
@@ -133,6 +145,61 @@ def _prefixes(classes: np.ndarray, parts: np.ndarray, hot: bool, numerator: int,
     return run
 
 
+def _near(size, at, s0, s1, key, a, b, numerator: int, denominator: int) -> np.ndarray:
+    """Which pairs (a, b) of prefix rows pass the positional filter and the filter on parity bits."""
+    both = size[a] + size[b]
+    need = (numerator * both + numerator + denominator - 1) // (numerator + denominator)
+    odd = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int64) + np.bitwise_count(s1[a] ^ s1[b])
+    return (key[a] != key[b]) & (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) & (odd <= both - 2 * need)
+
+
+def _runs(numerator: int, denominator: int):
+    """(leader, key) of the sets that have a near one at their token; rows come sorted by token and size.
+
+    A token's rows may come in several batches; they are held until the next
+    token begins. The leader is the least such key of the token.
+    """
+    names = ["token", "key", "size", "at", "s0", "s1"]
+
+    def matched(columns: list[np.ndarray]) -> pa.RecordBatch:
+        token, key, size, at, s0, s1 = columns
+        size, at = size.astype(np.int64), at.astype(np.int64)
+        hit = np.zeros(len(token), dtype=bool)
+        i, step = np.arange(len(token) - 1), 1
+        while len(i):
+            j = i + step
+            # Sorted by size: a row that is out of reach has only such rows behind it.
+            reach = (token[j] == token[i]) & (size[i] * denominator >= size[j] * numerator)
+            i, j = i[reach], j[reach]
+            near = _near(size, at, s0, s1, key, i, j, numerator, denominator)
+            hit[i[near]] = hit[j[near]] = True
+            step += 1
+            i = i[i + step < len(token)]
+        token, key = token[hit], key[hit]
+        order = np.lexsort((key, token))
+        token, key = token[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+        leader = np.repeat(key[first], np.diff(np.append(first, len(token))))
+        return pa.RecordBatch.from_arrays([pa.array(leader), pa.array(key)], names=["leader", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            start = int(np.searchsorted(rows[0], rows[0][-1]))
+            if start:
+                yield matched([r[:start] for r in rows])
+            held = [r[start:] for r in rows]
+        if held is not None:
+            yield matched(held)
+
+    return run
+
+
 def _slot_counts(rows: DataFrame) -> np.ndarray:
     """Sum of ``seen`` by slot, over a table of fixed size."""
     seen = rows.groupBy("slot").agg(F.sum("seen").alias("seen")).toPandas()
@@ -141,21 +208,22 @@ def _slot_counts(rows: DataFrame) -> np.ndarray:
     return counts
 
 
-def _met(usual: DataFrame, hot: DataFrame | None, group: str, condition: Column, keep: list[str]) -> DataFrame:
+def _met(usual: DataFrame | None, hot: DataFrame | None, group: str, condition: Column, keep: list[str]) -> DataFrame:
     """``keep`` of the rows that meet a row of their group (columns ``o_...``) under the condition.
 
-    ``hot`` has groups that are cut into ``parts``.
+    ``hot`` has groups that are cut into ``parts``; either may be missing.
     """
     def join(rows: DataFrame, others: DataFrame, on: Column) -> DataFrame:
         return rows.join(others.toDF(*[f"o_{c}" for c in others.columns]), on & condition, "left_semi").select(*keep)
 
     same = F.col(group) == F.col(f"o_{group}")
-    out = join(usual, usual, same)
+    out = None if usual is None else join(usual, usual, same)
     if hot is not None:
-        out = out.unionByName(join(
+        cut = join(
             hot.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")),
             hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))),
-            same & (F.col("part") == F.col("o_part"))))
+            same & (F.col("part") == F.col("o_part")))
+        out = cut if out is None else out.unionByName(cut)
     return out
 
 
@@ -170,8 +238,9 @@ def _whole(slots: np.ndarray):
             keep = take[owner]
             bounds = np.concatenate([[0], np.cumsum(size[take])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[take]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens[keep].view(np.int64)))],
-                names=["key", "tokens"])
+                pa.array(keys[take]), pa.array(_second(owner, tokens, n)[take]),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens[keep].view(np.int64)))],
+                names=["key", "other", "tokens"])
 
     return run
 
@@ -194,10 +263,9 @@ def _need(a: Column, b: Column, numerator: int, denominator: int) -> Column:
 
 def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """(doc_id, line) of the lines to remove; ``docs`` has doc_id and text."""
-    listed = checkpointed(docs.mapInArrow(_listing, "doc_id long, key long, line int, slot int, seen long"))
+    listed = checkpointed(docs.mapInArrow(_listing, "doc_id long, key long, other long, line int, slot int, seen long"))
     classes = tx.rarity_class(_slot_counts(listed.where("slot IS NOT NULL")))
-    lines = listed.where("slot IS NULL AND doc_id IS NOT NULL").select("doc_id", "key", "line")
-    owners = lines.groupBy("key").agg(F.min("doc_id").alias("owner"))
+    lines = listed.where("slot IS NULL AND doc_id IS NOT NULL").select("doc_id", "key", "other", "line")
 
     parts = np.maximum(-(-_slot_counts(docs.mapInArrow(
         _prefix_counts(classes, numerator, denominator), "slot int, seen long")) // PART_PREFIXES), 1)
@@ -209,23 +277,24 @@ def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int
     need = _need(F.col("size"), F.col("o_size"), numerator, denominator)
     near_size = ((F.col("size") * denominator >= F.col("o_size") * numerator)
                  & (F.col("o_size") * denominator >= F.col("size") * numerator))
-    matched = checkpointed(_met(prefixes(False), checkpointed(prefixes(True)) if parts.max() > 1 else None, "token", (
+    usual = prefixes(False).repartition("token").sortWithinPartitions("token", "size").mapInArrow(
+        _runs(numerator, denominator), "leader long, key long")
+    hot = parts.max() > 1
+    matched = checkpointed(_met(None, checkpointed(prefixes(True)), "token", (
         (F.col("key") != F.col("o_key")) & near_size
         & (F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) >= need)
         & (F.bit_count(F.col("s0").bitwiseXOR(F.col("o_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1")))
-           <= F.col("size") + F.col("o_size") - 2 * need)), ["token", "key"]))
-    if parts.max() > 1:  # a window would hold a frequent token in one task
-        led = matched.join(matched.groupBy("token").agg(F.min("key").alias("leader")), "token")
-    else:
-        led = matched.withColumn("leader", F.min("key").over(Window.partitionBy("token")))
-    groups = checkpointed(led.select("leader", "key").distinct())
+           <= F.col("size") + F.col("o_size") - 2 * need)), ["token", "key"])) if hot else None
+    led = usual if matched is None else usual.unionByName(matched.join(
+        matched.groupBy("token").agg(F.min("key").alias("leader")), "token").select("leader", "key"))
+    groups = checkpointed(led.distinct())
     keys = groups.select("key").distinct()
-    sets = docs.mapInArrow(_whole(_key_bits(keys)), "key long, tokens array<long>").join(
-        keys, "key", "left_semi").dropDuplicates(["key"])
-    # Where the owner has the key first.
-    owned = lines.join(owners.join(keys, "key", "left_semi"), "key").where("doc_id = owner").groupBy("key", "owner").agg(
-        F.min("line").alias("line"))
-    placed = checkpointed(sets.join(owned, "key"))
+    sets = docs.mapInArrow(_whole(_key_bits(keys)), "key long, other long, tokens array<long>").join(
+        keys, "key", "left_semi").dropDuplicates(["key", "other"])
+    # Where a key occurs first: aggregated before it meets anything, so a frequent line is no hot key.
+    owned = lines.groupBy("key", "other").agg(F.min(F.struct("doc_id", "line")).alias("x")).select(
+        "key", "other", F.col("x.doc_id").alias("owner"), F.col("x.line").alias("line"))
+    placed = checkpointed(sets.join(owned, ["key", "other"]))
     large = checkpointed(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / PART_SETS).cast("int").alias("parts")).where(
         "parts > 1"))
 
@@ -239,11 +308,11 @@ def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int
         None if none else met(groups.join(large, "leader")), "leader", (
             ((F.col("o_owner") < F.col("owner")) | (F.col("o_owner") == F.col("owner")) & (F.col("o_line") < F.col("line")))
             & near_size & (common * denominator >= numerator * (F.col("size") + F.col("o_size") - common))),
-        ["key"]).distinct().withColumn("close", F.lit(True))
-    known = owners.join(close, "key", "left")
-    first = F.min("line").over(Window.partitionBy("doc_id", "key"))
-    return lines.withColumn("first", first).join(known, "key").where(
-        "close OR owner < doc_id OR line > first").select("doc_id", "line")
+        ["key", "other"]).distinct().withColumn("close", F.lit(True))
+    # Of a set's occurrences all go but the first, and that too if an earlier set is close.
+    again = lines.join(owned.withColumnRenamed("owner", "doc_id"), ["doc_id", "line", "key", "other"], "left_anti")
+    taken = owned.join(close, ["key", "other"], "left_semi").select(F.col("owner").alias("doc_id"), "line")
+    return again.select("doc_id", "line").unionByName(taken)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR,
@@ -260,13 +329,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(*[c for c in ("n_lines", "n_removed", "emptied") if c not in (id_col, text_col)])
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     gone = checkpointed(removed_lines(plain.where("doc_id IS NOT NULL AND text IS NOT NULL"), numerator, denominator))
-    gone = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
+    # Bits of the removed lines, 64 to a word, so that telling whether a line stays takes one look.
+    words = gone.groupBy("doc_id", F.shiftright("line", 6).alias("word")).agg(F.bit_or(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line") % 64)).alias("bits"))
+    gone = words.groupBy(F.col("doc_id").alias("gone_id")).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("by_word"),
+        F.max("word").alias("last"), F.sum(F.bit_count("bits")).cast("int").alias("gone_count")).select(
+        "gone_id", "gone_count", F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(
+            F.try_element_at("by_word", w), F.lit(0).cast("long"))).alias("gone_bits"))
     joined = docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left")
     split = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
+    stays = lambda i: F.call_function("shiftright", F.coalesce(F.get("gone_bits", F.shiftright(i, 6)), F.lit(
+        0).cast("long")), i % 64).bitwiseAND(F.lit(1)) == 0
+    left = F.array_join(F.filter(split, lambda x, i: stays(i)), "\n")
     has_words = F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]")
     return joined.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn(
-        "n_removed", F.coalesce(F.size("gone_lines"), F.lit(0))).withColumn(
+        "n_removed", F.coalesce("gone_count", F.lit(0))).withColumn(
         "had_words__", F.coalesce(has_words, F.lit(False))).withColumn(
-        text_col, F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(left)).withColumn(
-        "emptied", F.col("had_words__") & ~has_words).drop("gone_id", "gone_lines", "had_words__")
+        text_col, F.when(F.col("gone_bits").isNull(), F.col(text_col)).otherwise(left)).withColumn(
+        "emptied", F.col("had_words__") & ~has_words).drop("gone_id", "gone_bits", "gone_count", "had_words__")

@@ -131,11 +131,16 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
     return owner, out
 
 
-def distinct_sorted(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (owner, value), sorted."""
+def order_of(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Order by owner, then value."""
     order = np.argsort(values)
     small = np.uint16 if not len(owner) or owner.max() < 1 << 16 else np.int64
-    order = order[np.argsort(owner[order].astype(small), kind="stable")]
+    return order[np.argsort(owner[order].astype(small), kind="stable")]
+
+
+def distinct_sorted(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (owner, value), sorted."""
+    order = order_of(owner, values)
     owner, values = owner[order], values[order]
     keep = np.ones(len(owner), dtype=bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
