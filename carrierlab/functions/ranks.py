@@ -1,97 +1,32 @@
 """Order statistics over a whole table without a single-task window.
 
 A global ``ntile``, an empirical CDF or an exact quantile needs a total order.
-A window without a partition would sort the table in one task, and a window
-partitioned by a handful of groups in a handful of tasks. Here rows are first
-cut into value ranges; every range is ordered in its own task, and the number
-of rows before each range, a table with one row per range, is added back.
+Rows are dealt to ranges of that order, as many as their number asks for; every
+range is ordered in its own task, and what lies before a range, a table with one
+row per range, is added back. Rows that share a value are told apart by the tie,
+so a value with very many rows spreads over ranges as others do.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TIE_SPLITS = 64
-
-
-def _default_ranges(df: DataFrame) -> int:
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(2 * shuffle, 4096))
-
-
-def _range_splits(df: DataFrame, order: str, n_ranges: int) -> tuple[list[float], list[int]]:
-    """Cut points, and the indexes of ranges that hold one single value.
-
-    A value that fills several quantiles gets a range of its own, so that its
-    ties can be split further.
-    """
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = df.approxQuantile(order, probs, 1 / (4 * n_ranges)) if probs else []
-    repeated = {a for a, b in zip(cuts, cuts[1:]) if a == b}
-    points = set(cuts)
-    points |= {math.nextafter(v, math.inf) for v in repeated}
-    inner = sorted(p for p in points if math.isfinite(p))
-    splits = [-math.inf, *inner, math.inf]
-    single = [i for i, v in enumerate(splits) if v in repeated]
-    return splits, single
-
-
-def _with_ranges(df: DataFrame, order: str, splits: Sequence[float]) -> DataFrame:
-    cutter = Bucketizer(splits=list(splits), inputCol="_order", outputCol="_range",
-                        handleInvalid="keep")
-    return cutter.transform(df.withColumn("_order", F.col(order).cast("double"))).withColumn(
-        "_range", F.col("_range").cast("int")
-    )
+from carrierlab.functions.order import in_ranges, running
+from carrierlab.session import checkpointed
 
 
 def global_rank(
     df: DataFrame, order: str, tie: str, rank: str = "rank", total: str = "n_total",
-    n_ranges: int | None = None,
 ) -> DataFrame:
     """Add the 1-based rank by (order, tie) and the row count.
 
-    ``order`` is numeric and not null; ``tie`` is numeric and makes the order
-    total (use a hash for text ids). Every range, and every slice of a value
-    shared by many rows, is sorted in its own task.
+    ``order`` is not null; ``tie`` makes the order total.
     """
-    splits, single = _range_splits(
-        df.select(F.col(order).cast("double").alias(order)), order, n_ranges or _default_ranges(df)
-    )
-    cut = _with_ranges(df, order, splits)
-    if single:
-        low, high = df.agg(F.min(tie), F.max(tie)).first()
-        width = max(float(high) - float(low), 1.0)
-        slice_no = F.least(
-            F.lit(_TIE_SPLITS - 1),
-            F.floor((F.col(tie).cast("double") - float(low)) / width * _TIE_SPLITS).cast("int"),
-        )
-        cut = cut.withColumn(
-            "_slice", F.when(F.col("_range").isin(single), slice_no).otherwise(F.lit(0))
-        )
-    else:
-        cut = cut.withColumn("_slice", F.lit(0))
-    # One row per (range, slice): bounded by the number of ranges, not the data.
-    before = Window.orderBy("_range", "_slice")
-    offsets = (
-        cut.groupBy("_range", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_range", "_slice",
-            (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(Window.partitionBy()).alias(total),
-        )
-    )
-    inside = Window.partitionBy("_range", "_slice").orderBy("_order", tie)
-    return (
-        cut.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(offsets), ["_range", "_slice"])
-        .withColumn(rank, F.col("_inside") + F.col("_before"))
-        .drop("_range", "_slice", "_order", "_inside", "_before")
-    )
+    ranked = running(in_ranges(df, [], [order, tie]), [], {rank: F.lit(1)}, {rank: total})
+    return ranked.select(*df.columns, rank, total)
 
 
 def tile(rank: str | Column, total: str | Column, n: int) -> Column:
@@ -120,35 +55,12 @@ def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataF
     """Per group and distinct value: rows with the value, rows up to it, all rows.
 
     Columns: groups, value, ``n``, ``n_up_to``, ``n_group``. Equal values are
-    counted together before anything is ordered.
+    counted together before anything is ordered; ``df`` is read once.
     """
     groups = list(groups)
-    known = df.where(F.col(value).isNotNull())
-    splits, _ = _range_splits(
-        known.select(F.col(value).cast("double").alias(value)), value, _default_ranges(df)
-    )
-    counted = known.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    cut = _with_ranges(counted, value, splits)
-    order = Window.partitionBy(*groups).orderBy("_range")
-    # One row per (group, range), from counts that are already aggregated.
-    offsets = (
-        cut.groupBy(*groups, "_range").agg(F.sum("n").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-        .withColumn("n_group", F.sum("_n").over(Window.partitionBy(*groups)))
-        .drop("_n")
-    )
-    offsets = offsets.select(*[F.col(g).alias(f"_g_{g}") for g in groups],
-                             F.col("_range").alias("_r"), "_before", "n_group")
-    same = cut["_range"] == F.col("_r")
-    for g in groups:
-        same = same & cut[g].eqNullSafe(F.col(f"_g_{g}"))
-    inside = Window.partitionBy(*groups, "_range").orderBy("_order")
-    return (
-        cut.withColumn("_inside", F.sum("n").over(inside))
-        .join(offsets, same)
-        .select(*groups, value, "n",
-                (F.col("_inside") + F.col("_before")).alias("n_up_to"), "n_group")
-    )
+    counted = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")))
+    return running(in_ranges(counted, groups, [value]), groups, {"n_up_to": F.col("n")}, {"n_up_to": "n_group"}).select(
+        *groups, value, "n", "n_up_to", "n_group")
 
 
 def empirical_cdf(df: DataFrame, groups: Sequence[str], value: str, out: str = "ecdf") -> DataFrame:

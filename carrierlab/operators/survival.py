@@ -4,37 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrierlab import settings as S
+from carrierlab.functions.order import in_ranges, running
 from carrierlab.operators.carriers import annotate_carriers
 from carrierlab.operators.cohort import age_at_onset
+from carrierlab.session import checkpointed
 
 
 def kaplan_meier(df: DataFrame, groups: Sequence[str], time: str, event: str) -> DataFrame:
     """Survival after each time: at risk, events, product of (1 - d/n).
 
-    ``time`` is in whole units (years, days). Subjects are counted per (group,
-    time) first, so the ordered pass sees one row per distinct time. Rows with
-    an unknown time or event are left out.
+    Subjects are counted per (group, time) first. Times may be as many as
+    subjects: they are dealt to ranges, and products inside the ranges meet the
+    products of the ranges before, so no task holds the times of a group. Rows
+    with an unknown time or event are left out.
     """
-    per_time = (
+    per_time = checkpointed(
         df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
         .groupBy(*groups, time)
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(event).cast("long")).alias("n_event"))
-    )
-    ordered = Window.partitionBy(*groups).orderBy(time)
-    from_here = ordered.rowsBetween(0, Window.unboundedFollowing)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    at_risk = per_time.withColumn("n_risk", F.sum("_n").over(from_here))
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(event).cast("long")).alias("n_event")))
+    counted = running(in_ranges(per_time, groups, [time]), groups, {"_up_to": F.col("_n")}, {"_up_to": "_all"})
+    at_risk = counted.withColumn("n_risk", F.col("_all") - F.col("_up_to") + F.col("_n"))
     # The last step may reach 0, whose logarithm does not exist.
     factor = 1 - F.col("n_event") / F.col("n_risk")
-    log_sum = F.sum(F.when(factor > 0, F.ln(factor)).otherwise(0.0)).over(so_far)
-    reached_zero = F.max(F.when(factor <= 0, 1).otherwise(0)).over(so_far) == 1
-    return at_risk.select(
+    survived = running(at_risk, groups, {
+        "_log": F.when(factor > 0, F.ln(factor)).otherwise(0.0), "_zeros": F.when(factor <= 0, 1).otherwise(0)})
+    return survived.select(
         *groups, time, "n_risk", "n_event", (F.col("_n") - F.col("n_event")).alias("n_censor"),
-        F.when(reached_zero, 0.0).otherwise(F.exp(log_sum)).alias("survival"),
+        F.when(F.col("_zeros") > 0, 0.0).otherwise(F.exp("_log")).alias("survival"),
     )
 
 

@@ -324,6 +324,16 @@ def kaplan_meier(spark, d):
     return out.select("grp", "time", "n_risk", "n_event", "n_censor", rounded("survival"))
 
 
+@query("""WITH subjects AS (SELECT o_orderpriority AS grp, o_totalprice AS time, CAST(o_orderstatus = 'F' AS INTEGER) AS event
+      FROM orders)""" + _KM_SQL.format(g="grp"))
+def survival_continuous(spark, d):
+    """Curves over a time with about as many values as rows."""
+    subjects = V.table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("grp"), F.col("o_totalprice").alias("time"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("event"))
+    return km(subjects, ["grp"], "time", "event").select("grp", "time", "n_risk", "n_event", "n_censor", rounded("survival"))
+
+
 @query("""WITH subjects AS (
       SELECT p.cohort, CASE WHEN t.is_carrier THEN w.gene ELSE 'Non Carrier' END AS gene,
         coalesce(aod, diagnosed_0, CASE WHEN t2d = 0 THEN age END) AS time, t2d AS event
