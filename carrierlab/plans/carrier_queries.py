@@ -155,19 +155,23 @@ def carrier_count_by_condition(spark, d):
     return out.select("cohort", "trait", "number_variants", "number_carriers", rounded("percent_carriers"))
 
 
+def _side_by_side(cells: dict[str, str]) -> str:
+    """SQL: a column for each cell and cohort."""
+    return ", ".join(f"max({expr}) FILTER (WHERE cohort = '{c}') AS \"{name}_{c}\"" for c in _SEGMENTS for name, expr in cells.items())
+
+
 @query(f"""
     WITH counted AS (
-      SELECT c.cohort, trait, count(DISTINCT variant) AS v, count(DISTINCT subject) AS s
-      FROM carriers c WHERE NOT {_EXTENDED} GROUP BY c.cohort, trait)
-    SELECT trait, max(v) FILTER (WHERE cohort = 'BUILDING') AS "number_variants_BUILDING",
-      max(s) FILTER (WHERE cohort = 'BUILDING') AS "number_carriers_BUILDING",
-      max(v) FILTER (WHERE cohort = 'MACHINERY') AS "number_variants_MACHINERY",
-      max(s) FILTER (WHERE cohort = 'MACHINERY') AS "number_carriers_MACHINERY"
+      SELECT c.cohort, trait, count(DISTINCT variant) AS v, count(DISTINCT subject) AS s,
+        round(count(DISTINCT subject) / any_value(n)::DOUBLE * 100, 6) AS p
+      FROM carriers c JOIN (SELECT cohort, count(*) AS n FROM pheno GROUP BY cohort) q ON q.cohort = c.cohort
+      WHERE NOT {_EXTENDED} GROUP BY c.cohort, trait)
+    SELECT trait, {_side_by_side({"number_variants": "v", "number_carriers": "s", "percent_carriers": "p"})}
     FROM counted GROUP BY trait""")
 def conditions_side_by_side(spark, d):
     pheno, carriers, _ = _study(spark, d)
-    out = N.cohorts_side_by_side(N.carrier_count_by_condition(pheno, carriers), ["BUILDING", "MACHINERY"])
-    return out.drop("percent_carriers_BUILDING", "percent_carriers_MACHINERY")
+    out = N.cohorts_side_by_side(N.carrier_count_by_condition(pheno, carriers), list(_SEGMENTS))
+    return out.withColumns({c: rounded(f"percent_carriers_{x}") for x in _SEGMENTS for c in [f"percent_carriers_{x}"]})
 
 
 @query(f"""
@@ -208,8 +212,7 @@ def variant_list_counts(spark, d):
 @query(f"""
     SELECT variant_b37, trait, evidence AS variant_type, gene, lower(level) AS level,
       coalesce(string_agg(DISTINCT notes, ', ' ORDER BY notes), '') AS notes,
-      nullif(count(*) FILTER (WHERE cohort = 'BUILDING'), 0) AS "BUILDING",
-      nullif(count(*) FILTER (WHERE cohort = 'MACHINERY'), 0) AS "MACHINERY",
+      {", ".join(f"nullif(count(*) FILTER (WHERE cohort = '{c}'), 0) AS \"{c}\"" for c in _SEGMENTS)},
       any_value(p_name) AS assessment
     FROM carriers JOIN part ON p_partkey = CAST(variant AS BIGINT)
     WHERE NOT {_EXTENDED} GROUP BY variant_b37, trait, evidence, gene, lower(level)""")
@@ -219,7 +222,7 @@ def final_variant_table(spark, d):
     assessments = V.table(spark, d, "part").select(
         F.col("p_partkey").cast("string").alias("variant_b37"), evidence.alias("variant_type"),
         F.col("p_name").alias("assessment"))
-    return N.final_variant_table(carriers, ["BUILDING", "MACHINERY"], assessments)
+    return N.final_variant_table(carriers, list(_SEGMENTS), assessments)
 
 
 @query("""SELECT c.cohort, c.trait, count(*) AS n FROM carriers c
@@ -454,24 +457,25 @@ def assoc_select_or(spark, d):
 
 @query(f"""
     WITH res AS ({_RESULTS_SQL}),
-    pen AS (SELECT condition, phenotype, lipidmeds, cohort, gene, total, count FROM (
-      {_penetrance_sql(_LABEL, "CASE WHEN t.is_carrier THEN w.gene ELSE 'Non Carrier' END", _LOWEST).replace('outcome_settings s', "(FROM outcome_settings WHERE trait = 'Obesity') s")})),
-    joined AS (SELECT pen.*, r.beta FROM pen LEFT JOIN (SELECT * FROM res WHERE Condition = 'Obesity' AND type = 'pathogenic'
-        AND additional_covariates = 'covart2d') r ON r.gene = pen.gene AND r.data_source = pen.cohort)
-    SELECT condition, gene, max(total) FILTER (WHERE cohort = 'BUILDING') AS "total_BUILDING",
-      round(max(beta) FILTER (WHERE cohort = 'BUILDING'), 6) AS "beta_BUILDING",
-      max(total) FILTER (WHERE cohort = 'MACHINERY') AS "total_MACHINERY",
-      round(max(beta) FILTER (WHERE cohort = 'MACHINERY'), 6) AS "beta_MACHINERY"
-    FROM joined GROUP BY condition, gene""")
+    pen AS (SELECT p.*, condition_simple FROM ({_penetrance_sql(_LABEL, "CASE WHEN t.is_carrier THEN w.gene ELSE 'Non Carrier' END", _LOWEST)}) p
+      JOIN (SELECT DISTINCT condition, condition_simple FROM outcome_settings) s ON s.condition = p.condition),
+    used AS (SELECT *, coalesce(additional_covariates, '') NOT IN ('', 'covart2d') AS lipidmeds,
+        CASE replace(Condition, '_', ' ') WHEN 'High triglycerides' THEN 'High TG' WHEN 'Obesity' THEN 'Monogenic obesity'
+          ELSE replace(Condition, '_', ' ') END AS name
+      FROM res WHERE type = 'pathogenic' AND (additional_covariates IS NULL
+        OR additional_covariates IN ('', 'covart2d', 'covart2d,covarlipidmeds'))),
+    joined AS (SELECT pen.*, round(u.beta, 6) AS beta FROM pen LEFT JOIN used u ON u.gene = pen.gene AND u.data_source = pen.cohort
+        AND u.name = pen.condition_simple AND u.lipidmeds = pen.lipidmeds)
+    SELECT condition, lipidmeds, gene, {_side_by_side({"total": "total", "beta": "beta"})}
+    FROM joined GROUP BY condition, lipidmeds, gene""")
 def assoc_joined_to_penetrance(spark, d):
-    settings = [s for s in S.outcome_settings() if s.trait == "Obesity"]
-    table = P.penetrance_counts(*_study(spark, d), settings=settings, by_gene=True)
-    used = A.select_results(_results(spark, d), trait="Obesity", phenotype="bmi").select(
-        F.col("Gene").alias("gene"), F.col("data_source").alias("cohort"), F.col("BETA").alias("beta"))
-    joined = table.join(used, ["gene", "cohort"], "left")
-    wide = P.spread(joined, ["condition", "gene"], "cohort", ["BUILDING", "MACHINERY"], ["total", "beta"])
-    return wide.select("condition", "gene", "total_BUILDING", rounded("beta_BUILDING"),
-                       "total_MACHINERY", rounded("beta_MACHINERY"))
+    """Association results beside the penetrance of all settings, by gene, all cohorts."""
+    table = P.penetrance_counts(*_study(spark, d), by_gene=True)
+    used = A.select_results(_results(spark, d)).select(
+        A.condition_name().alias("condition_simple"), F.col("Gene").alias("gene"), F.col("data_source").alias("cohort"),
+        "lipidmeds", rounded("BETA", name="beta"))
+    joined = table.join(used, ["condition_simple", "gene", "cohort", "lipidmeds"], "left")
+    return P.spread(joined, ["condition", "lipidmeds", "gene"], "cohort", list(_SEGMENTS), ["total", "beta"])
 
 
 @query()
