@@ -563,67 +563,71 @@ def two_cohort_union(spark, d):
 
 # --- ascertainment ---------------------------------------------------------
 
+_LABELS = {"High LDL": "LDL_High", "Low LDL": "LDL_Low"}
 _ARMS = f"""SELECT c.subject, c.cohort, c.trait, c.variant, p.ldl_mgdl, p.ldl_mgdl_adj, p.age, p.sex,
-      coalesce(p.esp_phenotype = 'LDL_High', false) AS ascertained
-    FROM carriers c JOIN pheno p ON p.subject = c.subject AND p.cohort = c.cohort
-    WHERE lower(level) IN ({PATH}) AND c.trait = 'High LDL' AND p.ldl_mgdl IS NOT NULL
-      AND NOT coalesce(p.esp_phenotype IN ({quoted(x for x in S.ASCERTAINED_PHENOTYPES if x != 'LDL_High')}), false)"""
+      coalesce(p.esp_phenotype = l.label, false) AS ascertained
+    FROM carriers c JOIN (VALUES {", ".join(f"('{t}', '{x}')" for t, x in _LABELS.items())}) l(trait, label) ON l.trait = c.trait
+    JOIN pheno p ON p.subject = c.subject AND p.cohort = c.cohort
+    WHERE lower(level) IN ({PATH}) AND p.ldl_mgdl IS NOT NULL
+      AND NOT coalesce(p.esp_phenotype IN ({quoted(S.ASCERTAINED_PHENOTYPES)}) AND p.esp_phenotype <> l.label, false)"""
+_SHARED = """shared AS (SELECT * FROM arms SEMI JOIN (SELECT trait, variant FROM arms GROUP BY trait, variant
+      HAVING bool_or(ascertained) AND bool_or(NOT ascertained)) v USING (trait, variant))"""
+_ARM_COLUMNS = "subject, cohort, trait, ldl_mgdl, ldl_mgdl_adj, age, sex, ascertained"
 
 
 def _arm_stats_sql(source: str, columns: str) -> str:
-    return f"""SELECT ascertained, count(*) AS n, round(avg(ldl_mgdl_adj), 4) AS mean,
+    return f"""SELECT trait, ascertained, count(*) AS n, round(avg(ldl_mgdl_adj), 4) AS mean,
       round(stddev_samp(ldl_mgdl_adj), 4) AS sd, round(stddev_samp(ldl_mgdl_adj) / sqrt(count(*)), 4) AS se
-    FROM (SELECT DISTINCT {columns} FROM {source}) GROUP BY ascertained"""
+    FROM (SELECT DISTINCT {columns} FROM {source}) GROUP BY trait, ascertained"""
 
 
-def _arms(spark, d):
+def _arms(spark, d, shared=False):
+    """Arms of both conditions."""
     pheno, carriers, _ = _study(spark, d)
     joined = H.phenotypes_of_carriers(
         pheno.select("subject", "cohort", "ldl_mgdl", "ldl_mgdl_adj", "age", "sex", "esp_phenotype"),
         carriers, S.PATH_LEVELS)
-    return arm_frame(joined, "High LDL", "LDL_High")
+    frames = [arm_frame(joined, trait, label) for trait, label in _LABELS.items()]
+    frames = [shared_variants(f) for f in frames] if shared else frames
+    return frames[0].unionByName(frames[1])
 
 
 def _stats(frame, columns):
-    out = arm_statistics(frame, "ldl_mgdl_adj", columns, conf=None)
-    return out.select("ascertained", "n", rounded("mean", 4), rounded("sd", 4), rounded("se", 4))
+    out = arm_statistics(frame, "ldl_mgdl_adj", columns, ["trait"], conf=None)
+    return out.select("trait", "ascertained", "n", rounded("mean", 4), rounded("sd", 4), rounded("se", 4))
 
 
-@query("WITH arms AS (" + _ARMS + ") " + _arm_stats_sql(
-    "arms", "subject, cohort, trait, ldl_mgdl, ldl_mgdl_adj, age, sex, ascertained"))
+@query("WITH arms AS (" + _ARMS + ") " + _arm_stats_sql("arms", _ARM_COLUMNS))
 def ascertainment_arms(spark, d):
     return _stats(_arms(spark, d), ["subject", "cohort", "trait", "ldl_mgdl", "age", "sex"])
 
 
-@query("WITH arms AS (" + _ARMS + """), both_arms AS (SELECT variant FROM arms GROUP BY variant
-      HAVING bool_or(ascertained) AND bool_or(NOT ascertained)), shared AS (SELECT * FROM arms SEMI JOIN both_arms USING (variant)) """
-       + _arm_stats_sql("shared", "subject, cohort, trait, variant, ldl_mgdl, ldl_mgdl_adj, age, sex, ascertained"))
+@query("WITH arms AS (" + _ARMS + "), " + _SHARED + " " + _arm_stats_sql("shared", _ARM_COLUMNS + ", variant"))
 def shared_variant_stats(spark, d):
-    return _stats(shared_variants(_arms(spark, d)),
-                  ["subject", "cohort", "trait", "variant", "ldl_mgdl", "age", "sex"])
+    return _stats(_arms(spark, d, True), ["subject", "cohort", "trait", "variant", "ldl_mgdl", "age", "sex"])
 
 
-@query(f"""SELECT cohort, count(*) AS n, round(avg(ldl_mgdl), 4) AS mean FROM pheno
-    WHERE subject NOT IN (SELECT subject FROM carriers WHERE lower(level) IN ({PATH}) AND trait = 'High LDL')
-      AND coalesce(esp_phenotype NOT IN ({quoted(S.ASCERTAINED_PHENOTYPES)}), true) GROUP BY cohort""")
+@query(" UNION ALL ".join(f"""SELECT '{trait}' AS trait, cohort, count(*) AS n, round(avg(ldl_mgdl), 4) AS mean FROM pheno
+    WHERE subject NOT IN (SELECT subject FROM carriers WHERE lower(level) IN ({PATH}) AND trait = '{trait}')
+      AND coalesce(esp_phenotype NOT IN ({quoted(S.ASCERTAINED_PHENOTYPES)}), true) GROUP BY cohort""" for trait in _LABELS))
 def non_carrier_arm(spark, d):
     pheno, carriers, _ = _study(spark, d)
-    path = carriers.where(F.lower("level").isin(list(S.PATH_LEVELS)) & (F.col("trait") == "High LDL"))
-    return non_carriers(pheno, path).groupBy("cohort").agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.avg("ldl_mgdl"), 4, "mean"))
-
-
-@query("WITH arms AS (" + _ARMS + "), stats AS (" + _arm_stats_sql(
-    "arms", "subject, cohort, trait, ldl_mgdl, ldl_mgdl_adj, age, sex, ascertained")
-    + """), shared AS (SELECT * FROM arms SEMI JOIN (SELECT variant FROM arms GROUP BY variant
-      HAVING bool_or(ascertained) AND bool_or(NOT ascertained)) v USING (variant)), shared_stats AS ("""
-    + _arm_stats_sql("shared", "subject, cohort, trait, variant, ldl_mgdl, ldl_mgdl_adj, age, sex, ascertained")
-    + ") SELECT * FROM stats UNION SELECT * FROM shared_stats")
+    out = None
+    for trait in _LABELS:
+        path = carriers.where(F.lower("level").isin(list(S.PATH_LEVELS)) & (F.col("trait") == trait))
+        part = non_carriers(pheno, path).groupBy(F.lit(trait).alias("trait"), "cohort").agg(
+            F.count(F.lit(1)).alias("n"), rounded(F.avg("ldl_mgdl"), 4, "mean"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("WITH arms AS (" + _ARMS + "), stats AS (" + _arm_stats_sql("arms", _ARM_COLUMNS) + "), " + _SHARED
+       + ", shared_stats AS (" + _arm_stats_sql("shared", _ARM_COLUMNS + ", variant")
+       + ") SELECT * FROM stats UNION SELECT * FROM shared_stats")
 def union_distinct_stats(spark, d):
     """Statistics rows of both selections stacked as a set."""
-    arms = _arms(spark, d)
-    all_rows = _stats(arms, ["subject", "cohort", "trait", "ldl_mgdl", "age", "sex"])
-    shared = _stats(shared_variants(arms), ["subject", "cohort", "trait", "variant", "ldl_mgdl", "age", "sex"])
+    all_rows = _stats(_arms(spark, d), ["subject", "cohort", "trait", "ldl_mgdl", "age", "sex"])
+    shared = _stats(_arms(spark, d, True), ["subject", "cohort", "trait", "variant", "ldl_mgdl", "age", "sex"])
     return all_rows.union(shared).distinct()
 
 
