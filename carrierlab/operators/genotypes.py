@@ -258,8 +258,8 @@ def keep_consequences(
 
 def expression_proportion(
     consequences: DataFrame, expression: DataFrame, gene_maximum: DataFrame,
-    severity: Sequence[str], dropped_tissues: Iterable[str] = (),
-    variant: Sequence[str] = VARIANT,
+    severity: Sequence[str] = S.CODING_SEVERITY, dropped_tissues: Iterable[str] = (),
+    variant: Sequence[str] = VARIANT, listed_only: bool = False,
 ) -> DataFrame:
     """Share of a gene's expression on transcripts that carry a consequence.
 
@@ -268,9 +268,14 @@ def expression_proportion(
     tissue, max_value. Per (variant, gene, consequence, tissue) the expression
     of the carrying transcripts is summed and divided by the gene's maximum;
     the mean runs over tissues with a positive maximum. One row per variant
-    remains: the most severe consequence, then the largest proportion.
+    remains: the most severe consequence, then the largest proportion; its
+    ``severity_rank`` is the place in ``severity`` (behind it for others).
+    With ``listed_only`` consequences outside the list are left out, before
+    transcripts are joined.
     """
     variant = list(variant)
+    if listed_only:
+        consequences = consequences.where(F.col("csq").isin(list(severity)))
     used = expression.where(~F.col("tissue").isin(list(dropped_tissues))) if dropped_tissues else expression
     group = [*variant, "gene", "csq", "lof_flag"]
     per_tissue = (
@@ -292,12 +297,18 @@ def expression_proportion(
     )
     order = F.array_position(F.array(*[F.lit(s) for s in severity]), F.col("csq"))
     rank = F.when(order > 0, order).otherwise(len(severity) + 1)
-    best = F.min_by(
-        F.struct("gene", "csq", "lof_flag", "mean_proportion", "by_tissue"),
-        # rounded, so that summation order cannot decide between equal means
-        F.struct(rank, -F.round(F.coalesce(F.col("mean_proportion"), F.lit(-1.0)), 9), "gene", "lof_flag"),
-    )
-    return per_csq.groupBy(*variant).agg(best.alias("_worst")).select(*variant, "_worst.*")
+    # Rank and proportion in one number, whose minimum a hash aggregate keeps;
+    # only rows that reach it are told apart by their texts. The proportion is
+    # rounded, so that summation order cannot decide between equal means.
+    share = F.least(F.round((F.coalesce(F.col("mean_proportion"), F.lit(-1.0)) + 1) * 1e9).cast("long"),
+                    F.lit((1 << 44) - 1))
+    ranked = per_csq.withColumn("severity_rank", rank.cast("int")).withColumn(
+        "_key", F.shiftleft(F.col("severity_rank").cast("long"), 44) - share)
+    least = ranked.groupBy(*variant).agg(F.min("_key").alias("_least"))
+    reached = ranked.join(least, variant).where("_key = _least")
+    best = F.min_by(F.struct("gene", "csq", "severity_rank", "lof_flag", "mean_proportion", "by_tissue"),
+                    F.struct("gene", "lof_flag"))
+    return reached.groupBy(*variant).agg(best.alias("_worst")).select(*variant, "_worst.*")
 
 
 def tissue_text(by_tissue: str | Column) -> Column:

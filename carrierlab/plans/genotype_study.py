@@ -47,7 +47,7 @@ class GenotypeResult:
 
 def run(
     inputs: GenotypeInputs, skip: Iterable[str] = (), genes: Sequence[str] = S.GENE_SET,
-    lof_genes: Sequence[str] = S.LOF_GENE_SET, severity: Sequence[str] = (),
+    lof_genes: Sequence[str] = S.LOF_GENE_SET, severity: Sequence[str] = S.CODING_SEVERITY,
     dropped_tissues: Sequence[str] = (), folder: str | None = None, overwrite: bool = True,
 ) -> GenotypeResult:
     """Run the steps. Steps without their input count as skipped.
@@ -106,7 +106,9 @@ def run(
             F.array_join("t.lof_flags", ",").alias("lof_flag"),
         ).where(F.col("gene").isin(list(lof_genes)))
         worst = G.expression_proportion(
-            parts, inputs.expression, inputs.gene_maximum, severity, dropped_tissues)
+            parts, inputs.expression, inputs.gene_maximum, severity, dropped_tissues, listed_only=True)
+        if folder:
+            export_worst(worst, f"{folder}/worst_consequences", overwrite)
         lof = lof.join(worst.select(
             *G.VARIANT, F.col("mean_proportion").alias("worst_csq_mean_proportion"),
             G.tissue_text("by_tissue").alias("worst_csq_pext"), "lof_flag",
@@ -130,6 +132,14 @@ def export_qc_calls(result: GenotypeResult, path: str, overwrite: bool = False)
               likelihoods="pl" in calls.columns)
 
 
+def export_worst(worst: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Table of each variant's most severe consequence and its expression by tissue."""
+    write_tsv(worst.select(
+        F.concat_ws(":", "contig", F.col("pos").cast("string"), F.array_join("alleles", ":")).alias("variant"),
+        "gene", "csq", "severity_rank", "lof_flag", "mean_proportion", G.tissue_text("by_tissue").alias("by_tissue"),
+    ), path, overwrite=overwrite)
+
+
 def export_filtered(filtered: DataFrame, path: str, overwrite: bool = False) -> None:
     """Gzip table of variants with a consequence on a gene of interest."""
     table = filtered.select(

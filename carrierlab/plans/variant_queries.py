@@ -213,6 +213,38 @@ def expression_proportion(spark, d):
     return out.select("variant", "gene", "csq", "lof_flag", rounded("mean_proportion"))
 
 
+@query("""
+    WITH lines AS (SELECT l_partkey AS variant, p_brand AS gene, p_type AS transcript,
+        CASE l_returnflag WHEN 'R' THEN 'stop_gained' WHEN 'A' THEN 'missense_variant' ELSE 'intron_variant' END AS csq,
+        l_linestatus AS lof_flag, 'T' || l_linenumber AS tissue, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey),
+    expr AS (SELECT gene, transcript, tissue, max(q) AS value FROM lines GROUP BY ALL),
+    gmax AS (SELECT gene, tissue, sum(value) AS max_value FROM expr GROUP BY ALL),
+    cons AS (SELECT DISTINCT variant, gene, transcript, csq, lof_flag FROM lines WHERE csq <> 'intron_variant'),
+    per_tissue AS (SELECT variant, gene, csq, lof_flag, tissue, sum(value) / any_value(max_value) AS p
+      FROM cons JOIN expr USING (gene, transcript) JOIN gmax USING (gene, tissue) GROUP BY ALL),
+    per_csq AS (SELECT variant, gene, csq, lof_flag, avg(p) AS m,
+      string_agg(tissue || ':' || round(p, 4), ',' ORDER BY tissue) AS tissues FROM per_tissue GROUP BY ALL)
+    SELECT variant, gene, csq, CASE csq WHEN 'stop_gained' THEN 4 ELSE 11 END AS severity_rank, lof_flag,
+      round(m, 6) AS mean_proportion, tissues FROM per_csq
+    QUALIFY row_number() OVER (PARTITION BY variant ORDER BY severity_rank, round(m, 9) DESC, gene, lof_flag) = 1""")
+def worst_consequences(spark, d):
+    """Most severe coding consequence of each variant, its rank and its share of expression by tissue."""
+    lines = V.table(spark, d, "lineitem").join(
+        V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")
+    ).select(
+        F.col("l_partkey").alias("variant"), F.col("p_brand").alias("gene"), F.col("p_type").alias("transcript"),
+        F.when(F.col("l_returnflag") == "R", "stop_gained").when(F.col("l_returnflag") == "A", "missense_variant")
+        .otherwise("intron_variant").alias("csq"), F.col("l_linestatus").alias("lof_flag"),
+        F.concat(F.lit("T"), F.col("l_linenumber").cast("string")).alias("tissue"), "l_quantity")
+    expression = lines.groupBy("gene", "transcript", "tissue").agg(F.max("l_quantity").alias("value"))
+    maximum = expression.groupBy("gene", "tissue").agg(F.sum("value").alias("max_value"))
+    effects = lines.select("variant", "gene", "transcript", "csq", "lof_flag").distinct()
+    out = G.expression_proportion(effects, expression, maximum, variant=["variant"], listed_only=True)
+    text = F.concat_ws(",", F.transform(F.map_entries("by_tissue"), lambda e: F.concat(
+        e["key"], F.lit(":"), F.round(e["value"], 4).cast("string"))))
+    return out.select("variant", "gene", "csq", "severity_rank", "lof_flag", rounded("mean_proportion"), text.alias("tissues"))
+
+
 @query("""SELECT gene, copies, count(*) AS n_rows, count(DISTINCT sample) AS n_samples FROM calls
     JOIN variants USING (partkey) WHERE copies > 0 GROUP BY ALL""")
 def carrier_list(spark, d):

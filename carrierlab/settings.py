@@ -90,12 +90,18 @@ TISSUES = (
     "Brain_Caudate_basalganglia_", "Colon_Sigmoid",
     "Esophagus_GastroesophagealJunction", "Brain_Amygdala",
 )
-# ---------------------------------------------------------------------------
-
+# Coding consequences, the most severe first.
+CODING_SEVERITY = (
+    "transcript_ablation", "splice_acceptor_variant", "splice_donor_variant", "stop_gained", "frameshift_variant",
+    "stop_lost", "start_lost", "transcript_amplification", "inframe_insertion", "inframe_deletion",
+    "missense_variant", "protein_altering_variant", "splice_region_variant", "incomplete_terminal_codon_variant",
+    "start_retained_variant", "stop_retained_variant", "synonymous_variant", "coding_sequence_variant",
+)
 HIGH_VOLUME_MIN_SUBMISSIONS = 15000
 HIGH_VOLUME_SINCE = "2017-01-01"
 INTERVAL_BUFFER = 100_000
 MIN_GQ, MIN_DP, MIN_ALLELE_BALANCE = 20, 10, 0.25
+# ---------------------------------------------------------------------------
 
 COVARIATES = ("age", "sex") + tuple(f"pc{i}" for i in range(1, 11))
 
