@@ -98,7 +98,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(
         F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
         & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("class", F.when(fine, F.struct(
+    # Scaled by the largest component, so that no square leaves the range of a double.
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    rows = rows.withColumn("v", F.when(fine, F.get(F.transform(
+        F.array(largest), lambda m: F.transform("v", lambda x: x / m)), F.lit(0))))
+    rows = rows.withColumn("class", F.when(F.col("v").isNotNull(), F.struct(
         "label", F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")).alias("hash"))))
     classes = checkpointed(
         rows.where("class IS NOT NULL").groupBy("class").agg(
