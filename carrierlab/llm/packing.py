@@ -1,13 +1,13 @@
 """Packing by length: buckets with least padding, then batches within a budget.
 
 1. Each text is read once for its number of tokens; the counts are kept.
-2. Lengths are gathered in a global histogram of bounded size: lengths below
-   ``exact_below`` by themselves, longer ones in 64 classes for each doubling,
-   each class with its count, sum and largest length.
+2. Lengths are gathered in a global histogram, each by itself. On request those
+   from ``exact_below`` on are merged into 64 classes for each doubling.
 3. A dynamic programme over the histogram chooses the bucket boundaries (the
    largest length of a class) for which padding every text to its bucket's
-   boundary adds the fewest tokens: the optimum, if no length is merged. Its
-   steps grow with buckets x distinct lengths squared.
+   boundary adds the fewest tokens: the optimum, unless lengths were merged.
+   Starts of buckets move one way only, so its steps grow with buckets x
+   distinct lengths x their logarithm.
 4. Inside a bucket, texts are dealt to shards of bounded size by their id, and
    each shard fills batches of ``budget // boundary`` texts in order of id.
 """
@@ -23,7 +23,6 @@ from carrierlab.llm.tables import checkpointed
 
 TOKEN = "[^ \\t\\n\\x0B\\f\\r]+"
 BUCKETS, BUDGET, SHARD_ROWS = 8, 4096, 100_000
-EXACT_BELOW = 32_768
 
 
 def token_count(text: str) -> Column:
@@ -40,18 +39,27 @@ def length_class(n: str, exact_below: int = 128) -> Column:
 def best_boundaries(tops: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` boundaries out of ``tops`` (ascending) with least padding.
 
-    Among equal sums the last bucket starts as early as it can.
+    Among equal sums the last bucket starts as early as it can. The best start
+    of a last bucket never falls as its end grows, so each end is looked for
+    between those of its neighbours: n log n steps a bucket.
     """
     number, total = np.cumsum(counts), np.cumsum(totals)
     cost = tops * number - total
     choices = []
     for _ in range(1, min(buckets, len(tops))):
         new, choice = cost.copy(), np.full(len(tops), -1)
-        for j in range(1, len(tops)):
-            sums = cost[:j] + tops[j] * (number[j] - number[:j]) - (total[j] - total[:j])
-            k = int(np.argmin(sums))
-            if sums[k] < new[j]:
-                new[j], choice[j] = sums[k], k
+        open_ = [(1, len(tops) - 1, 0, len(tops) - 2)]
+        while open_:
+            low, high, first, last = open_.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            end = min(last, j - 1) + 1
+            sums = cost[first:end] + tops[j] * (number[j] - number[first:end]) - (total[j] - total[first:end])
+            k = first + int(np.argmin(sums))
+            if sums[k - first] < new[j]:
+                new[j], choice[j] = sums[k - first], k
+            open_ += [(low, j - 1, first, k), (j + 1, high, k, last)]
         choices.append(choice)
         cost = new
     j, out = len(tops) - 1, [int(tops[-1])]
@@ -63,7 +71,7 @@ def best_boundaries(tops: np.ndarray, counts: np.ndarray, totals: np.ndarray, bu
 
 
 def pack_by_length(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
-                   budget: int = BUDGET, shard_rows: int = SHARD_ROWS, exact_below: int = EXACT_BELOW) -> DataFrame:
+                   budget: int = BUDGET, shard_rows: int = SHARD_ROWS, exact_below: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, bucket, padded, shard, batch, slot.
 
     ``padded`` is the bucket's boundary; a batch is (bucket, shard, batch) and
@@ -75,9 +83,10 @@ def pack_by_length(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     counted = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                        token_count(text_col).alias("n_tokens")))
-    histogram = counted.groupBy(length_class("n_tokens", exact_below).alias("class")).agg(
+    kept = F.col("n_tokens") if exact_below is None else length_class("n_tokens", exact_below)
+    histogram = counted.groupBy(kept.alias("class")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("top"),
-    ).orderBy("class").collect()  # bounded by exact_below and the classes above it
+    ).orderBy("class").collect()  # a row for each length that occurs, or class
     bounds, sizes = [0], [0]
     if histogram:
         tops, counts, totals = (np.array([r[c] for r in histogram], dtype=np.int64) for c in ("top", "n", "total"))
@@ -105,15 +114,11 @@ ORACLE = f"""
 WITH RECURSIVE counted AS (
   SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_tokens
   FROM documents),
-classed AS (
-  SELECT *, CASE WHEN n_tokens < 128 THEN n_tokens
-    ELSE (n_tokens >> (CAST(floor(log2(n_tokens)) AS INTEGER) - 6)) << (CAST(floor(log2(n_tokens)) AS INTEGER) - 6)
-    END AS class FROM counted),
 grouped AS (
-  SELECT class, count(*) AS n, sum(n_tokens) AS total, max(n_tokens) AS top FROM classed GROUP BY class),
+  SELECT n_tokens AS top, count(*) AS n, sum(n_tokens) AS total FROM counted GROUP BY n_tokens),
 h AS (
-  SELECT row_number() OVER (ORDER BY class) AS i, top, CAST(sum(n) OVER (ORDER BY class) AS BIGINT) AS number,
-    CAST(sum(total) OVER (ORDER BY class) AS BIGINT) AS total FROM grouped),
+  SELECT row_number() OVER (ORDER BY top) AS i, top, CAST(sum(n) OVER (ORDER BY top) AS BIGINT) AS number,
+    CAST(sum(total) OVER (ORDER BY top) AS BIGINT) AS total FROM grouped),
 steps AS (
   SELECT 1 AS k, i, top * number - total AS cost, CAST(top AS VARCHAR) AS path FROM h
   UNION ALL
