@@ -151,7 +151,8 @@ def classify(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tx.slices(batches, "text"):
             owner, slot = features(data, offsets)
-            score = np.bincount(owner, weights=model.weights[slot.astype(np.int64)], minlength=part.num_rows)
+            # Without any token bincount gives whole numbers.
+            score = np.bincount(owner, weights=model.weights[slot.astype(np.int64)], minlength=part.num_rows).astype(float)
             above = 1 - model.cumulative(score)
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array(score.round(6)), pa.array(above.sum(axis=1).round(6)),
