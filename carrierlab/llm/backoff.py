@@ -187,7 +187,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
             m = len(bounds) - 1
             ids += block.column("ids")[i].as_py()
-            sums.append(np.bincount(owner, weights=value, minlength=m))
+            sums.append(np.bincount(owner, weights=value, minlength=m).astype(float))
             words.append(np.diff(bounds))
             longest.append(np.bincount(owner[used == order], minlength=m))
             shortest.append(np.bincount(owner[used == 1], minlength=m))

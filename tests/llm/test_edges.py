@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline as pipeline
-from carrierlab.llm import chat, language, quality
+from carrierlab.llm import backoff, chat, language, quality
 from tests.llm.test_operators import brute_components, corpus, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,3 +67,9 @@ def test_stages_on_planted_copies(spark, labelled):
     left = {i: t for i, t in want.items() if words(t) or i not in had}
     assert {i: x[0] for i, x in got.items() if x[0] is not None} == left
     assert all(n == len(t) for t, n in got.values() if t is not None)
+
+
+def test_backoff_scores_without_any_word(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (None, " \n")], "doc_id long, text string")
+    got = backoff.backoff_scores(docs).collect()
+    assert len(got) == 3 and {(r.n_words, r.log_score) for r in got} == {(0, 0.0)}
