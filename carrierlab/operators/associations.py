@@ -139,7 +139,7 @@ def format_penetrance(
         joined, [*base, *(["gene"] if by_gene else [])], "cohort", cohorts,
         [*values, "beta_text", "p_text", "or_text"], True,
     )
-    return out.withColumn("restricted", F.when(F.col("lipidmeds"), "Yes").otherwise("")).orderBy("setting")
+    return out.withColumn("restricted", F.when(F.col("lipidmeds"), "Yes").otherwise(""))
 
 
 def format_means(

@@ -478,18 +478,57 @@ def assoc_joined_to_penetrance(spark, d):
     return P.spread(joined, ["condition", "lipidmeds", "gene"], "cohort", list(_SEGMENTS), ["total", "beta"])
 
 
-@query()
+def _three_digits(x: str) -> str:
+    """SQL: three significant digits of a number that is not negative, as C's %.3g, halves rounded up."""
+    strip = "regexp_replace(regexp_replace({}, '0+$', ''), '\\.$', '')"
+    sci = strip.format("CAST(CAST(q[2] / 100 AS DECIMAL(18, 2)) AS VARCHAR)")
+    fixed = strip.format("CAST(CAST(q[2] * pow(10, q[1] - 2) AS DECIMAL(18, 6)) AS VARCHAR)")
+    rounded_ = "round(v / pow(10, floor(log10(v)) - 2))"
+    parts = (f"CASE WHEN {rounded_} >= 1000 THEN [floor(log10(v)) + 1, 100] ELSE [floor(log10(v)), {rounded_}] END")
+    exponent = "(CASE WHEN q[1] < 0 THEN 'e-' ELSE 'e+' END || lpad(CAST(CAST(abs(q[1]) AS INTEGER) AS VARCHAR), 2, '0'))"
+    text = f"CASE WHEN q[1] < -4 OR q[1] >= 3 THEN {sci} || {exponent} ELSE {fixed} END"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN '0' ELSE list_transform(list_transform([{x}], "
+            f"lambda v: {parts}), lambda q: {text})[1] END")
+
+
+_RAW_MEANS = _means_sql().replace(
+    "round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd", "avg(v) AS mean, stddev_samp(v) AS sd").replace(
+    "round(stddev_samp(v) / sqrt(count(v)), 4) AS se", "stddev_samp(v) / sqrt(count(v)) AS se")
+
+
+def _arms_wide(source: str, cells: dict[str, str]) -> str:
+    picks = ", ".join(f"max({expr}) FILTER (WHERE carrier = '{arm}' AND cohort = '{c}') AS \"{name}_{arm}_{c}\""
+                      for c in _SEGMENTS for arm in ("Carrier", "Non Carrier") for name, expr in cells.items())
+    return f"SELECT condition, {picks} FROM {source} GROUP BY condition"
+
+
+@query(f"""WITH RECURSIVE pen AS ({_penetrance_sql(_LABEL)}), {exact_intervals("pen")},
+    m AS ({_RAW_MEANS}), {t_multipliers("m")},
+    pen_text AS (SELECT pen.*, {_three_digits("count / total::DOUBLE")} || ' (' || {_three_digits("low")} || '-' || {_three_digits("high")} || ')' AS text
+      FROM pen JOIN exact_ci ON k = count AND n = total),
+    mean_text AS (SELECT m.*, CASE WHEN t IS NOT NULL THEN printf('%.2f', mean) || '   (' || printf('%.2f', mean - t * se) || '-'
+        || printf('%.2f', mean + t * se) || ')' END AS text FROM m LEFT JOIN t_value ON v = n - 1),
+    results AS (SELECT trait, cohort, {_three_digits("beta")} || ' (' || {_three_digits("se")} || ')' AS text FROM (
+      SELECT c.trait, p.cohort, avg(p.bmi) / 100 AS beta, count(p.bmi) / 10000.0::DOUBLE AS se
+      FROM carriers c JOIN pheno p ON p.subject = c.subject WHERE p.ancestry = 'AFRICA' GROUP BY c.trait, p.cohort)),
+    wide AS ({_arms_wide("pen_text", {"count": "count", "total": "total", "prop": "text"})}),
+    wide_means AS ({_arms_wide("mean_text", {"mean_ci": "text"})}),
+    settings AS (SELECT DISTINCT condition, no_meds FROM outcome_settings),
+    betas AS (SELECT s.condition, {", ".join(f"max(text) FILTER (WHERE cohort = '{c}') AS \"beta_text_{c}\"" for c in _SEGMENTS)}
+      FROM mean_settings s JOIN results r ON r.trait = s.trait WHERE s.association_trait = 'bmi' AND NOT s.no_meds GROUP BY s.condition)
+    SELECT wide.*, CASE WHEN no_meds THEN 'Yes' ELSE '' END AS restricted, wide_means.* EXCLUDE (condition), betas.* EXCLUDE (condition)
+    FROM wide JOIN settings USING (condition) LEFT JOIN wide_means ON wide_means.condition = wide.condition
+    LEFT JOIN betas ON betas.condition = wide.condition""")
 def penetrance_published_layout(spark, d):
-    """Penetrance and means with association texts, cohorts side by side."""
+    """Penetrance and means with association texts, arms and cohorts side by side."""
     pheno, carriers, genes = _study(spark, d)
     results = _results(spark, d, by_gene=False).where(F.col("additional_covariates") == "covart2d")
     table = A.format_penetrance(P.penetrance_table(pheno, carriers, genes), results, _SEGMENTS)
-    means = A.format_means(P.carrier_means(pheno, carriers, genes), results, _SEGMENTS).drop(
-        "setting", "trait", "phenotype", "lipidmeds")
+    means = A.format_means(P.carrier_means(pheno, carriers, genes), results, _SEGMENTS)
+    arms = [f"{arm}_{c}" for c in _SEGMENTS for arm in ("Carrier", "Non Carrier")]
     return table.alias("b").join(means.alias("m"), "condition", "left").select(
-        "condition", "restricted", F.col("b.`count_Carrier_BUILDING`").alias("count_Carrier_BUILDING"),
-        F.col("b.`prop_Carrier_BUILDING`").alias("prop_Carrier_BUILDING"),
-        F.col("m.`mean_ci_Carrier_BUILDING`").alias("mean_ci_Carrier_BUILDING"))
+        "condition", "b.restricted", *[F.col(f"b.`{x}_{a}`") for x in ("count", "total", "prop") for a in arms],
+        *[F.col(f"m.`mean_ci_{a}`") for a in arms], *[F.col(f"m.`beta_text_{c}`") for c in _SEGMENTS])
 
 
 # --- cohorts ---------------------------------------------------------------
