@@ -16,9 +16,10 @@ Jaccard similarity of the threshold or more.
    whole sets and positions. A semi-join verifies Jaccard against earlier sets.
 4. Removed lines are taken out of the texts.
 
-A task that has sent a set does not send it again, so copies cost little. A
-token or leader with more than a fixed number of sets is cut into parts: a set
-stays in one part, and the sets it is held against go to all of them.
+A task that has sent a set does not send it again, so copies cost little. The
+sets of a token with more than a fixed number of them pass on uncompared; such a
+token, or leader, is cut into parts: a set stays in one part, and the sets it is
+held against go to all of them.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from carrierlab.llm.tables import checkpointed
 NUMERATOR, DENOMINATOR = 85, 100
 SEEN, SLOTS = 1 << 20, 1 << 23
 PART_PREFIXES, PART_SETS = 20_000, 2_000
+PREFIX = ("token", "key", "size", "at", "s0", "s1")
+PREFIX_TYPES = "token long, key long, size int, at int, s0 long, s1 long"
 
 
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,28 +122,13 @@ def _prefix_rows(batches, classes: np.ndarray, numerator: int, denominator: int)
         yield tokens[keep], keys[own], size[own], at[keep], bits[0][own], bits[1][own]
 
 
-def _prefix_counts(classes: np.ndarray, numerator: int, denominator: int):
+def _prefixes(classes: np.ndarray, numerator: int, denominator: int):
+    """Prefix rows: each token of a set's prefix with the set's key, size, place and parity bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(tx.BUCKETS, dtype=np.int64)
-        for tokens, *_ in _prefix_rows(batches, classes, numerator, denominator):
-            counts += np.bincount(tx.bucket(tokens), minlength=tx.BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "seen"])
-
-    return run
-
-
-def _prefixes(classes: np.ndarray, parts: np.ndarray, hot: bool, numerator: int, denominator: int):
-    """Prefix rows of the tokens that are cut into parts, or of the others."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, *columns in _prefix_rows(batches, classes, numerator, denominator):
-            part = parts[tx.bucket(tokens)]
-            use = (part > 1) == hot
-            key, size, at, s0, s1 = (c[use] for c in columns)
+        for tokens, key, size, at, s0, s1 in _prefix_rows(batches, classes, numerator, denominator):
             yield pa.RecordBatch.from_arrays([
-                pa.array(tokens[use].view(np.int64)), pa.array(key), pa.array(size.astype(np.int32)),
-                pa.array(at.astype(np.int32)), pa.array(s0), pa.array(s1), pa.array(part[use].astype(np.int32))],
-                names=["token", "key", "size", "at", "s0", "s1", "parts"])
+                pa.array(tokens.view(np.int64)), pa.array(key), pa.array(size.astype(np.int32)),
+                pa.array(at.astype(np.int32)), pa.array(s0), pa.array(s1)], names=list(PREFIX))
 
     return run
 
@@ -153,16 +141,19 @@ def _near(size, at, s0, s1, key, a, b, numerator: int, denominator: int) -> np.n
     return (key[a] != key[b]) & (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) & (odd <= both - 2 * need)
 
 
-def _runs(numerator: int, denominator: int):
-    """(leader, key) of the sets that have a near one at their token; rows come sorted by token and size.
+def _runs(numerator: int, denominator: int, most: int):
+    """Rows (leader, key) of the sets that have a near one at their token; rows come sorted by token and size.
 
     A token's rows may come in several batches; they are held until the next
-    token begins. The leader is the least such key of the token.
+    token begins. The leader is the least such key of the token. Rows of a
+    token with more than ``most`` are handed on as they are, without a leader.
     """
-    names = ["token", "key", "size", "at", "s0", "s1"]
+    def handed_on(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(rows[0]), pa.int64()), *(pa.array(r) for r in rows)], names=["leader", *PREFIX])
 
-    def matched(columns: list[np.ndarray]) -> pa.RecordBatch:
-        token, key, size, at, s0, s1 = columns
+    def matched(rows: list[np.ndarray]) -> pa.RecordBatch:
+        token, key, size, at, s0, s1 = rows
         size, at = size.astype(np.int64), at.astype(np.int64)
         hit = np.zeros(len(token), dtype=bool)
         i, step = np.arange(len(token) - 1), 1
@@ -180,22 +171,45 @@ def _runs(numerator: int, denominator: int):
         token, key = token[order], key[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
         leader = np.repeat(key[first], np.diff(np.append(first, len(token))))
-        return pa.RecordBatch.from_arrays([pa.array(leader), pa.array(key)], names=["leader", "key"])
+        none = [pa.nulls(len(key), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(leader), pa.nulls(len(key), pa.int64()), pa.array(key), *none], names=["leader", *PREFIX])
+
+    def finished(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Results of whole runs."""
+        token = rows[0]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        large = np.repeat(size > most, size)
+        if large.any():
+            yield handed_on([r[large] for r in rows])
+        if not large.all():
+            yield matched([r[~large] for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, passing = None, None  # rows of the last token; a token whose rows are being handed on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy() for c in names]
+            rows = [batch.column(c).to_numpy() for c in PREFIX]
+            if passing is not None:
+                more = int(np.searchsorted(rows[0], passing, side="right"))
+                if more:
+                    yield handed_on([r[:more] for r in rows])
+                if more == len(rows[0]):
+                    continue
+                rows, passing = [r[more:] for r in rows], None
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
             start = int(np.searchsorted(rows[0], rows[0][-1]))
             if start:
-                yield matched([r[:start] for r in rows])
+                yield from finished([r[:start] for r in rows])
             held = [r[start:] for r in rows]
+            if len(held[0]) > most:
+                yield handed_on(held)
+                held, passing = None, held[0][0]
         if held is not None:
-            yield matched(held)
+            yield from finished(held)
 
     return run
 
@@ -267,26 +281,23 @@ def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int
     classes = tx.rarity_class(_slot_counts(listed.where("slot IS NOT NULL")))
     lines = listed.where("slot IS NULL AND doc_id IS NOT NULL").select("doc_id", "key", "other", "line")
 
-    parts = np.maximum(-(-_slot_counts(docs.mapInArrow(
-        _prefix_counts(classes, numerator, denominator), "slot int, seen long")) // PART_PREFIXES), 1)
-
-    def prefixes(hot: bool) -> DataFrame:
-        return docs.mapInArrow(_prefixes(classes, parts, hot, numerator, denominator),
-                               "token long, key long, size int, at int, s0 long, s1 long, parts int")
-
     need = _need(F.col("size"), F.col("o_size"), numerator, denominator)
     near_size = ((F.col("size") * denominator >= F.col("o_size") * numerator)
                  & (F.col("o_size") * denominator >= F.col("size") * numerator))
-    usual = prefixes(False).repartition("token").sortWithinPartitions("token", "size").mapInArrow(
-        _runs(numerator, denominator), "leader long, key long")
-    hot = parts.max() > 1
-    matched = checkpointed(_met(None, checkpointed(prefixes(True)), "token", (
-        (F.col("key") != F.col("o_key")) & near_size
-        & (F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) >= need)
-        & (F.bit_count(F.col("s0").bitwiseXOR(F.col("o_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1")))
-           <= F.col("size") + F.col("o_size") - 2 * need)), ["token", "key"])) if hot else None
-    led = usual if matched is None else usual.unionByName(matched.join(
-        matched.groupBy("token").agg(F.min("key").alias("leader")), "token").select("leader", "key"))
+    prefixes = docs.mapInArrow(_prefixes(classes, numerator, denominator), PREFIX_TYPES)
+    met = checkpointed(prefixes.repartition("token").sortWithinPartitions("token", "size").mapInArrow(
+        _runs(numerator, denominator, PART_PREFIXES), f"leader long, {PREFIX_TYPES}"))
+    led = met.where("leader IS NOT NULL").select("leader", "key")
+    hot = met.where("leader IS NULL").drop("leader")
+    frequent = hot.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / PART_PREFIXES).cast("int").alias("parts"))
+    if not frequent.isEmpty():
+        matched = checkpointed(_met(None, hot.join(frequent, "token"), "token", (
+            (F.col("key") != F.col("o_key")) & near_size
+            & (F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) >= need)
+            & (F.bit_count(F.col("s0").bitwiseXOR(F.col("o_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1")))
+               <= F.col("size") + F.col("o_size") - 2 * need)), ["token", "key"]))
+        led = led.unionByName(matched.join(
+            matched.groupBy("token").agg(F.min("key").alias("leader")), "token").select("leader", "key"))
     groups = checkpointed(led.distinct())
     keys = groups.select("key").distinct()
     sets = docs.mapInArrow(_whole(_key_bits(keys)), "key long, other long, tokens array<long>").join(
