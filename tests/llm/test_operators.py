@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import public_tokenizers
 
-from carrierlab.llm import backoff, byte_bpe, chat, embeddings, fingerprints, language, line_dedup, packing, quality
+from carrierlab.llm import (
+    backoff, byte_bpe, chat, embeddings, fingerprints, language, line_dedup, ngram_join, packing, quality)
 from carrierlab.llm.components import connected_components
 from carrierlab.llm.ngram_join import ngram_jaccard_join
 
@@ -73,6 +74,29 @@ def test_ngram_join_is_exact(docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_ngram_join_in_parts(docs, monkeypatch):
+    """Small parts and blocks give the same rows, links counted."""
+    whole = sorted((r.doc_id or -1, r.n_shingles, r.n_links, r.component_id) for r in ngram_jaccard_join(docs).collect())
+    for name, value in (("PART_PREFIXES", 4), ("BLOCK_SETS", 2), ("HELD_PAIRS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert whole == sorted(
+        (r.doc_id or -1, r.n_shingles, r.n_links, r.component_id) for r in ngram_jaccard_join(docs).collect())
+
+
+def test_ngram_join_verifies_near_sets_only(spark, monkeypatch):
+    """Long texts that each share much, but too little, with the next one do not come together as whole sets."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    parts = [some(1800) for _ in range(21)]
+    rows = [(k, f"{parts[k]} {some(300)} {parts[k + 1]}") for k in range(20)] + [(30, parts[0]), (31, parts[0] + " end")]
+    sent, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda docs, near, *rest: sent.append(
+        sorted(r.rep for r in near.select("rep").distinct().collect())) or verified(docs, near, *rest))
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sent == [[30, 31]]
+    assert {r.doc_id: r.component_id for r in got} == {i: 30 if i == 31 else i for i, _ in rows}
+
+
 def test_line_dedup_is_exact(docs):
     earlier, want = [], {}
     for i, t in sorted((x for x in dict(corpus()).items() if x[0] is not None and x[1] is not None)):
