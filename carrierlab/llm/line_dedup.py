@@ -10,10 +10,11 @@ Jaccard similarity of the threshold or more.
    There, sorted by size, sets are held against those behind them as far as the
    length filter reaches. A set stays a candidate if some other set passes the
    positional filter and a filter on parity bits (a lower bound of the Hamming
-   distance) as well. No pair is listed. Candidates go by half of their key,
-   which can only add some.
-3. Candidates that share a token meet under the least key of the token, with
-   whole sets and positions. A semi-join verifies Jaccard against earlier sets.
+   distance) as well. No pair is listed. Candidates go by half of their key, and
+   tokens by 32 bits, which can only add some.
+3. Candidates' words are read once more where the candidate occurs first; those
+   that share a token meet under the least key of the token, with whole sets and
+   positions. A semi-join verifies Jaccard against earlier sets.
 4. Removed lines are taken out of the texts.
 
 A task that has sent a set does not send it again, so copies cost little. The
@@ -32,13 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carrierlab.llm import text as tx
+from carrierlab.llm.runs import runs
 from carrierlab.llm.tables import checkpointed
 
 NUMERATOR, DENOMINATOR = 85, 100
-SEEN, SLOTS = 1 << 20, 1 << 23
+SEEN, SLOTS, SPREAD = 1 << 20, 1 << 23, 2654435761
 PART_PREFIXES, PART_SETS = 20_000, 2_000
-PREFIX = ("token", "key", "size", "at", "s0", "s1")
-PREFIX_TYPES = "token long, key long, size int, at int, s0 long, s1 long"
+PREFIX = ("token", "key", "size", "at", "odd")
+PREFIX_TYPES = "token int, key long, size int, at int, odd long"
 
 
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,23 +66,20 @@ def _second(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, key, other, line) of each text's distinct sets, and (slot, seen) of the word counts."""
+    """Rows (doc_id, key, other, line) of each text's sets; without a line, (key, other) are slot and count of words."""
     counts = np.zeros(tx.BUCKETS, dtype=np.int64)
-    names = ["doc_id", "key", "other", "line", "slot", "seen"]
+    names = ["doc_id", "key", "other", "line"]
     for rows, data, offsets in tx.slices(batches, "text"):
         owner, tokens, first, n, size, keys = _sets(data, offsets)
         counts += np.bincount(tx.bucket(tokens), minlength=tx.BUCKETS)
         used = np.flatnonzero(size)
         doc = np.searchsorted(first, used, side="right") - 1
-        m = len(used)
         yield pa.RecordBatch.from_arrays([
             rows.column("doc_id").take(pa.array(doc)), pa.array(keys[used]), pa.array(_second(owner, tokens, n)[used]),
-            pa.array((used - first[doc]).astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
-            names=names)
+            pa.array((used - first[doc]).astype(np.int32))], names=names)
     at = np.flatnonzero(counts)
-    none = pa.nulls(len(at), pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [none, none, none, pa.nulls(len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=names)
+        [pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(counts[at]), pa.nulls(len(at), pa.int32())], names=names)
 
 
 class _Once:
@@ -114,46 +113,45 @@ def _prefix_rows(batches, classes: np.ndarray, numerator: int, denominator: int)
         new[1:] = (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1])
         owner, tokens, hashes = owner[new], tokens[new], hashes[new]
         size, keys = np.bincount(owner, minlength=n), tx.set_keys(owner, hashes, n, 1)
-        bits = tx.parity(owner, hashes, n, 2)
+        odd = tx.parity(owner, hashes, n, 1)[0]
         at = np.arange(len(owner)) - np.searchsorted(owner, np.arange(n))[owner]
         prefix = size - (numerator * size + denominator - 1) // denominator + 1
         keep = once.fresh(keys, size)[owner] & (at < prefix[owner])
         own = owner[keep]
-        yield tokens[keep], keys[own], size[own], at[keep], bits[0][own], bits[1][own]
+        yield (tx.mix(tokens[keep]) >> np.uint64(32)).astype(np.uint32).view(np.int32), keys[own], size[own], at[keep], odd[own]
 
 
 def _prefixes(classes: np.ndarray, numerator: int, denominator: int):
     """Prefix rows: each token of a set's prefix with the set's key, size, place and parity bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, key, size, at, s0, s1 in _prefix_rows(batches, classes, numerator, denominator):
+        for tokens, key, size, at, odd in _prefix_rows(batches, classes, numerator, denominator):
             yield pa.RecordBatch.from_arrays([
-                pa.array(tokens.view(np.int64)), pa.array(key), pa.array(size.astype(np.int32)),
-                pa.array(at.astype(np.int32)), pa.array(s0), pa.array(s1)], names=list(PREFIX))
+                pa.array(tokens), pa.array(key), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32)),
+                pa.array(odd)], names=list(PREFIX))
 
     return run
 
 
-def _near(size, at, s0, s1, key, a, b, numerator: int, denominator: int) -> np.ndarray:
+def _near(size, at, odd, key, a, b, numerator: int, denominator: int) -> np.ndarray:
     """Which pairs (a, b) of prefix rows pass the positional filter and the filter on parity bits."""
     both = size[a] + size[b]
     need = (numerator * both + numerator + denominator - 1) // (numerator + denominator)
-    odd = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int64) + np.bitwise_count(s1[a] ^ s1[b])
-    return (key[a] != key[b]) & (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) & (odd <= both - 2 * need)
+    differ = np.bitwise_count((odd[a] ^ odd[b]).view(np.uint64)).astype(np.int64)
+    return (key[a] != key[b]) & (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) & (differ <= both - 2 * need)
 
 
 def _runs(numerator: int, denominator: int, most: int):
     """Rows (leader, key) of the sets that have a near one at their token; rows come sorted by token and size.
 
-    A token's rows may come in several batches; they are held until the next
-    token begins. The leader is the least such key of the token. Rows of a
-    token with more than ``most`` are handed on as they are, without a leader.
+    The leader is the least such key of the token. Rows of a token with more
+    than ``most`` are handed on as they are, without a leader.
     """
     def handed_on(rows: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.nulls(len(rows[0]), pa.int64()), *(pa.array(r) for r in rows)], names=["leader", *PREFIX])
 
     def matched(rows: list[np.ndarray]) -> pa.RecordBatch:
-        token, key, size, at, s0, s1 = rows
+        token, key, size, at, odd = rows
         size, at = size.astype(np.int64), at.astype(np.int64)
         hit = np.zeros(len(token), dtype=bool)
         i, step = np.arange(len(token) - 1), 1
@@ -162,7 +160,7 @@ def _runs(numerator: int, denominator: int, most: int):
             # Sorted by size: a row that is out of reach has only such rows behind it.
             reach = (token[j] == token[i]) & (size[i] * denominator >= size[j] * numerator)
             i, j = i[reach], j[reach]
-            near = _near(size, at, s0, s1, key, i, j, numerator, denominator)
+            near = _near(size, at, odd, key, i, j, numerator, denominator)
             hit[i[near]] = hit[j[near]] = True
             step += 1
             i = i[i + step < len(token)]
@@ -171,45 +169,13 @@ def _runs(numerator: int, denominator: int, most: int):
         token, key = token[order], key[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
         leader = np.repeat(key[first], np.diff(np.append(first, len(token))))
-        none = [pa.nulls(len(key), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+        none = [pa.nulls(len(key), t) for t in (pa.int32(), pa.int32(), pa.int64())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(leader), pa.nulls(len(key), pa.int64()), pa.array(key), *none], names=["leader", *PREFIX])
-
-    def finished(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Results of whole runs."""
-        token = rows[0]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(first, len(token)))
-        large = np.repeat(size > most, size)
-        if large.any():
-            yield handed_on([r[large] for r in rows])
-        if not large.all():
-            yield matched([r[~large] for r in rows])
+            [pa.array(leader), pa.nulls(len(key), pa.int32()), pa.array(key), *none], names=["leader", *PREFIX])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, passing = None, None  # rows of the last token; a token whose rows are being handed on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy() for c in PREFIX]
-            if passing is not None:
-                more = int(np.searchsorted(rows[0], passing, side="right"))
-                if more:
-                    yield handed_on([r[:more] for r in rows])
-                if more == len(rows[0]):
-                    continue
-                rows, passing = [r[more:] for r in rows], None
-            if held is not None:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
-            start = int(np.searchsorted(rows[0], rows[0][-1]))
-            if start:
-                yield from finished([r[:start] for r in rows])
-            held = [r[start:] for r in rows]
-            if len(held[0]) > most:
-                yield handed_on(held)
-                held, passing = None, held[0][0]
-        if held is not None:
-            yield from finished(held)
+        for rows, large in runs(batches, PREFIX, most):
+            yield handed_on(rows) if large else matched(rows)
 
     return run
 
@@ -242,27 +208,35 @@ def _met(usual: DataFrame | None, hot: DataFrame | None, group: str, condition:
 
 
 def _whole(slots: np.ndarray):
+    """Rows (owner, line, key, other, tokens) of the lines whose place may be wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = _Once()
-        for _, data, offsets in tx.slices(batches, "text"):
-            owner, tokens, _, n, size, keys = _sets(data, offsets)
-            slot = keys & (SLOTS - 1)
-            wanted = ((slots[slot >> 3] >> (slot & 7)) & 1).astype(np.int64) * size
-            take = once.fresh(keys, wanted)
-            keep = take[owner]
-            bounds = np.concatenate([[0], np.cumsum(size[take])]).astype(np.int32)
+        for rows, data, offsets in tx.slices(batches, "text"):
+            line, hashes, first = line_words(data, offsets)
+            n = int(first[-1])
+            doc = np.repeat(np.arange(rows.num_rows), np.diff(first))
+            number, ids = np.arange(n) - first[doc], rows.column("doc_id").to_numpy()[doc]
+            slot = ((ids & (SLOTS - 1)) + number * SPREAD) & (SLOTS - 1)
+            wanted = (slots[slot >> 3] >> (slot & 7)) & 1 == 1
+            # Only lines that may be wanted are sorted.
+            use = wanted[line]
+            owner, tokens = tx.distinct_sorted(line[use], hashes[use])
+            size = np.bincount(owner, minlength=n)
+            at = np.flatnonzero(size)
+            bounds = np.concatenate([[0], np.cumsum(size[at])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[take]), pa.array(_second(owner, tokens, n)[take]),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens[keep].view(np.int64)))],
-                names=["key", "other", "tokens"])
+                pa.array(ids[at]), pa.array(number[at].astype(np.int32)), pa.array(tx.set_keys(owner, tokens, n, 1)[at]),
+                pa.array(_second(owner, tokens, n)[at]),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens.view(np.int64)))],
+                names=["owner", "line", "key", "other", "tokens"])
 
     return run
 
 
-def _key_bits(keys: DataFrame) -> np.ndarray:
-    """A bit for each of 2^23 slots that holds a key: 1 MB, whatever the number of keys."""
-    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1)) + 1
-    rows = keys.select(F.bitmap_bucket_number(slot).alias("n"), F.bitmap_bit_position(slot).alias("p")).groupBy(
+def _place_bits(places: DataFrame) -> np.ndarray:
+    """A bit for each of 2^23 slots that holds an (owner, line): 1 MB, whatever their number."""
+    slot = (F.col("owner").bitwiseAND(F.lit(SLOTS - 1)) + F.col("line").cast("long") * SPREAD).bitwiseAND(
+        F.lit(SLOTS - 1)) + 1
+    rows = places.select(F.bitmap_bucket_number(slot).alias("n"), F.bitmap_bit_position(slot).alias("p")).groupBy(
         "n").agg(F.bitmap_construct_agg("p").alias("bits")).toPandas()
     out = np.zeros(SLOTS // 8, dtype=np.uint8)
     for number, bits in zip(rows["n"], rows["bits"]):
@@ -277,9 +251,9 @@ def _need(a: Column, b: Column, numerator: int, denominator: int) -> Column:
 
 def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """(doc_id, line) of the lines to remove; ``docs`` has doc_id and text."""
-    listed = checkpointed(docs.mapInArrow(_listing, "doc_id long, key long, other long, line int, slot int, seen long"))
-    classes = tx.rarity_class(_slot_counts(listed.where("slot IS NOT NULL")))
-    lines = listed.where("slot IS NULL AND doc_id IS NOT NULL").select("doc_id", "key", "other", "line")
+    listed = checkpointed(docs.mapInArrow(_listing, "doc_id long, key long, other long, line int"))
+    classes = tx.rarity_class(_slot_counts(listed.where("line IS NULL").selectExpr("key AS slot", "other AS seen")))
+    lines = listed.where("line IS NOT NULL")
 
     need = _need(F.col("size"), F.col("o_size"), numerator, denominator)
     near_size = ((F.col("size") * denominator >= F.col("o_size") * numerator)
@@ -294,18 +268,18 @@ def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int
         matched = checkpointed(_met(None, hot.join(frequent, "token"), "token", (
             (F.col("key") != F.col("o_key")) & near_size
             & (F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) >= need)
-            & (F.bit_count(F.col("s0").bitwiseXOR(F.col("o_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("o_s1")))
-               <= F.col("size") + F.col("o_size") - 2 * need)), ["token", "key"]))
+            & (F.bit_count(F.col("odd").bitwiseXOR(F.col("o_odd"))) <= F.col("size") + F.col("o_size") - 2 * need)), ["token", "key"]))
         led = led.unionByName(matched.join(
             matched.groupBy("token").agg(F.min("key").alias("leader")), "token").select("leader", "key"))
     groups = checkpointed(led.distinct())
     keys = groups.select("key").distinct()
-    sets = docs.mapInArrow(_whole(_key_bits(keys)), "key long, other long, tokens array<long>").join(
-        keys, "key", "left_semi").dropDuplicates(["key", "other"])
     # Where a key occurs first: aggregated before it meets anything, so a frequent line is no hot key.
     owned = lines.groupBy("key", "other").agg(F.min(F.struct("doc_id", "line")).alias("x")).select(
         "key", "other", F.col("x.doc_id").alias("owner"), F.col("x.line").alias("line"))
-    placed = checkpointed(sets.join(owned, ["key", "other"]))
+    wanted = checkpointed(owned.join(keys, "key"))
+    placed = checkpointed(docs.mapInArrow(
+        _whole(_place_bits(wanted)), "owner long, line int, key long, other long, tokens array<long>").join(
+        wanted, ["owner", "line", "key", "other"]))
     large = checkpointed(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / PART_SETS).cast("int").alias("parts")).where(
         "parts > 1"))
 

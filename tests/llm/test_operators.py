@@ -120,6 +120,17 @@ def test_line_dedup_is_exact(docs):
     assert {r.size for r in got} == {7}
 
 
+def test_line_dedup_misses_no_near_line(spark):
+    """Whatever parity bits a pair differs in."""
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        w = [str(rng.randrange(10**9)) for _ in range(20)]
+        pairs.append(" ".join(w) + "\n" + " ".join(w[:-1] + ["new"]))
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got if r.n_removed != 1 or r.text != pairs[r.doc_id].split("\n")[0]] == []
+
+
 def test_line_dedup_in_parts(spark, docs, monkeypatch):
     rng = random.Random(8)
     crowd = [" ".join(["shared", *rng.sample(VOCABULARY, 8)]) for _ in range(80)]
