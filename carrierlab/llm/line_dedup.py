@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,18 +40,25 @@ from carrierlab.llm.tables import checkpointed
 NUMERATOR, DENOMINATOR = 85, 100
 SEEN, SLOTS, SPREAD = 1 << 20, 1 << 23, 2654435761
 PART_PREFIXES, PART_SETS = 20_000, 2_000
+WIDE = (1 << 16) - 1  # sets of so many words or more pass the filters on size and place
 PREFIX = ("token", "key", "size", "at", "odd")
 PREFIX_TYPES = "token int, key long, size int, at int, odd long"
+LISTING = "doc_id long, keys array<long>, others array<long>, lines array<int>, counts array<int>"
 
 
-def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line of each word, hash of each word, and first line of each text (and the end)."""
+def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each line begins, and first line of each text (and the end)."""
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
     first = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)
+    return starts, np.append(first, len(starts))
+
+
+def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line of each word, hash of each word, and first line of each text (and the end)."""
+    starts, first = line_starts(data, offsets)
     begin, end = tx.word_spans(data, offsets)
-    return (np.searchsorted(starts, begin, side="right") - 1, tx.span_hashes(tx.LOWER[data], begin, end),
-            np.append(first, len(starts)))
+    return np.searchsorted(starts, begin, side="right") - 1, tx.span_hashes(tx.LOWER[data], begin, end), first
 
 
 def _sets(data, offsets):
@@ -66,20 +74,24 @@ def _second(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, key, other, line) of each text's sets; without a line, (key, other) are slot and count of words."""
+    """A row for each text, with the keys and lines of its sets; the last row of a task has its counts of words by slot."""
     counts = np.zeros(tx.BUCKETS, dtype=np.int64)
-    names = ["doc_id", "key", "other", "line"]
+    names = ["doc_id", "keys", "others", "lines", "counts"]
     for rows, data, offsets in tx.slices(batches, "text"):
         owner, tokens, first, n, size, keys = _sets(data, offsets)
         counts += np.bincount(tx.bucket(tokens), minlength=tx.BUCKETS)
         used = np.flatnonzero(size)
-        doc = np.searchsorted(first, used, side="right") - 1
+        bounds = pa.array(np.searchsorted(used, first).astype(np.int32))
+        line = used - first[np.searchsorted(first, used, side="right") - 1]
         yield pa.RecordBatch.from_arrays([
-            rows.column("doc_id").take(pa.array(doc)), pa.array(keys[used]), pa.array(_second(owner, tokens, n)[used]),
-            pa.array((used - first[doc]).astype(np.int32))], names=names)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(counts[at]), pa.nulls(len(at), pa.int32())], names=names)
+            rows.column("doc_id"), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (
+                keys[used], _second(owner, tokens, n)[used], line.astype(np.int32))),
+            pa.nulls(rows.num_rows, pa.list_(pa.int32()))], names=names)
+    # Only the order of tokens goes by the counts, so a count may stop at the largest int.
+    counts = pa.array(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([
+        pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32())),
+        pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), counts)], names=names)
 
 
 class _Once:
@@ -122,22 +134,31 @@ def _prefix_rows(batches, classes: np.ndarray, numerator: int, denominator: int)
 
 
 def _prefixes(classes: np.ndarray, numerator: int, denominator: int):
-    """Prefix rows: each token of a set's prefix with the set's key, size, place and parity bits."""
+    """Prefix rows: each token of a set's prefix, with the set's size and its place in one number, the key and parity bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, key, size, at, odd in _prefix_rows(batches, classes, numerator, denominator):
             yield pa.RecordBatch.from_arrays([
-                pa.array(tokens), pa.array(key), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32)),
-                pa.array(odd)], names=list(PREFIX))
+                pa.array((tokens.astype(np.int64) << 32) | (np.minimum(size, WIDE) << 16) | np.minimum(at, WIDE)),
+                pa.array(key), pa.array(odd)], names=["sized", "key", "odd"])
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sized = batch.column("sized").to_numpy()
+        token, size, at = (x.astype(np.int32) for x in (sized >> 32, (sized >> 16) & WIDE, sized & WIDE))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(token), batch.column("key"), pa.array(size), pa.array(at), batch.column("odd")], names=list(PREFIX))
+
+
 def _near(size, at, odd, key, a, b, numerator: int, denominator: int) -> np.ndarray:
     """Which pairs (a, b) of prefix rows pass the positional filter and the filter on parity bits."""
     both = size[a] + size[b]
     need = (numerator * both + numerator + denominator - 1) // (numerator + denominator)
     differ = np.bitwise_count((odd[a] ^ odd[b]).view(np.uint64)).astype(np.int64)
-    return (key[a] != key[b]) & (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) & (differ <= both - 2 * need)
+    near = (np.minimum(size[a] - at[a], size[b] - at[b]) >= need) & (differ <= both - 2 * need)
+    return (key[a] != key[b]) & (near | (np.maximum(size[a], size[b]) >= WIDE))
 
 
 def _runs(numerator: int, denominator: int, most: int):
@@ -174,7 +195,7 @@ def _runs(numerator: int, denominator: int, most: int):
             [pa.array(leader), pa.nulls(len(key), pa.int32()), pa.array(key), *none], names=["leader", *PREFIX])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, large in runs(batches, PREFIX, most):
+        for rows, large in runs(_unpacked(batches), PREFIX, most):
             yield handed_on(rows) if large else matched(rows)
 
     return run
@@ -207,36 +228,42 @@ def _met(usual: DataFrame | None, hot: DataFrame | None, group: str, condition:
     return out
 
 
+def _set(slots: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (slots[slot >> 3] >> (slot & 7)) & 1 == 1
+
+
 def _whole(slots: np.ndarray):
-    """Rows (owner, line, key, other, tokens) of the lines whose place may be wanted."""
+    """Rows (owner, line, key, other, tokens) of the lines whose place may be wanted; no other line's words are read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in tx.slices(batches, "text"):
-            line, hashes, first = line_words(data, offsets)
-            n = int(first[-1])
+            starts, first = line_starts(data, offsets)
             doc = np.repeat(np.arange(rows.num_rows), np.diff(first))
-            number, ids = np.arange(n) - first[doc], rows.column("doc_id").to_numpy()[doc]
-            slot = ((ids & (SLOTS - 1)) + number * SPREAD) & (SLOTS - 1)
-            wanted = (slots[slot >> 3] >> (slot & 7)) & 1 == 1
-            # Only lines that may be wanted are sorted.
-            use = wanted[line]
-            owner, tokens = tx.distinct_sorted(line[use], hashes[use])
+            number, ids = np.arange(len(starts)) - first[doc], rows.column("doc_id").to_numpy()[doc]
+            use = np.flatnonzero(_set(slots, ((ids & (SLOTS - 1)) + number * SPREAD) & (SLOTS - 1)))
+            lines = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
+                None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).take(pa.array(use))
+            bounds, text = (np.frombuffer(x, dtype=t) if x is not None and x.size else np.zeros(1, dtype=t)[:m] for x, t, m in zip(
+                lines.buffers()[1:], (np.int64, np.uint8), (1, 0)))
+            begin, end = tx.word_spans(text, bounds)
+            n = len(use)
+            owner, tokens = tx.distinct_sorted(
+                np.searchsorted(bounds[:n], begin, side="right") - 1, tx.span_hashes(tx.LOWER[text], begin, end))
             size = np.bincount(owner, minlength=n)
             at = np.flatnonzero(size)
-            bounds = np.concatenate([[0], np.cumsum(size[at])]).astype(np.int32)
+            sizes = np.concatenate([[0], np.cumsum(size[at])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[at]), pa.array(number[at].astype(np.int32)), pa.array(tx.set_keys(owner, tokens, n, 1)[at]),
-                pa.array(_second(owner, tokens, n)[at]),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens.view(np.int64)))],
+                pa.array(ids[use][at]), pa.array(number[use][at].astype(np.int32)),
+                pa.array(tx.set_keys(owner, tokens, n, 1)[at]), pa.array(_second(owner, tokens, n)[at]),
+                pa.ListArray.from_arrays(pa.array(sizes), pa.array(tokens.view(np.int64)))],
                 names=["owner", "line", "key", "other", "tokens"])
 
     return run
 
 
-def _place_bits(places: DataFrame) -> np.ndarray:
-    """A bit for each of 2^23 slots that holds an (owner, line): 1 MB, whatever their number."""
-    slot = (F.col("owner").bitwiseAND(F.lit(SLOTS - 1)) + F.col("line").cast("long") * SPREAD).bitwiseAND(
-        F.lit(SLOTS - 1)) + 1
-    rows = places.select(F.bitmap_bucket_number(slot).alias("n"), F.bitmap_bit_position(slot).alias("p")).groupBy(
+def _bits(rows: DataFrame, slot: Column) -> np.ndarray:
+    """A bit for each of 2^23 slots that holds a row: 1 MB, whatever their number."""
+    slot = slot.bitwiseAND(F.lit(SLOTS - 1)) + 1
+    rows = rows.select(F.bitmap_bucket_number(slot).alias("n"), F.bitmap_bit_position(slot).alias("p")).groupBy(
         "n").agg(F.bitmap_construct_agg("p").alias("bits")).toPandas()
     out = np.zeros(SLOTS // 8, dtype=np.uint8)
     for number, bits in zip(rows["n"], rows["bits"]):
@@ -244,6 +271,21 @@ def _place_bits(places: DataFrame) -> np.ndarray:
     return out
 
 
+def _place_bits(places: DataFrame) -> np.ndarray:
+    return _bits(places, F.col("owner").bitwiseAND(F.lit(SLOTS - 1)) + F.col("line").cast("long") * SPREAD)
+
+
+def _may_hold(values: DataFrame, column: str):
+    """A test that every value of the column passes, and few others: what it rejects need not meet them."""
+    slots = _bits(values, F.col(column))
+
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        return pd.Series(_set(slots, x.to_numpy() & (SLOTS - 1)))
+
+    return test
+
+
 def _need(a: Column, b: Column, numerator: int, denominator: int) -> Column:
     """Least overlap of two sets of these sizes that reaches the threshold."""
     return F.floor((numerator * (a + b) + (numerator + denominator - 1)) / (numerator + denominator))
@@ -251,53 +293,57 @@ def _need(a: Column, b: Column, numerator: int, denominator: int) -> Column:
 
 def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """(doc_id, line) of the lines to remove; ``docs`` has doc_id and text."""
-    listed = checkpointed(docs.mapInArrow(_listing, "doc_id long, key long, other long, line int"))
-    classes = tx.rarity_class(_slot_counts(listed.where("line IS NULL").selectExpr("key AS slot", "other AS seen")))
-    lines = listed.where("line IS NOT NULL")
+    listed = checkpointed(docs.mapInArrow(_listing, LISTING))
+    classes = tx.rarity_class(_slot_counts(
+        listed.where("counts IS NOT NULL").selectExpr("posexplode(counts) AS (slot, seen)").where("seen > 0")))
+    lines = listed.where("counts IS NULL").selectExpr(
+        "doc_id", "inline(arrays_zip(keys, others, lines)) AS (key, other, line)")
 
     need = _need(F.col("size"), F.col("o_size"), numerator, denominator)
     near_size = ((F.col("size") * denominator >= F.col("o_size") * numerator)
                  & (F.col("o_size") * denominator >= F.col("size") * numerator))
-    prefixes = docs.mapInArrow(_prefixes(classes, numerator, denominator), PREFIX_TYPES)
-    met = checkpointed(prefixes.repartition("token").sortWithinPartitions("token", "size").mapInArrow(
+    prefixes = docs.mapInArrow(_prefixes(classes, numerator, denominator), "sized long, key long, odd long")
+    # Token, size and place are one number: sorting by it is cheaper, and the row is smaller.
+    met = checkpointed(prefixes.repartition(F.shiftright("sized", 32)).sortWithinPartitions("sized").mapInArrow(
         _runs(numerator, denominator, PART_PREFIXES), f"leader long, {PREFIX_TYPES}"))
     led = met.where("leader IS NOT NULL").select("leader", "key")
     hot = met.where("leader IS NULL").drop("leader")
     frequent = hot.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / PART_PREFIXES).cast("int").alias("parts"))
     if not frequent.isEmpty():
         matched = checkpointed(_met(None, hot.join(frequent, "token"), "token", (
-            (F.col("key") != F.col("o_key")) & near_size
-            & (F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) >= need)
-            & (F.bit_count(F.col("odd").bitwiseXOR(F.col("o_odd"))) <= F.col("size") + F.col("o_size") - 2 * need)), ["token", "key"]))
+            (F.col("key") != F.col("o_key")) & near_size & ((F.greatest("size", "o_size") >= WIDE) | (
+                (F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at")) >= need)
+                & (F.bit_count(F.col("odd").bitwiseXOR(F.col("o_odd"))) <= F.col("size") + F.col("o_size") - 2 * need)))),
+            ["token", "key"]))
         led = led.unionByName(matched.join(
             matched.groupBy("token").agg(F.min("key").alias("leader")), "token").select("leader", "key"))
     groups = checkpointed(led.distinct())
     keys = groups.select("key").distinct()
     # Where a key occurs first: aggregated before it meets anything, so a frequent line is no hot key.
-    owned = lines.groupBy("key", "other").agg(F.min(F.struct("doc_id", "line")).alias("x")).select(
-        "key", "other", F.col("x.doc_id").alias("owner"), F.col("x.line").alias("line"))
-    wanted = checkpointed(owned.join(keys, "key"))
-    placed = checkpointed(docs.mapInArrow(
+    def first(lines: DataFrame) -> DataFrame:
+        return lines.groupBy("key", "other").agg(F.min(F.struct("doc_id", "line")).alias("x")).select(
+            "key", "other", F.col("x.doc_id").alias("owner"), F.col("x.line").alias("line"))
+
+    wanted = checkpointed(first(lines.where(_may_hold(keys, "key")("key"))).join(keys, "key"))
+    sets = docs.mapInArrow(
         _whole(_place_bits(wanted)), "owner long, line int, key long, other long, tokens array<long>").join(
-        wanted, ["owner", "line", "key", "other"]))
+        groups.join(wanted, "key"), ["owner", "line", "key", "other"]).withColumn("size", F.size("tokens"))
     large = checkpointed(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / PART_SETS).cast("int").alias("parts")).where(
         "parts > 1"))
-
-    def met(chosen: DataFrame) -> DataFrame:
-        return chosen.join(placed, "key").withColumn("size", F.size("tokens"))
-
+    usual, hot = sets, None
+    if not large.isEmpty():
+        sets = checkpointed(sets)
+        usual, hot = sets.join(large, "leader", "left_anti"), sets.join(large, "leader")
     common = F.size(F.array_intersect("tokens", "o_tokens"))
-    none = large.isEmpty()
-    close = _met(
-        met(groups if none else groups.join(large, "leader", "left_anti")),
-        None if none else met(groups.join(large, "leader")), "leader", (
-            ((F.col("o_owner") < F.col("owner")) | (F.col("o_owner") == F.col("owner")) & (F.col("o_line") < F.col("line")))
-            & near_size & (common * denominator >= numerator * (F.col("size") + F.col("o_size") - common))),
-        ["key", "other"]).distinct().withColumn("close", F.lit(True))
-    # Of a set's occurrences all go but the first, and that too if an earlier set is close.
-    again = lines.join(owned.withColumnRenamed("owner", "doc_id"), ["doc_id", "line", "key", "other"], "left_anti")
-    taken = owned.join(close, ["key", "other"], "left_semi").select(F.col("owner").alias("doc_id"), "line")
-    return again.select("doc_id", "line").unionByName(taken)
+    # Both sides have the same columns, so that they share one shuffle.
+    close = _met(usual.repartition("leader"), hot, "leader", (
+        ((F.col("o_owner") < F.col("owner")) | (F.col("o_owner") == F.col("owner")) & (F.col("o_line") < F.col("line")))
+        & ((F.col("key") != F.col("o_key")) | (F.col("other") != F.col("o_other")))
+        & near_size & (common * denominator >= numerator * (F.col("size") + F.col("o_size") - common))),
+        ["key", "other"]).distinct()
+    # Of a set's occurrences only the first stays, and that only if no earlier set is close.
+    stays = first(lines).join(close, ["key", "other"], "left_anti").select(F.col("owner").alias("doc_id"), "line", "key")
+    return lines.select("doc_id", "line", "key").join(stays, ["doc_id", "line", "key"], "left_anti").select("doc_id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR,
@@ -313,16 +359,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop(*[c for c in ("n_lines", "n_removed", "emptied") if c not in (id_col, text_col)])
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = checkpointed(removed_lines(plain.where("doc_id IS NOT NULL AND text IS NOT NULL"), numerator, denominator))
+    lost = checkpointed(removed_lines(plain.where("doc_id IS NOT NULL AND text IS NOT NULL"), numerator, denominator))
     # Bits of the removed lines, 64 to a word, so that telling whether a line stays takes one look.
-    words = gone.groupBy("doc_id", F.shiftright("line", 6).alias("word")).agg(F.bit_or(
+    words = lost.groupBy("doc_id", F.shiftright("line", 6).alias("word")).agg(F.bit_or(
         F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line") % 64)).alias("bits"))
     gone = words.groupBy(F.col("doc_id").alias("gone_id")).agg(
         F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("by_word"),
         F.max("word").alias("last"), F.sum(F.bit_count("bits")).cast("int").alias("gone_count")).select(
         "gone_id", "gone_count", F.transform(F.sequence(F.lit(0), "last"), lambda w: F.coalesce(
             F.try_element_at("by_word", w), F.lit(0).cast("long"))).alias("gone_bits"))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left")
+    # Texts that certainly lose no line are not sent to meet those lines.
+    may_lose = _may_hold(lost, "doc_id")(F.coalesce(docs[id_col].cast("long"), F.lit(0).cast("long")))
+    joined = docs.where(may_lose).join(gone, docs[id_col].cast("long") == gone["gone_id"], "left").unionByName(
+        docs.where(~may_lose).select("*", *(F.lit(None).cast(t).alias(c) for c, t in gone.dtypes)))
     split = F.split(F.col(text_col), "\n")
     stays = lambda i: F.call_function("shiftright", F.coalesce(F.get("gone_bits", F.shiftright(i, 6)), F.lit(
         0).cast("long")), i % 64).bitwiseAND(F.lit(1)) == 0

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 
@@ -149,6 +150,33 @@ def test_line_dedup_in_parts(spark, docs, monkeypatch):
     assert cut == whole and len(parts) == 2 and min(parts) > 1
 
 
+def test_line_dedup_writes_and_reads_little(monkeypatch):
+    """A listed text is one row, whatever its lines; only the words of wanted lines are hashed."""
+    texts = ["\n".join(f"a{i} b{k} c{i}{k}" for k in range(9)) for i in range(5)] + ["", "x\n", "\n\ny"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for b in line_dedup._listing(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == len(texts) + 1
+    listed = {(r["doc_id"], n): (k, o) for r in rows[:-1] for n, k, o in zip(r["lines"], r["keys"], r["others"])}
+    assert len(listed) == 47 and sum(rows[-1]["counts"]) == 9 * 5 * 3 + 2
+    slots, place = np.zeros(line_dedup.SLOTS // 8, dtype=np.uint8), {(3, 4), (6, 0), (7, 2)}
+    for i, n in place:
+        slot = (i + n * line_dedup.SPREAD) & (line_dedup.SLOTS - 1)
+        slots[slot >> 3] |= 1 << (slot & 7)
+    hashed, hashes = [], line_dedup.tx.span_hashes
+    monkeypatch.setattr(line_dedup.tx, "span_hashes", lambda *x: hashed.append(len(x[1])) or hashes(*x))
+    got = [r for b in line_dedup._whole(slots)(iter([batch])) for r in b.to_pylist()]
+    assert {(r["owner"], r["line"]): (r["key"], r["other"]) for r in got} == {x: listed[x] for x in place}
+    assert sum(hashed) == sum(len(r["tokens"]) for r in got) == 5
+
+
+def test_line_dedup_of_wide_lines(spark):
+    """Sizes and places of more than 16 bits."""
+    wide = [f"w{i}" for i in range(70_000)]
+    texts = [" ".join(wide), " ".join(wide[:66_000] + ["x"]), " ".join(wide[:50_000])]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 1, 2: 0}
+
+
 def test_packing_has_least_padding_and_fits():
     rng = np.random.default_rng(1)
     tops = np.unique(rng.integers(1, 60, 14))
