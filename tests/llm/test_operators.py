@@ -177,6 +177,31 @@ def test_line_dedup_of_wide_lines(spark):
     assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 1, 2: 0}
 
 
+def test_components_of_few_links_take_one_partition(spark, monkeypatch):
+    from carrierlab.llm import components
+
+    made, keep = [], components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: made.append(keep(df)) or made[-1])
+    monkeypatch.setattr(components, "LINKS", 50)
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for size, most in ((40, 1), (120, 3)):
+            made.clear()
+            links = [(i, i + 1) for i in range(size) if i % 10] + [(i + 1, i) for i in range(0, 20, 3)]
+            got = {r.node: r.component for r in components.connected_components(
+                spark.createDataFrame(links, "a long, b long")).collect()}
+            least = {i: i for e in links for i in e}
+            for _ in links:
+                for a, b in links:
+                    least[a] = least[b] = min(least[a], least[b])
+            assert got == least
+            parts = [x.rdd.getNumPartitions() for x in made[1:]]
+            assert parts and (set(parts) == {1} if most == 1 else max(parts) > 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+
+
 def test_packing_has_least_padding_and_fits():
     rng = np.random.default_rng(1)
     tops = np.unique(rng.integers(1, 60, 14))
