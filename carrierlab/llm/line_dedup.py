@@ -335,7 +335,6 @@ def removed_lines(docs: DataFrame, numerator: int = NUMERATOR, denominator: int
         sets = checkpointed(sets)
         usual, hot = sets.join(large, "leader", "left_anti"), sets.join(large, "leader")
     common = F.size(F.array_intersect("tokens", "o_tokens"))
-    # Both sides have the same columns, so that they share one shuffle.
     close = _met(usual.repartition("leader"), hot, "leader", (
         ((F.col("o_owner") < F.col("owner")) | (F.col("o_owner") == F.col("owner")) & (F.col("o_line") < F.col("line")))
         & ((F.col("key") != F.col("o_key")) | (F.col("other") != F.col("o_other")))
