@@ -98,6 +98,41 @@ def test_ngram_join_verifies_near_sets_only(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: 30 if i == 31 else i for i, _ in rows}
 
 
+def test_ngram_join_does_not_chain_candidates(spark, monkeypatch):
+    """Texts that each share much, but too little, with the next one are compared with that one, not all with all."""
+    rng = random.Random(9)
+    some = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    parts = [some(180) for _ in range(31)]
+    rows = [(k, f"{parts[k]} {some(30)} {parts[k + 1]}") for k in range(30)] + [(40, parts[0]), (41, parts[0] + " end")]
+    placed, blocks = set(), ngram_join._blocks
+    monkeypatch.setattr(ngram_join, "_blocks", lambda sets, *rest: placed.update(
+        r.rep for r in sets.select("rep").collect()) or blocks(sets, *rest))
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert placed == {40, 41}
+    assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {
+        i: (int(i > 30), 40 if i > 30 else i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("listed", [1, 3])
+def test_ngram_join_of_trees(spark, monkeypatch, listed):
+    """Many sets at one n-gram, of several groups and alone: trees give the links that listed pairs give."""
+    rng = random.Random(10)
+    some = lambda n: [str(rng.randrange(10**9)) for _ in range(n)]
+    common, texts = some(30), []
+    for _ in range(8):
+        own = some(8)
+        texts += [common + own + some(k) for k in (0, 1, 2, 5, 9)]
+    want = {}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            x, y = ({tuple(t[k: k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+            want[i] = want.get(i, 0) + (i != j and 100 * len(x & y) >= 75 * len(x | y))
+    for name, value in (("LISTED", listed), ("SIGNED_SETS", 7)):
+        monkeypatch.setattr(ngram_join, name, value)
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in ngram_jaccard_join(frame).collect()} == want and 0 < sum(want.values()) < 40 * 39
+
+
 def test_line_dedup_is_exact(docs):
     earlier, want = [], {}
     for i, t in sorted((x for x in dict(corpus()).items() if x[0] is not None and x[1] is not None)):
