@@ -8,6 +8,7 @@ in the same passes. Coefficient vectors alone reach the driver.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -70,27 +71,25 @@ def _cross_products(weights: dict[int, np.ndarray]):
     return run
 
 
-def _solved(width: int):
+def _solved(table: pd.DataFrame) -> pd.DataFrame:
     """Coefficients of a group's sums; null where the terms cannot be told apart."""
-    def solve(table: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((width + 1) ** 2 + 1)
-        total[table["place"]] = table["value"]
-        n, m = int(total[-1]), total[:-1].reshape(width + 1, width + 1)
-        used = np.flatnonzero(np.diag(m)[:width] > 0)
-        a, b = m[np.ix_(used, used)], m[used, width]
-        scale = 1 / np.sqrt(np.diag(a))
-        scaled = a * np.outer(scale, scale)
-        estimate, variance = np.full(width, np.nan), np.full(width, np.nan)
-        if len(used) and np.linalg.eigvalsh(scaled)[0] > 1e-12:
-            inverse = np.linalg.inv(scaled) * np.outer(scale, scale)
-            estimate[used], variance[used] = inverse @ b, np.diag(inverse)
-            rest = float(m[width, width] - estimate[used] @ b)
-        else:
-            rest = np.nan
-        return pd.DataFrame({"group": table["group"].iloc[:1], "n": [n], "p": [len(used)], "rest": [rest],
-                             "estimate": [estimate.tolist()], "variance": [variance.tolist()]})
-
-    return solve
+    total = np.zeros(len(table))
+    total[table["place"]] = table["value"]
+    width = math.isqrt(len(total) - 1) - 1
+    n, m = int(total[-1]), total[:-1].reshape(width + 1, width + 1)
+    used = np.flatnonzero(np.diag(m)[:width] > 0)
+    a, b = m[np.ix_(used, used)], m[used, width]
+    scale = 1 / np.sqrt(np.diag(a))
+    scaled = a * np.outer(scale, scale)
+    estimate, variance = np.full(width, np.nan), np.full(width, np.nan)
+    if len(used) and np.linalg.eigvalsh(scaled)[0] > 1e-12:
+        inverse = np.linalg.inv(scaled) * np.outer(scale, scale)
+        estimate[used], variance[used] = inverse @ b, np.diag(inverse)
+        rest = float(m[width, width] - estimate[used] @ b)
+    else:
+        rest = np.nan
+    return pd.DataFrame({"group": table["group"].iloc[:1], "n": [n], "p": [len(used)], "rest": [rest],
+                         "estimate": [estimate.tolist()], "variance": [variance.tolist()]})
 
 
 def fit_groups(rows: DataFrame, keys: Sequence[str], names: DataFrame) -> DataFrame:
@@ -103,6 +102,8 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], names: DataFrame) -> DataFr
     std_error, statistic, p_value (Student-t, for a logit normal), n and
     converged. Terms that cannot be told apart, and groups without rows, give
     nulls and converged false; so does a logit that still moves after ROUNDS.
+    Linear groups are added up in one pass over ``rows``; the rows of logits,
+    which are read again, are written to the checkpoint folder.
     """
     numbered = names.select(*keys, "logit", "variables").collect()  # a row for each model
     order = {tuple(r[k] for k in keys): i for i, r in enumerate(numbered)}
@@ -116,9 +117,6 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], names: DataFrame) -> DataFr
     used = rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull())).join(
         F.broadcast(index), same).select("group", F.col("y").cast("double").alias("y"), F.concat(
             F.array(F.lit(1.0)), F.transform("x", lambda v: v.cast("double"))).alias("x"))
-    used = checkpointed(used)
-    first = used.select(F.size("x").alias("width")).first()
-    width = first.width if first else 1
     logits = {i for i, r in enumerate(numbered) if r.logit}
     found: dict[int, dict] = {}
 
@@ -126,7 +124,7 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], names: DataFrame) -> DataFr
         added = source.mapInArrow(_cross_products(weights), "`group` int, place int, value double").groupBy(
             "group", "place").agg(F.sum("value").alias("value"))
         solved = added.groupBy("group").applyInPandas(
-            _solved(width), "`group` int, n long, p int, rest double, estimate array<double>, variance array<double>")
+            _solved, "`group` int, n long, p int, rest double, estimate array<double>, variance array<double>")
         # A coefficient vector for each model; unknown values come as nulls.
         return {r["group"]: r.asDict() | {"rest": np.nan if r["rest"] is None else r["rest"]} | {
             c: np.array(r[c], dtype=float) for c in ("estimate", "variance")} for r in solved.collect()}
@@ -136,9 +134,12 @@ def fit_groups(rows: DataFrame, keys: Sequence[str], names: DataFrame) -> DataFr
         df = r["n"] - r["p"]
         scale = max(r["rest"], 0.0) / df if df > 0 else float("nan")
         found[g] = r | {"df": df, "scale": scale, "converged": df > 0 and not np.isnan(r["rest"])}
+    repeated = checkpointed(used.where(F.col("group").isin(sorted(logits)))) if logits else None
+    first = repeated.select(F.size("x").alias("width")).first() if logits else None
+    width = first.width if first else 1
     now = {g: np.zeros(width) for g in logits}
     for _ in range(ROUNDS if logits else 0):
-        step = one_pass(now, used.where(F.col("group").isin(sorted(now))))
+        step = one_pass(now, repeated.where(F.col("group").isin(sorted(now))))
         for g in list(now):
             new = step[g]["estimate"] if g in step else np.full(width, np.nan)
             moved = np.nanmax(np.abs(np.nan_to_num(new) - now[g]) / (1e-4 + np.abs(now[g])), initial=0)

@@ -102,7 +102,9 @@ def score_frames(
 
     ``scores`` has subject, score and, if they differ, phenotype. Phenotypes,
     scores and carriers are joined once; settings are an array that is exploded
-    afterwards. Carriers have the gene of their variant of least frequency.
+    afterwards. Carriers have the gene of their variant of least frequency. A
+    row a subject is written to the checkpoint folder, first without and then
+    with its tiles; ranking moves no more than the score and a row number.
     """
     settings = list(settings or S.score_settings())
     keyed = "phenotype" in scores.columns
@@ -111,31 +113,46 @@ def score_frames(
         wide = scores.groupBy("subject").pivot("phenotype", measures).agg(F.first("score"))
         wide = wide.select("subject", *[F.col(m).alias(f"_score_{m}") for m in measures])
     else:
-        wide = scores.select("subject", *[F.col("score").alias(f"_score_{m}") for m in measures])
+        wide = scores.select("subject", F.col("score").alias("_score"))
+    scored = {m: f"_score_{m}" if keyed else "_score" for m in measures}
+    keep = ["subject", "cohort", *dict.fromkeys(["age", *covariates])]
     joined = pheno.select("subject", "cohort", *dict.fromkeys([*measures, "lipidmeds", "age", *covariates])).join(
         wide, "subject", "left")
-    moments = joined.agg(F.struct(*[F.struct(F.avg(f"_score_{m}").alias("mean"), F.stddev_samp(f"_score_{m}").alias(
-        "sd")).alias(m) for m in measures])).scalar()
+    moments = joined.agg(F.struct(*[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias(
+        "sd")).alias(c) for c in dict.fromkeys(scored.values())])).scalar()
     frame = with_status_by_trait(joined, carriers, gene_traits, sorted({s.trait for s in settings}), levels, True)
+    frame = frame.withColumns({c: F.try_divide(F.col(c) - moments[c]["mean"], moments[c]["sd"]) for c in dict.fromkeys(
+        scored.values())}).withColumn("_status", F.transform_values("_status", lambda _, v: F.struct(
+            v["is_carrier"].alias("is_carrier"), v["has_vus"].alias("has_vus"), v["gene"].alias("gene"))))
+    frame = checkpointed(frame).withColumn("_row", F.monotonically_increasing_id())
     records = []
     for i, s in enumerate(settings):
-        z = F.try_divide(F.col(f"_score_{s.phenotype}") - moments[s.phenotype]["mean"], moments[s.phenotype]["sd"])
-        value = F.col(s.phenotype).cast("double")
+        z, value = F.col(scored[s.phenotype]), F.col(s.phenotype).cast("double")
         records.append(F.struct(
             F.lit(i).alias("setting"), F.lit(s.trait).alias("condition"), F.lit(s.no_meds).alias("restrict_lipid_meds"),
             F.lit(s.binary).alias("binary"), (F.when(F.col("lipidmeds") == 0, value) if s.no_meds else value).alias(
                 "phenotype_value"), (-z if s.lower_is_worse else z).alias("prs"),
             compare(F.col(s.phenotype), s.rule, s.threshold).alias("by_threshold")))
-    keep = ["subject", "cohort", *dict.fromkeys(["age", *covariates])]
-    rows = frame.select(*keep, "_status", F.inline(F.array(*records))).where(
-        F.col("phenotype_value").isNotNull() & F.col("prs").isNotNull())
-    rows = rows.withColumn("_s", status_of(F.col("condition"))).withColumn(
-        "carrier", carrier_label(F.col("_s.is_carrier"), F.col("_s.has_vus"))).withColumn(
-        "gene", F.when(F.col("carrier") == NON_CARRIER, NON_CARRIER).otherwise(F.col("_s.gene"))).drop("_s", "_status")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_s", status_of(F.col("condition"))).withColumn(
+            "carrier", carrier_label(F.col("_s.is_carrier"), F.col("_s.has_vus"))).withColumn(
+            "gene", F.when(F.col("carrier") == NON_CARRIER, NON_CARRIER).otherwise(F.col("_s.gene"))).drop("_s", "_status")
+
+    rows = labelled(frame.select("_row", *keep, "_status", F.inline(F.array(*records))).where(
+        F.col("phenotype_value").isNotNull() & F.col("prs").isNotNull()))
     if age_cutoff is not None:
         rows = rows.where((F.col("age") >= age_cutoff) | (F.col("carrier") == CARRIER))
-    rows = rows.withColumn("_tie", F.xxhash64("cohort", "subject") if tie is None else tie)
-    return with_group_tiles(rows, ["setting"], "prs", "_tie", TILES).drop("_tie")
+    placed = rows.select("_row", "setting", "prs", (F.xxhash64("cohort", "subject") if tie is None else tie).alias("_tie"))
+    tiles = with_group_tiles(placed, ["setting"], "prs", "_tie", TILES).groupBy("_row").agg(
+        F.collect_list(F.struct("setting", *TILES)).alias("_tiles"))
+    whole = checkpointed(frame.join(tiles, "_row").drop("_row"))
+    out = whole.withColumn("_records", F.array(*records)).select(*keep, "_status", "_records", F.inline("_tiles")).withColumn(
+        "_record", F.get("_records", F.col("setting"))).select(
+        *keep, "_status", "setting", *[F.col(f"_record.{c}").alias(c) for c in (
+            "condition", "restrict_lipid_meds", "binary", "phenotype_value", "prs", "by_threshold")], *TILES)
+    return labelled(out).select(
+        *keep, *SETTING, "binary", "phenotype_value", "prs", "by_threshold", "carrier", "gene", *TILES)
 
 
 MODELS = ("top_vs_carrier", "interquartile_vs_top", "carriers", "interaction")

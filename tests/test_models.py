@@ -63,3 +63,31 @@ def test_single_model(spark):
     full = np.column_stack([np.ones(len(y)), x])
     assert [r.estimate for r in out.collect()] == pytest.approx(np.linalg.lstsq(full, y, rcond=None)[0])
     assert fit_glm(frame.limit(0), "y", ["a"]).count() == 2
+
+
+def test_score_models_read_carriers_once(spark):
+    """Ranking, the list of models and their passes read what was joined once, not the carriers again."""
+    from pyspark.sql import functions as F
+
+    from carrierlab.operators.scores import all_score_models, score_frames
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(4)
+    pheno = spark.createDataFrame(
+        [(i, "A", *map(float, rng.normal(100, 20, 5)), int(i % 2), 0, 50 + i % 7, 1 + i % 2) for i in range(300)],
+        "subject long, cohort string, ldl_mgdl double, hdl_mgdl double, tg_mgdl double, bmi double, _x double, t2d int, "
+        "lipidmeds int, age int, sex int")
+    scores = pheno.select("subject", F.xxhash64("subject").cast("double").alias("score"))
+    names = "subject long, cohort string, variant string, gene string, trait string, level string, evidence string, af double, ac int"
+    carriers = spark.createDataFrame(
+        [(i, "A", "v", "GCK", "MODY", "Pathogenic", "LOF", 0.1, 1) for i in range(0, 300, 5)], names).mapInArrow(counted, names)
+    frames = score_frames(pheno, scores, carriers, None, age_cutoff=40, covariates=("age", "sex"))
+    found = all_score_models(frames, covariates=("age", "sex"))
+    assert found.where("condition = 'MODY' AND model = 'carriers' AND variable = 'prs'").first().n == 60
+    assert 60 <= read.value <= 120
